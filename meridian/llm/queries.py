@@ -1,7 +1,8 @@
 """The registered queries of this subpackage and their SQL."""
 
+from .neardup import op6_neardup
 from .quality import OP9_SQL, op9_quality
 from .warc import OP7_SQL, op7_warc
 
-QUERIES = {"op7_warc": op7_warc, "op9_quality": op9_quality}
+QUERIES = {"op6_neardup": op6_neardup, "op7_warc": op7_warc, "op9_quality": op9_quality}
 ORACLE_SQL = {"op7_warc": OP7_SQL, "op9_quality": OP9_SQL}
