@@ -1,8 +1,10 @@
 """The registered queries of this subpackage and their SQL."""
 
+from .linededup import OP4_SQL, op4_linededup
 from .neardup import op6_neardup
+from .pii import op10_pii
 from .quality import OP9_SQL, op9_quality
 from .warc import OP7_SQL, op7_warc
 
-QUERIES = {"op6_neardup": op6_neardup, "op7_warc": op7_warc, "op9_quality": op9_quality}
-ORACLE_SQL = {"op7_warc": OP7_SQL, "op9_quality": OP9_SQL}
+QUERIES = {"op4_linededup": op4_linededup, "op6_neardup": op6_neardup, "op7_warc": op7_warc, "op9_quality": op9_quality, "op10_pii": op10_pii}
+ORACLE_SQL = {"op4_linededup": OP4_SQL, "op7_warc": OP7_SQL, "op9_quality": OP9_SQL}

@@ -1,0 +1,54 @@
+import random
+import re
+
+import pytest
+
+from meridian.llm.pii import find_spans, luhn, redact, redact_documents, with_spans
+
+EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+
+
+def brute(text):
+    digits = lambda s: re.sub("[^0-9]", "", s)
+    out = [("email", *m.span()) for m in EMAIL.finditer(text)]
+    out += [("ip", *m.span()) for m in IP.finditer(text) if all(int(p) <= 255 for p in m[0].split("."))]
+    out += [("card", *m.span()) for m in CARD.finditer(text) if 12 <= len(digits(m[0])) <= 19 and luhn(digits(m[0]))]
+    out += [("phone", *m.span()) for m in PHONE.finditer(text) if 9 <= len(digits(m[0])) <= 15]
+    order = ["email", "ip", "card", "phone"]
+    return sorted(out, key=lambda s: (s[1], order.index(s[0])))
+
+
+def base(text):
+    return [s for s in find_spans(text) if s[0] in ("email", "ip", "card", "phone")]
+
+
+@pytest.mark.parametrize("alphabet", ["ab@.-1 ", "0123.+ ()-", "+123 .-(@a", "12 -5", "é1.@+a  9"])
+def test_base_spans_equal_a_plain_scan(alphabet):
+    draw = random.Random(5)
+    for _ in range(4000):
+        text = "".join(draw.choice(alphabet) for _ in range(draw.randrange(0, 40)))
+        assert base(text) == brute(text), text
+
+
+def test_known_cases():
+    assert base("a@b@c.d@e.f") == brute("a@b@c.d@e.f") == [("email", 2, 7)]
+    assert base("call +1 (614) 555-8001.") == [("phone", 5, 22)]
+    assert base("1.2.3.4.5.6.7.8.9") == brute("1.2.3.4.5.6.7.8.9")
+    assert find_spans("IBAN DE89 3704 0044 0532 0130 00 ok")[0] == ("iban", 5, 32)
+    assert ("url", 0, 20) in find_spans("http://me:pw@host.eu")
+    assert ("account", 16, 24) in find_spans("account number: 12345678 x")
+    assert find_spans(None) == find_spans("") == []
+    assert redact("mail a@b.co now") == "mail <EMAIL> now"
+
+
+def test_frames_with_nulls_repeats_and_other_columns(spark):
+    rows = [(1, "x a@b.co", "s"), (1, "x a@b.co", "s"), (None, None, None), (2, "", "s"), (3, "word " * 40000 + "1.2.3.4", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, spans string")
+    got = {(r.doc_id, len(r.spans)) for r in with_spans(docs).collect()}
+    assert got == {(1, 1), (None, 0), (2, 0), (3, 1)}
+    clean = redact_documents(docs).collect()
+    assert len(clean) == 5 and clean[0].text == "x <EMAIL>" and clean[2].text is None and clean[4].text.endswith("<IP>")
+    assert redact_documents(docs.limit(0)).count() == 0
