@@ -1,5 +1,6 @@
 """The registered queries of this subpackage and their SQL."""
 
+from .bpe import op3_bpe
 from .linededup import OP4_SQL, op4_linededup
 from .neardup import op6_neardup
 from .packing import op1_packing
@@ -7,5 +8,5 @@ from .pii import op10_pii
 from .quality import OP9_SQL, op9_quality
 from .warc import OP7_SQL, op7_warc
 
-QUERIES = {"op1_packing": op1_packing, "op4_linededup": op4_linededup, "op6_neardup": op6_neardup, "op7_warc": op7_warc, "op9_quality": op9_quality, "op10_pii": op10_pii}
+QUERIES = {"op1_packing": op1_packing, "op3_bpe": op3_bpe, "op4_linededup": op4_linededup, "op6_neardup": op6_neardup, "op7_warc": op7_warc, "op9_quality": op9_quality, "op10_pii": op10_pii}
 ORACLE_SQL = {"op4_linededup": OP4_SQL, "op7_warc": OP7_SQL, "op9_quality": OP9_SQL}
