@@ -12,8 +12,10 @@ from __future__ import annotations
 import hashlib
 import json
 import unicodedata
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +29,7 @@ from .tokens import vocabulary
 MOST_CACHED = 400_000
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _SPACES = regex.compile(r"\s+")
+_NONE = 1 << 62
 
 
 def _byte_letters() -> list[str]:
@@ -45,35 +48,41 @@ class WordBpe:
         self.id: dict[str, int] = made["model"]["vocab"]
         self.suffix: str = made["model"]["end_of_word_suffix"] or ""
         merges = [m.split(" ") if isinstance(m, str) else m for m in made["model"]["merges"]]
-        self.rank = {(a, b): k for k, (a, b) in enumerate(merges)}
+        #: Of a pair of ids (left << 32 | right): the merge's rank and the id it gives (rank << 32 | id).
+        self.joins = {self.id[a] << 32 | self.id[b]: k << 32 | self.id[a + b] for k, (a, b) in enumerate(merges)}
         self.special = {t["content"]: t["id"] for t in made["added_tokens"]}
         self.token = {i: t for t, i in [*self.id.items(), *self.special.items()]}
         self.letters = _byte_letters()
         self.words = regex.compile(SPLIT)
         self.marks = regex.compile("|".join(map(regex.escape, self.special)) or r"(?!)")
         self.longest = max(map(len, self.id))
-        self.symbols = {t: self._symbols(t) for t in self.id}
         self.sound: dict[int, bool] = {}  # whether merging a token's own letters gives the token
         self.pairs = np.zeros(0, np.int64)  # decided pairs, sorted: left << 32 | right
         self.fits = np.zeros(0, bool)
         self.known: dict[str, bytes] = {}
-        self.pieces: dict[str, tuple[bytes, str]] = {}
+        self.piece_ids: dict[str, bytes] = {}
+        self.piece_text: dict[str, str] = {}
 
-    def _symbols(self, token: str) -> list[str]:
+    def _symbols(self, token: str) -> list[int]:
+        """Ids of a token's letters, the last one with the suffix if the token has it."""
         if self.suffix and token.endswith(self.suffix) and len(token) > len(self.suffix):
             body = token[: -len(self.suffix)]
-            return [*body[:-1], body[-1] + self.suffix]
-        return list(token)
+            return [*map(self.id.__getitem__, body[:-1]), self.id[body[-1] + self.suffix]]
+        return list(map(self.id.__getitem__, token))
 
-    def merge(self, parts: list[str]) -> list[str]:
+    def merge(self, ids: list[int]) -> list[int]:
         """Exact merging: the adjacent pair of least rank first, the leftmost of equals."""
-        parts = list(parts)
-        while len(parts) > 1:
-            found = min(range(len(parts) - 1), key=lambda i: self.rank.get((parts[i], parts[i + 1]), 1 << 60))
-            if (parts[found], parts[found + 1]) not in self.rank:
-                break
-            parts[found : found + 2] = [parts[found] + parts[found + 1]]
-        return parts
+        get = self.joins.get
+        found = [get(a << 32 | b, _NONE) for a, b in zip(ids, ids[1:], strict=False)]
+        while found and (least := min(found)) != _NONE:
+            i = found.index(least)
+            ids[i : i + 2] = [least & 0xFFFFFFFF]
+            del found[i]
+            if i:
+                found[i - 1] = get(ids[i - 1] << 32 | ids[i], _NONE)
+            if i < len(found):
+                found[i] = get(ids[i] << 32 | ids[i + 1], _NONE)
+        return ids
 
     def _greedy(self, word: str) -> list[int] | None:
         """Longest sound tokens from the left of a word that ends in the suffix."""
@@ -93,7 +102,7 @@ class WordBpe:
     def _sound(self, i: int, token: str) -> bool:
         got = self.sound.get(i)
         if got is None:
-            got = self.sound[i] = self.merge(self.symbols[token]) == [token]
+            got = self.sound[i] = self.merge(self._symbols(token)) == [i]
         return got
 
     def _compatible(self, codes: np.ndarray) -> np.ndarray:
@@ -102,8 +111,8 @@ class WordBpe:
         if len(fresh):
             fit = []
             for code in fresh.tolist():
-                left, right = self.token[code >> 32], self.token[code & 0xFFFFFFFF]
-                fit.append(self.merge(self.symbols[left] + self.symbols[right]) == [left, right])
+                left, right = code >> 32, code & 0xFFFFFFFF
+                fit.append(self.merge(self._symbols(self.token[left]) + self._symbols(self.token[right])) == [left, right])
             if len(self.pairs) > 2_000_000:
                 self.pairs, self.fits = np.zeros(0, np.int64), np.zeros(0, bool)
             every, verdict = np.concatenate([self.pairs, fresh]), np.concatenate([self.fits, fit])
@@ -113,7 +122,7 @@ class WordBpe:
             self.pairs, self.fits = every[order], verdict[order]
         return self.fits[np.searchsorted(self.pairs, codes)]
 
-    def learn(self, words: list[str]) -> None:
+    def _learn(self, words: list[str]) -> None:
         """Encode words (in byte letters, without suffix) that are not known yet, as one batch."""
         proposals = [self._greedy(w + self.suffix) for w in words]
         sizes = np.array([len(p) if p else 0 for p in proposals])
@@ -125,50 +134,51 @@ class WordBpe:
             good = self._compatible(flat[inside] << 32 | flat[inside + 1])
             wrong |= set(owner[inside[~good]].tolist())
         for k, word in enumerate(words):
-            ids = proposals[k] if k not in wrong else [self.id[t] for t in self.merge(self._symbols(word + self.suffix))]
-            self.known[word] = np.array(ids, "<u4").tobytes()
+            ids = proposals[k] if k not in wrong else self.merge(self._symbols(word + self.suffix))
+            self.known[word] = array("I", ids).tobytes()
 
     def _letters(self, word: str) -> str:
         return word if word.isascii() and word.isprintable() else "".join(map(self.letters.__getitem__, word.encode()))
 
-    def prepare(self, texts: list[str]) -> list[list[str | int]]:
-        """Pieces between white space and special ids of each text; their encodings are kept."""
-        if len(self.pieces) > MOST_CACHED:
-            self.pieces.clear()
+    def _prepare(self, texts: list[str]) -> list[list[str]]:
+        """Pieces between white space of each text, whose encodings are then kept. A special token
+        stands between them as its string after a space, which no piece has."""
+        if len(self.piece_ids) > MOST_CACHED or not self.piece_ids:
+            self.piece_ids = {" " + t: array("I", [i]).tobytes() for t, i in self.special.items()}
+            self.piece_text = {" " + t: t for t in self.special}
         if len(self.known) > MOST_CACHED:
             self.known.clear()
-        out: list[list[str | int]] = []
+        out: list[list[str]] = []
         for text in texts:
-            items: list[str | int] = []
+            items: list[str] = []
             at = 0
             for mark in self.marks.finditer(text) if "<|" in text else ():
-                items += [*self._split(text[at : mark.start()]), self.special[mark[0]]]
+                items += [*self._split(text[at : mark.start()]), " " + mark[0]]
                 at = mark.end()
-            out.append(items + self._split(text[at:]))
-        new = {p for items in out for p in items if isinstance(p, str) and p not in self.pieces}
+            out.append(items + self._split(text[at:]) if at else self._split(text))
+        new = set(chain.from_iterable(out)) - self.piece_ids.keys()
         parts = {p: [self._letters(w) for w in self.words.findall("".join("σ" if c == "Σ" else c.lower() for c in p) if "Σ" in p else p.lower())] for p in new}
-        if fresh := list({w for ws in parts.values() for w in ws} - self.known.keys()):
-            self.learn(fresh)
+        if fresh := list(set(chain.from_iterable(parts.values())) - self.known.keys()):
+            self._learn(fresh)
         for piece, words in parts.items():
-            ids = b"".join(map(self.known.__getitem__, words))
-            self.pieces[piece] = ids, self.decode(np.frombuffer(ids, "<u4"))
+            ids = self.piece_ids[piece] = b"".join(map(self.known.__getitem__, words))
+            self.piece_text[piece] = self.decode(array("I", ids))
         return out
 
     def _split(self, text: str) -> list[str]:
         if not text.isascii() and not unicodedata.is_normalized("NFC", text):
             text = unicodedata.normalize("NFC", text)
         pieces = text.split() if not _CONTROL.search(text) else _SPACES.split(text)
-        return [p for p in pieces if p]
+        return pieces if pieces and pieces[0] and pieces[-1] else [p for p in pieces if p]
 
-    def decode(self, ids: np.ndarray) -> str:
+    def decode(self, ids: Iterable[int]) -> str:
         """The tokens joined by spaces, as a tokenizer without a decoder gives."""
-        return " ".join(map(self.token.__getitem__, ids.tolist()))
+        return " ".join(map(self.token.__getitem__, ids))
 
     def encode_batch(self, texts: list[str | None]) -> Iterator[tuple[bytes, str]]:
         """Little-endian ids and the decoded text of each text (null: empty)."""
-        for items in self.prepare([t or "" for t in texts]):
-            found = [self.pieces[i] if isinstance(i, str) else (i.to_bytes(4, "little"), self.token[i]) for i in items]
-            yield b"".join([f[0] for f in found]), " ".join([f[1] for f in found if f[1]])
+        for items in self._prepare([t or "" for t in texts]):
+            yield b"".join(map(self.piece_ids.__getitem__, items)), " ".join(map(self.piece_text.__getitem__, items))
 
 
 #: str.split() also splits at these four, which are not white space to a tokenizer.
