@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,3 +34,19 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if before == state:
             break
     return e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+
+
+def local_roots(pairs: np.ndarray, n: int) -> np.ndarray:
+    """For nodes 0..n-1 the least node reachable by the pairs."""
+    root = np.arange(n)
+    while len(pairs):
+        low = np.minimum(root[pairs[:, 0]], root[pairs[:, 1]])
+        new = root.copy()
+        np.minimum.at(new, root[pairs[:, 0]], low)
+        np.minimum.at(new, root[pairs[:, 1]], low)
+        new = new[new]
+        while not np.array_equal(new, new[new]):
+            new = new[new]
+        root = new[root]
+        pairs = pairs[root[pairs[:, 0]] != root[pairs[:, 1]]]
+    return root
