@@ -2,9 +2,10 @@
 and union of the confirmed links.
 
 Documents of equal sets are one class, so copies cost nothing further. Buckets do not emit their
-pairs: each member is held against its bucket's leader only, confirmed links merge classes into
-components, and later rounds consider only buckets that still hold several components, with
-another leader each time; the last round takes every remaining pair of different components.
+pairs: each member is held against its bucket's leader, and confirmed links merge classes into
+components. Only buckets that still hold several components go on: small ones list their remaining
+pairs, larger ones are dealt out as pairs of blocks, where a task counts all intersections by one
+matrix product and returns a spanning forest of the links.
 """
 
 from __future__ import annotations
@@ -12,18 +13,20 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import load, written
-from .graph import components
+from .graph import components, local_roots
 from .shingles import mix, parts, shingle_sets
 
 #: Bands and ranks in each: a pair at similarity 0.8 is missed with probability (1 - 0.8^6)^42 = 3e-6.
 BANDS, ROWS = 42, 6
-LEADER_ROUNDS = 4
+#: Buckets of at most SMALL members list their pairs; larger ones are cut into blocks of about BLOCK.
+SMALL, BLOCK = 8, 256
 _GOLDEN = 0x9E3779B97F4A7C15
 _BAND = np.random.default_rng(11).integers(1, 2**63, ROWS, dtype=np.uint64) | np.uint64(1)
 
@@ -73,8 +76,8 @@ def sketch(docs: DataFrame, width: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(rows, "doc_id long, n_shingles long, digest binary, bands array<long>")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of doc_ids whose full sets have 100 * intersection >= percent * union."""
+def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of ids whose full sets have 100 * intersection >= percent * union."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -83,20 +86,59 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
                 ys, yat = shingle_sets(part.column("text_b"), width)
                 keep = []
                 for i in range(len(part)):
-                    x, y = xs[xat[i] : xat[i + 1]], ys[yat[i] : yat[i + 1]]
-                    both = np.concatenate([x, y])
+                    both = np.concatenate([xs[xat[i] : xat[i + 1]], ys[yat[i] : yat[i + 1]]])
                     both.sort()
                     shared = int((both[1:] == both[:-1]).sum())
                     keep.append(100 * shared >= percent * (len(both) - shared))
                 yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).where("id IS NOT NULL")
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = written(texts.join(needed, "id", "left_semi").dropDuplicates(["id"]), "texts")
-    full = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
+    full = pairs.hint("merge").join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
+    full = full.hint("merge").join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
     return full.select("a", "b", "text_a", "text_b").mapInArrow(rows, "a long, b long")
 
 
+def _intersections(sets: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """Sizes of the intersections of the first n sets with the others (with all, if n is all)."""
+    count = len(at) - 1
+    owner = np.repeat(np.arange(count), np.diff(at))
+    _, ids, held = np.unique(sets, return_inverse=True, return_counts=True)
+    common = held[ids] > 1
+    _, ids = np.unique(ids[common], return_inverse=True)
+    owner = owner[common]
+    order = np.argsort(ids, kind="stable")
+    ids, owner = ids[order], owner[order]
+    begin = 0 if n == count else n
+    out = np.zeros((n, count - begin), np.float32)
+    for low in range(0, int(ids[-1]) + 1 if len(ids) else 0, 16_384):
+        i, j = np.searchsorted(ids, [low, low + 16_384])
+        rows = np.zeros((count, 16_384), np.float32)
+        rows[owner[i:j], ids[i:j] - low] = 1
+        out += rows[:n] @ rows[begin:].T
+    return out
+
+
+def _block_links(width: int, percent: int):
+    def links(block: pd.DataFrame) -> pd.DataFrame:
+        block = block.sort_values(["side", "rep"], ignore_index=True)
+        n = int((block["side"] == 0).sum())
+        if n == 0 or len(block) < 2:
+            return pd.DataFrame({"a": [], "b": []}).astype("int64")
+        sets, at = shingle_sets(pa.array(block["text"], pa.large_string()), width)
+        sizes = np.diff(at)
+        shared = _intersections(sets, at, n)
+        begin = 0 if n == len(block) else n
+        union = sizes[:n, None] + sizes[None, begin:] - shared
+        i, j = np.nonzero((100 * shared >= percent * union) & (shared > 0))
+        reps = block["rep"].to_numpy()
+        order = np.argsort(reps, kind="stable")
+        place = np.empty_like(order)
+        place[order] = np.arange(len(order))
+        root = reps[order][local_roots(place[np.stack([i, j + begin], axis=1)], len(block))[place]]
+        return pd.DataFrame({"a": reps, "b": root})[reps != root]
+
+    return links
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links, itself included), kept.
 
@@ -111,31 +153,26 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     fit = f"100 * least(n, ln) >= {percent} * greatest(n, ln)"
     lead = rows.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("lead"), F.count(F.lit(1)).alias("held")).where("held > 1")
     crowd = written(rows.join(lead.select("key", F.col("lead.rep").alias("lead"), F.col("lead.n").alias("ln")), "key"), "crowd")
+    needed = crowd.select("rep").distinct().withColumnRenamed("rep", "id")
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    texts = written(texts.hint("merge").join(needed, "id", "left_semi").dropDuplicates(["id"]), "texts")
     tested = written(crowd.where("rep <> lead").where(fit).select(F.col("rep").alias("a"), F.col("lead").alias("b")).distinct(), "pairs")
-    links = written(confirmed(tested, docs, width, percent), "links")
+    links = written(confirmed(tested, texts, width, percent), "links")
+    found = written(components(links), "components")
+    named = crowd.select("key", "rep", "n").join(found, F.col("rep") == F.col("node"), "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("comp"))
+    mixed = named.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("held")).where("x < y").select("key", "held")
+    left = written(named.join(mixed, "key"), "mixed")
+    few = left.where(F.col("held") <= SMALL)
+    other = few.select("key", F.col("rep").alias("b"), F.col("n").alias("ln"), F.col("comp").alias("lc"))
+    pairs = few.join(other, "key").where("comp <> lc AND rep > b").where(fit).select(F.col("rep").alias("a"), "b").distinct()
+    pairs = written(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+    many = left.where(F.col("held") > SMALL).withColumn("blocks", F.ceil(F.col("held") / BLOCK).cast("int"))
+    many = many.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    turns = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("own", k).alias("i"), F.greatest("own", k).alias("j"), (F.col("own") > k).cast("int").alias("side")))
+    dealt = many.select("key", "rep", F.inline(turns)).join(texts.withColumnRenamed("id", "rep"), "rep")
+    forest = dealt.groupBy("key", "i", "j").applyInPandas(_block_links(width, percent), "a long, b long")
+    links = links.unionByName(written(confirmed(pairs, texts, width, percent).unionByName(forest), "links"))
     found = written(components(links), "components")
-    members = crowd.select("key", "rep", "n")
-    for turn in range(LEADER_ROUNDS + 1):
-        named = members.join(found, members["rep"] == found["node"], "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("comp"))
-        mixed = named.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("held"), F.min_by(F.struct("rep", "n", "comp"), F.xxhash64("rep", F.lit(turn))).alias("lead")).where("x < y")
-        left = written(named.join(mixed.select("key", "held", "lead"), "key"), "mixed")
-        total, n_rows = left.agg(F.sum(F.col("held") - 1), F.count(F.lit(1))).first()
-        if not n_rows:
-            break
-        last = turn == LEADER_ROUNDS or total <= 4 * n_rows
-        if last:
-            one, two = left.select("key", "rep", "n", "comp"), left.select("key", F.col("rep").alias("lead"), F.col("n").alias("ln"), F.col("comp").alias("lc"))
-            pairs = one.join(two, "key").where("comp <> lc AND rep < lead")
-        else:
-            pairs = left.select("rep", "n", "comp", F.col("lead.rep").alias("lead"), F.col("lead.n").alias("ln"), F.col("lead.comp").alias("lc")).where("comp <> lc")
-        pairs = pairs.where(fit).select(F.greatest("rep", "lead").alias("a"), F.least("rep", "lead").alias("b")).distinct()
-        pairs = written(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        more = written(confirmed(pairs, docs, width, percent), "links")
-        links, tested = links.unionByName(more), tested.unionByName(pairs)
-        found = written(components(links), "components")
-        if last:
-            break
-        members = left.select("key", "rep", "n")
     named = classes.select("digest", F.col("n_shingles").alias("_n"), "rep").join(found, F.col("rep") == F.col("node"), "left").select("digest", "_n", F.coalesce("component", "rep").alias("comp"))
     out = made.drop("bands").join(named, (made["digest"] == named["digest"]) & (made["n_shingles"] == named["_n"]), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id"))
