@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import load
+from .common import fresh_name, load
 
 LINES = 3
 BLANK = " \t\x0b\f\r"
@@ -49,28 +49,31 @@ def dedup_lines(docs: DataFrame, size: int = LINES) -> DataFrame:
     the same first occurrences and lose the same lines. Lines that stay keep their white space, and
     blank lines stay. Columns named n_lines or n_removed are replaced, others kept.
     """
-    starts = covered_starts(docs.select("doc_id", "text"), size).withColumnRenamed("doc_id", "_of")
-    joined = docs.join(starts, F.col("doc_id") == F.col("_of"), "left").drop("_of")
-    content = _content(F.col("text"))
-    out = F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s, s + (size - 1)))))
+    of, name = fresh_name(docs, "of", "starts")
+    starts = covered_starts(docs.select("doc_id", "text"), size).select(F.col("doc_id").alias(of), F.col("starts").alias(name))
+    joined = docs.join(starts, F.col("doc_id") == F.col(of), "left").drop(of)
+    content, held = _content(F.col("text")), F.col(name)
+    out = F.array_distinct(F.flatten(F.transform(held, lambda s: F.sequence(s, s + (size - 1)))))
     gone = F.transform(F.array(content), lambda c: F.transform(out, lambda i: c[i]["at"]))[0]
     stay = F.transform(F.array(_lines(F.col("text"))), lambda ls: F.transform(F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), gone), lambda i: ls[i]))[0]
     return joined.withColumns(
         {
             "n_lines": F.size(content).cast("long"),
-            "n_removed": F.when(F.col("starts").isNull(), 0).otherwise(F.size(out)).cast("long"),
-            "text": F.when(F.col("starts").isNull(), F.col("text")).otherwise(F.array_join(stay, "\n")),
+            "n_removed": F.when(held.isNull(), 0).otherwise(F.size(out)).cast("long"),
+            "text": F.when(held.isNull(), F.col("text")).otherwise(F.array_join(stay, "\n")),
         }
-    ).drop("starts")
+    ).drop(name)
 
 
 def clean_documents(docs: DataFrame) -> DataFrame:
     """docs without repeated passages, with the columns of docs; n_chars (if there) is the new
     length. A document that loses all its content goes, as it is a copy."""
-    kept = dedup_lines(docs).where("n_removed = 0 OR n_removed < n_lines")
+    names = {"n_lines": fresh_name(docs, "own_lines")[0], "n_removed": fresh_name(docs, "own_removed")[0]}
+    aside = docs.withColumnsRenamed({k: v for k, v in names.items() if k in docs.columns})
+    kept = dedup_lines(aside).where("n_removed = 0 OR n_removed < n_lines")
     if "n_chars" in docs.columns:
         kept = kept.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return kept.drop("n_lines", "n_removed").withColumnsRenamed({v: k for k, v in names.items()}).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op4_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import load, written
+from .common import fresh_name, load, written
 from .graph import components, local_roots
 from .shingles import mix, parts, shingle_sets
 
@@ -181,8 +181,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
 def deduplicate(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """docs without the near duplicates: of each component the document with the smallest doc_id."""
-    gone = near_duplicates(docs, width, percent).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    (name,) = fresh_name(docs, "gone")
+    gone = near_duplicates(docs, width, percent).where("NOT kept").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col(name), "left_anti")
 
 
 def op6_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
