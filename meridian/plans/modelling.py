@@ -107,7 +107,7 @@ def ml02_tuned(spark, sf_dir):
     return spark.createDataFrame([("lasso", float(max(one.avgMetrics))), ("boosted", float(max(two.avgMetrics)))], "model string, auroc double")
 
 
-LINEAR = "p AS (SELECT l_orderkey AS o, l_linenumber AS ln, l_partkey AS pk, l_suppkey AS sk, unnest(['l_quantity', 'l_discount', 'l_tax']) AS feature, unnest([l_quantity * 0.02::DOUBLE, l_discount * -3.0::DOUBLE, l_tax * 2.0::DOUBLE]) AS value, l_returnflag AS s FROM lineitem)"
+LINEAR = "b AS (SELECT l_orderkey AS o, l_linenumber AS ln, l_partkey AS pk, l_suppkey AS sk, unnest(['l_quantity', 'l_discount', 'l_tax']) AS feature, unnest([l_quantity * 0.02::DOUBLE, l_discount * -3.0::DOUBLE, l_tax * 2.0::DOUBLE]) AS value, l_returnflag AS s FROM lineitem), p AS (SELECT o, ln, pk, sk, s, feature, sum(value) AS value FROM b GROUP BY ALL)"
 
 
 def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,7 +143,7 @@ def ex08_agreement(spark, sf_dir):
     return X.mean_agreement(X.agreement(table, ["fold"])).withColumn("rho", F.round("rho", 9))
 
 
-@_query(f"WITH {LINEAR}, g AS (SELECT o, ln, pk, sk, s, feature, sum(value) AS value FROM p GROUP BY ALL), w AS (SELECT feature, value, row_number() OVER (PARTITION BY o, ln, pk, sk ORDER BY abs(value) DESC, feature) AS r FROM g) SELECT least(r, 2)::INT AS place, count(DISTINCT CASE WHEN r >= 2 THEN '(other)' ELSE feature END) AS n_features, round(sum(value), 4) AS value FROM w GROUP BY 1")
+@_query(f"WITH {LINEAR}, w AS (SELECT feature, value, row_number() OVER (PARTITION BY o, ln, pk, sk ORDER BY abs(value) DESC, feature) AS r FROM p) SELECT least(r, 2)::INT AS place, count(DISTINCT CASE WHEN r >= 2 THEN '(other)' ELSE feature END) AS n_features, round(sum(value), 4) AS value FROM w GROUP BY 1")
 def ex10_waterfall(spark, sf_dir):
     return X.waterfall(_parts(spark, sf_dir), 0.1, 1).groupBy("place").agg(F.count_distinct("feature").alias("n_features"), F.round(F.sum("value"), 4).alias("value"))
 
