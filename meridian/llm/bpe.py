@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import load
 from .tokens import vocabulary
 
-MOST_CACHED = 400_000
+MOST_CACHED = 700_000
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _SPACES = regex.compile(r"\s+")
 _NONE = 1 << 62
@@ -55,7 +55,11 @@ class WordBpe:
         self.letters = _byte_letters()
         self.words = regex.compile(SPLIT)
         self.marks = regex.compile("|".join(map(regex.escape, self.special)) or r"(?!)")
-        self.longest = max(map(len, self.id))
+        #: Of each three letters: the longest token that begins with them, the suffix not counted.
+        self.reach: dict[str, int] = {}
+        for token in self.id:
+            body = token.removesuffix(self.suffix) if self.suffix else token
+            self.reach[body[:3]] = max(self.reach.get(body[:3], 0), len(body))
         self.sound: dict[int, bool] = {}  # whether merging a token's own letters gives the token
         self.pairs = np.zeros(0, np.int64)  # decided pairs, sorted: left << 32 | right
         self.fits = np.zeros(0, bool)
@@ -88,7 +92,8 @@ class WordBpe:
         """Longest sound tokens from the left of a word that ends in the suffix."""
         ids, at, inner = [], 0, len(word) - len(self.suffix)
         while at < inner:
-            for end in range(min(inner, at + self.longest), at, -1):
+            reach = self.reach.get(word[at : at + 3], 2) if at + 3 <= inner else 2
+            for end in range(min(inner, at + reach), at, -1):
                 token = word[at:end] if end < inner else word[at:]
                 i = self.id.get(token)
                 if i is not None and self._sound(i, token):
@@ -143,11 +148,6 @@ class WordBpe:
     def _prepare(self, texts: list[str]) -> list[list[str]]:
         """Pieces between white space of each text, whose encodings are then kept. A special token
         stands between them as its string after a space, which no piece has."""
-        if len(self.piece_ids) > MOST_CACHED or not self.piece_ids:
-            self.piece_ids = {" " + t: array("I", [i]).tobytes() for t, i in self.special.items()}
-            self.piece_text = {" " + t: t for t in self.special}
-        if len(self.known) > MOST_CACHED:
-            self.known.clear()
         out: list[list[str]] = []
         for text in texts:
             items: list[str] = []
@@ -156,7 +156,14 @@ class WordBpe:
                 items += [*self._split(text[at : mark.start()]), " " + mark[0]]
                 at = mark.end()
             out.append(items + self._split(text[at:]) if at else self._split(text))
-        new = set(chain.from_iterable(out)) - self.piece_ids.keys()
+        used = set(chain.from_iterable(out))
+        if len(self.piece_ids) > MOST_CACHED or not self.piece_ids:  # keep what this batch has
+            marks = {" " + t: i for t, i in self.special.items()}
+            self.piece_ids = {p: self.piece_ids[p] for p in used & self.piece_ids.keys()} | {m: array("I", [i]).tobytes() for m, i in marks.items()}
+            self.piece_text = {p: self.piece_text[p] for p in used & self.piece_text.keys()} | {m: m[1:] for m in marks}
+        if len(self.known) > MOST_CACHED:
+            self.known.clear()
+        new = used - self.piece_ids.keys()
         parts = {p: [self._letters(w) for w in self.words.findall("".join("σ" if c == "Σ" else c.lower() for c in p) if "Σ" in p else p.lower())] for p in new}
         if fresh := list(set(chain.from_iterable(parts.values())) - self.known.keys()):
             self._learn(fresh)
