@@ -14,10 +14,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import load
+from .common import fresh_name, load, written
 
 GAMMA = 1.02
 MIN_DOCS = 100
+#: Fences of at most so many groups are broadcast; more are joined by shuffling.
+BROADCAST_ROWS = 20_000
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, REPEATED_PERCENT = 50, 50
 #: Measure: (multiple of the interquartile range, least upper fence, whether a lower fence holds too).
@@ -129,12 +131,16 @@ def judged(measured: DataFrame, prefix: str = "", least_docs: int = MIN_DOCS) ->
     whole = all_fences.where("level = 3").select(pack.alias("whole"))
     table = group.join(tongue, group["_l"].eqNullSafe(tongue["_l"]), "left").drop(tongue["_l"]).crossJoin(whole)  # whole is one row
     table = table.select("_l", "_s", F.coalesce("own", "wide", "whole").alias("_fence"))
-    joined = measured.join(table, measured["lang"].eqNullSafe(table["_l"]) & measured["source"].eqNullSafe(table["_s"]), "left").drop("_l", "_s")
+    table = written(table, "fences")
+    small = table.count() <= BROADCAST_ROWS
+    lang, source, fence = fresh_name(measured, "l", "s", "fence")
+    table = table.toDF(lang, source, fence)
+    table = F.broadcast(table) if small else table
+    joined = measured.join(table, measured["lang"].eqNullSafe(F.col(lang)) & measured["source"].eqNullSafe(F.col(source)), "left").drop(lang, source)
     outside = F.lit(False)
     for name, value in _values(prefix).items():
-        fence = F.col("_fence")
-        outside |= F.coalesce((value > fence[f"high_{name}"]) | (value < fence[f"low_{name}"]), F.lit(False))
-    return joined.withColumn(prefix + "kept", ~F.col(prefix + "base_failed") & ~outside).drop("_fence")
+        outside |= F.coalesce((value > F.col(fence)[f"high_{name}"]) | (value < F.col(fence)[f"low_{name}"]), F.lit(False))
+    return joined.withColumn(prefix + "kept", ~F.col(prefix + "base_failed") & ~outside).drop(fence)
 
 
 def filter_documents(docs: DataFrame) -> DataFrame:
