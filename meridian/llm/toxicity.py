@@ -22,14 +22,18 @@ from .common import load, written
 
 #: At most so many labelled rows (those of least hash) are fitted; all documents are scored.
 MOST_ROWS = 20_000
-FOLDS, FEATURES, PREFIX = 3, 1 << 16, 4
+FOLDS, PREFIX, BLOCK_ROWS = 3, 4, 1_000
+#: Hashed places of words, then those of first letters; places held by fewer rows have no weight.
+WORDS, STARTS, LEAST_ROWS = 1 << 18, 1 << 16, 5
+FEATURES = WORDS + STARTS
 
 
 def features(text: Column) -> Column:
     """Distinct hashes of the lower-case words and of their first letters; punctuation parts words."""
     words = F.array_distinct(F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}]+"), ""))
-    terms = F.transform(F.array(words), lambda w: F.concat(w, F.array_distinct(F.transform(w, lambda x: F.concat(F.lit("^"), F.substring(x, 1, PREFIX))))))[0]
-    return F.array_distinct(F.transform(terms, lambda t: F.pmod(F.xxhash64(t), F.lit(FEATURES)).cast("int")))
+    place = lambda t, base, size: (F.pmod(F.xxhash64(t), F.lit(size)) + base).cast("int")
+    both = lambda w: F.concat(F.transform(w, lambda t: place(t, 0, WORDS)), F.transform(F.array_distinct(F.transform(w, lambda t: F.substring(t, 1, PREFIX))), lambda t: place(t, WORDS, STARTS)))
+    return F.array_distinct(F.transform(F.array(words), both)[0])
 
 
 def _margins(w: np.ndarray, flat: np.ndarray, row: np.ndarray, before: np.ndarray) -> np.ndarray:
@@ -47,16 +51,28 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * z))
 
 
-def fit_logistic(flat: np.ndarray, row: np.ndarray, before: np.ndarray, y: np.ndarray, ridge: float = 1e-4, steps: int = 30) -> np.ndarray:
-    """Ridge logistic regression by L-BFGS; labels of one value give a constant near that value."""
+def fit_logistic(lists: pd.Series, before: np.ndarray, y: np.ndarray, ridge: float = 3e-5, steps: int = 60) -> np.ndarray:
+    """Ridge logistic regression by L-BFGS; labels of one value give a constant near that value.
+
+    Rows are summed in blocks, so beside the features themselves little memory is held."""
     n, size = len(y), FEATURES + before.shape[1] + 1
+    cuts = [slice(k, k + BLOCK_ROWS) for k in range(0, n, BLOCK_ROWS)]
+    blocks = [(np.concatenate([np.asarray(x, np.int32) for x in lists.iloc[c]] or [np.zeros(0, np.int32)]), lists.iloc[c].map(len).to_numpy(dtype=np.int64), before[c], y[c]) for c in cuts]
+
+    held_by = sum((np.bincount(b[0], minlength=FEATURES) for b in blocks), np.zeros(FEATURES, np.int64))
+    rare = np.flatnonzero(held_by < LEAST_ROWS)  # else the words of one row alone would explain it
 
     def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
-        z = _margins(w, flat, row, before)
-        miss = (_sigmoid(z) - y) / max(n, 1)
-        grad = np.concatenate([np.bincount(flat, miss[row], FEATURES), miss @ before, [miss.sum()]])
+        total, grad = 0.0, np.zeros(size)
+        for flat, sizes, held, truth in blocks:
+            row = np.repeat(np.arange(len(truth)), sizes)
+            z = _margins(w, flat, row, held)
+            miss = (_sigmoid(z) - truth) / n
+            total += float(np.sum(np.logaddexp(0, z) - truth * z)) / n
+            grad += np.concatenate([np.bincount(flat, miss[row], FEATURES), miss @ held, [miss.sum()]])
         grad[:-1] += ridge * w[:-1]
-        return float(np.mean(np.logaddexp(0, z) - y * z) if n else 0.0) + ridge / 2 * float(w[:-1] @ w[:-1]), grad
+        grad[rare] = 0
+        return total + ridge / 2 * float(w[:-1] @ w[:-1]), grad
 
     w = np.zeros(size)
     value, grad = loss(w)
@@ -97,7 +113,7 @@ def _fit_task(part: pd.DataFrame) -> pd.DataFrame:
     stack = lambda rows: np.array(list(rows["before"]), float).reshape(len(rows), -1)
     width = len(part["before"].iloc[0])
     before = stack(fit) if len(fit) else np.zeros((0, width))
-    w = fit_logistic(*_flat(fit["idx"]), before, fit["y"].to_numpy(float))
+    w = fit_logistic(fit["idx"], before, fit["y"].to_numpy(float))
     out = pd.DataFrame({"row": [-1], "p": [np.nan], "weights": [w]})
     if len(held):
         p = _sigmoid(_margins(w, *_flat(held["idx"]), stack(held)))
@@ -169,6 +185,6 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The label table has two columns, so the chain has two links: low quality, then toxic."""
     docs, labels = load(spark, sf_dir, "documents").select("doc_id", "text"), load(spark, sf_dir, "labels")
     known = labels.select(F.col("doc_id").alias("_of"), (1 - F.col("quality")).alias("low_quality"), "toxic").orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_ROWS)
-    labelled = docs.join(known, F.col("doc_id") == F.col("_of")).drop("_of")
+    labelled = docs.join(F.broadcast(known), F.col("doc_id") == F.col("_of")).drop("_of")  # MOST_ROWS rows
     chain = fit_chain(labelled, ("low_quality", "toxic"))
     return chain.predict(docs).select("doc_id", "p_low_quality", "low_quality", "p_toxic", "toxic")

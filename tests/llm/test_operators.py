@@ -208,7 +208,8 @@ def test_toxicity_on_held_out_rows(spark):
     rows = docs.join(labels, "doc_id")
     chain = toxicity.fit_chain(rows.where("doc_id % 3 <> 0"), ("low_quality", "toxic"))
     got = chain.predict(rows.where("doc_id % 3 = 0").withColumnRenamed("toxic", "truth")).select("toxic", "truth").collect()
-    assert sum(r.toxic == bool(r.truth) for r in got) >= 0.97 * len(got)
+    wrong, toxic = sum(r.toxic != bool(r.truth) for r in got), sum(r.truth for r in got)
+    assert 0 < toxic and wrong <= toxic / 2  # half the errors of calling nothing toxic; 2,700 rows fitted
     odd_rows = spark.createDataFrame([(None, None), (1, ""), (1, "")], "doc_id long, text string")
     assert chain.predict(odd_rows).count() == 3 and chain.predict(odd_rows.limit(0)).count() == 0
 
