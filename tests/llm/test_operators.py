@@ -119,6 +119,16 @@ def test_odd_documents(spark, odd):
         assert made.count() == 0
 
 
+def test_short_copies_go_from_the_pipeline(spark):
+    rows = [(1, "only line"), (2, " only line\n\n"), (3, "only line\nnext"), (4, "only line\n\nnext"), (5, "only line\nnext\nthird"), (6, "next\nonly line"), (7, ""), (8, ""), (None, "only line"), (9, "only line\nnext"), (9, "a\nb\nc\nd")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [(r.doc_id, r.text) for r in linededup.clean_documents(frame).collect()]
+    assert sorted(kept, key=str) == sorted((r for k, r in enumerate(rows) if k not in (1, 3, 9)), key=str)
+    gone = [(r.n_lines, r.n_removed) for r in linededup.dedup_lines(frame, short=True).where("doc_id IN (2, 4)").collect()]
+    assert sorted(gone) == [(1, 1), (2, 2)]
+    assert linededup.dedup_lines(frame).agg(F.sum("n_removed")).first()[0] == 0  # the method of the SQL
+
+
 def test_quality_keeps_clean_and_drops_odd_documents(spark):
     draw = random.Random(3)
     prose = lambda: " ".join(draw.choice(["alpha", "beta", "gamma", "delta", "of", "the"]) + str(draw.randrange(500)) for _ in range(120))
