@@ -6,6 +6,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -224,6 +225,22 @@ def test_toxicity_on_held_out_rows(spark):
     assert chain.predict(odd_rows).count() == 3 and chain.predict(odd_rows.limit(0)).count() == 0
 
 
+def test_toxicity_recall_on_held_out_rows(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet").withColumn("low_quality", 1 - F.col("quality"))
+    rows = docs.join(labels, "doc_id")
+    chain = toxicity.fit_chain(rows.where("doc_id % 3 <> 0"), ("low_quality", "toxic"))
+    got = chain.predict(rows.where("doc_id % 3 = 0").withColumnRenamed("toxic", "truth")).select("toxic", "truth").collect()
+    assert sum(r.toxic == bool(r.truth) for r in got) >= 0.95 * len(got)
+    assert sum(r.toxic for r in got if r.truth) >= 0.68 * sum(r.truth for r in got)
+
+
+def test_words_of_three_labelled_rows_have_weight():
+    lists, y = pd.Series([[7], [7], [7], [8], [8], [9], [9], [9]]), np.array([1.0, 1, 1, 1, 1, 0, 0, 0])
+    w = toxicity.fit_logistic(lists, np.zeros((8, 0)), y)
+    assert w[7] > 0 > w[9] and w[8] == 0
+
+
 def test_license_notices(spark):
     docs = [(1, "Some prose here.\nReleased under the MIT License.\nMore prose of ours."), (2, "The license to drive was granted."), (3, "Licensed under CC BY-NC 4.0.\nThis work is licensed under the GNU General Public License, version 3."), (4, None), (4, ""), (None, "Released under the MIT License.")] + [(i, f"plain words number {i} about rivers and {i * 7} hills") for i in range(10, 60)]
     got = {r.doc_id: (r.n_notices, r.families) for r in licenses.scan_documents(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
