@@ -247,6 +247,25 @@ def test_license_notices(spark):
     assert got[1] == (1, "mit") and got[2] == (0, None) and got[3] == (2, "cc-by-nc,gpl") and got[4] == (0, None) and got[None] == (1, "mit") and len(got) == 55
 
 
+def test_license_notices_wrapped_and_double(spark):
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction."
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:"
+    gpl = "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version 3 of the License, or\n# (at your option) any later version."
+    lesser = "You should have received a copy of the GNU Lesser General Public\nLicense along with this library."
+    docs = [(1, mit), (2, bsd), (3, f"Words before.\n{gpl}\n\n{mit}"), (4, lesser), (5, "Licensed under the MIT License or the Apache License, Version 2.0."), (6, "SPDX-License-Identifier: MIT OR Apache-2.0"), (7, bsd.replace("\n", "\n\n")), (8, bsd), (8, bsd), (9, "Licensed under CC BY-NC 4.0.\nLicensed under CC BY 4.0.\nLicensed under CC BY 4.0.")]
+    docs += [(i, f"plain words number {i} about rivers and {i * 7} hills") for i in range(10, 60)]
+    got = {r.doc_id: (r.n_notices, r.families) for r in licenses.scan_documents(spark.createDataFrame(docs, "doc_id long, text string")).where("doc_id < 10").collect()}
+    assert got == {1: (1, "mit"), 2: (1, "bsd"), 3: (2, "gpl,mit"), 4: (1, "lgpl"), 5: (1, "apache,mit"), 6: (1, "apache,mit"), 7: (0, None), 8: (2, "bsd"), 9: (3, "cc-by,cc-by-nc")}
+
+
+def test_license_hints_lose_no_notice():
+    for family, texts in licenses.TEMPLATES.items():
+        for text in texts:
+            pairs = licenses.template_pairs(text)
+            left = [p for p in pairs if not set(p.split()) & set(licenses.HINTS)]
+            assert len(left) / len(pairs) < licenses.CONFIRM or any(p in licenses.NAMES[family] and p not in left for p in pairs), text
+
+
 def test_pipeline_stages_equal_brute_force(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     columns = docs.columns
