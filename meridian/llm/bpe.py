@@ -10,6 +10,7 @@ pair are merged in full. Words, and the pieces between white space, are kept in
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import unicodedata
 from array import array
@@ -27,6 +28,8 @@ from .common import load
 from .tokens import vocabulary
 
 MOST_CACHED = 700_000
+#: Words of more letters than this are merged over a heap, shorter ones over a plain list.
+LONG = 100
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _SPACES = regex.compile(r"\s+")
 _NONE = 1 << 62
@@ -76,6 +79,8 @@ class WordBpe:
 
     def merge(self, ids: list[int]) -> list[int]:
         """Exact merging: the adjacent pair of least rank first, the leftmost of equals."""
+        if len(ids) > LONG:
+            return self._merge_long(ids)
         get = self.joins.get
         found = [get(a << 32 | b, _NONE) for a, b in zip(ids, ids[1:], strict=False)]
         while found and (least := min(found)) != _NONE:
@@ -88,6 +93,29 @@ class WordBpe:
                 found[i] = get(ids[i] << 32 | ids[i + 1], _NONE)
         return ids
 
+    def _merge_long(self, ids: list[int]) -> list[int]:
+        """merge over a linked list and a heap of (rank, place), in n log n steps. A heap entry whose
+        pair has changed meanwhile is passed over, as its rank is no longer that of the pair."""
+        get, n = self.joins.get, len(ids)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(found >> 32) << 32 | i for i in range(n - 1) if (found := get(ids[i] << 32 | ids[i + 1])) is not None]
+        heapq.heapify(heap)
+        while heap:
+            entry = heapq.heappop(heap)
+            i = entry & 0xFFFFFFFF
+            j = after[i]
+            if ids[i] < 0 or j >= n or (found := get(ids[i] << 32 | ids[j])) is None or found >> 32 != entry >> 32:
+                continue
+            ids[i], ids[j] = found & 0xFFFFFFFF, -1
+            k = after[i] = after[j]
+            if k < n:
+                before[k] = i
+                if (found := get(ids[i] << 32 | ids[k])) is not None:
+                    heapq.heappush(heap, (found >> 32) << 32 | i)
+            if (h := before[i]) >= 0 and (found := get(ids[h] << 32 | ids[i])) is not None:
+                heapq.heappush(heap, (found >> 32) << 32 | h)
+        return [i for i in ids if i >= 0]
+
     def _greedy(self, word: str) -> list[int] | None:
         """Longest sound tokens from the left of a word that ends in the suffix."""
         ids, at, inner = [], 0, len(word) - len(self.suffix)

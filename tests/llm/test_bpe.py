@@ -1,10 +1,11 @@
 import random
+import time
 
 import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from meridian.llm.bpe import encode_documents, word_bpe
+from meridian.llm.bpe import LONG, encode_documents, word_bpe
 from meridian.llm.tokens import byte_bpe, vocabulary
 
 
@@ -32,6 +33,18 @@ def test_odd_texts_equal_the_library(library):
     check(library, ["".join(draw.choice(atoms) for _ in range(draw.randrange(0, 12))) for _ in range(3000)])
 
 
+def test_long_unbroken_words_equal_the_library(library):
+    draw = random.Random(5)
+    for letters in ("ab", "etaoinshrdlu", "0123456789abcdef", "é中a"):
+        check(library, ["".join(draw.choice(letters) for _ in range(n)) for n in (LONG - 1, LONG, LONG + 1, 5_000)])
+    word_bpe()
+    blob = "".join(draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(1_000_000))
+    began = time.process_time()
+    [(raw, _)] = word_bpe().encode_batch([blob])
+    assert time.process_time() - began < 30  # quadratic merging would take hours
+    assert np.frombuffer(raw, "<u4").tolist() == library.encode(blob, add_special_tokens=False).ids
+
+
 def test_documents(spark, library):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = [(None, None, 1), (7, "", 1), (7, "", 1), (8, "word " * 50000, 1)]
