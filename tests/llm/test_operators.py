@@ -172,15 +172,10 @@ def test_configurations_cover_the_demand():
     assert all(sum(p[g] * n for p, n in made) >= demand[g] for g in range(4))
 
 
-def test_vectors_with_odd_rows_equal_brute_force(spark):
-    draw = np.random.default_rng(4)
-    base = draw.normal(size=(12, 8))
-    made = [(i, [float(x) for x in base[i % 12] + draw.normal(size=8) * 0.03], i % 2) for i in range(200)]
-    made += [(200, made[0][1], 0), (201, [0.0] * 8, 0), (202, None, 0), (203, [float("nan")] * 8, 0), (204, [None] * 8, 0), (205, made[0][1], None), (None, made[0][1], 0), (206, [2 * x for x in made[0][1]], 0), (207, [1.0, 2.0], 0)]
-    frame = spark.createDataFrame([(*m, 1.5, 7) for m in made], "vec_id long, embedding array<double>, label int, n double, rep int")
-    got = {r.vec_id: (r.n_links, r.component_id) for r in vectors.near_duplicate_vectors(frame, cell_rows=25).collect()}
+def brute_links(made, ids):
+    """(number of links, smallest id reachable) of each id, for rows (id, vector, label)."""
     usable = [(i, np.array(v), c) for i, v, c in made if i is not None and c is not None and v and None not in v and np.isfinite(v).all() and np.any(v)]
-    links = {i: [] for i in got}
+    links = {i: [] for i in ids}
     for i, v, c in usable:
         for j, w, d in usable:
             if i != j and c == d and len(v) == len(w) and v @ w / np.linalg.norm(v) / np.linalg.norm(w) >= 0.98:
@@ -195,7 +190,37 @@ def test_vectors_with_odd_rows_equal_brute_force(spark):
                     todo.append(j)
         return min(seen) if i is not None else None
 
-    assert got == {i: (len(links[i]), reach(i)) for i in got}
+    return {i: (len(links[i]), reach(i)) for i in ids}
+
+
+@pytest.mark.parametrize(("cell_rows", "gain"), [(25, 9.0), (4, 9.0), (4_000, 0.5)])
+def test_vectors_with_odd_rows_equal_brute_force(spark, monkeypatch, cell_rows, gain):
+    monkeypatch.setattr(vectors, "CHILDREN", 6)
+    draw = np.random.default_rng(4)
+    base = draw.normal(size=(12, 8))
+    made = [(i, [float(x) for x in base[i % 12] + draw.normal(size=8) * 0.03], i % 2) for i in range(400)]
+    made += [(500, made[0][1], 0), (501, [0.0] * 8, 0), (502, None, 0), (503, [float("nan")] * 8, 0), (504, [None] * 8, 0), (505, made[0][1], None), (None, made[0][1], 0), (506, [2 * x for x in made[0][1]], 0), (507, [1.0, 2.0], 0), (508, [], 0)]
+    frame = spark.createDataFrame([(*m, 1.5, 7) for m in made], "vec_id long, embedding array<double>, label int, n double, rep int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vectors.near_duplicate_vectors(frame, cell_rows=cell_rows, gain=gain).collect()}
+    assert got == brute_links(made, got)
+    assert vectors.near_duplicate_vectors(frame.limit(0)).count() == 0
+
+
+def test_vectors_of_many_lengths(spark):
+    made = [(2 * n + k, [1.0] * n + [0.01 * k], 1) for n in range(1, 80) for k in (0, 1)]
+    frame = spark.createDataFrame(made, "vec_id long, embedding array<float>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vectors.near_duplicate_vectors(frame).collect()}
+    assert got == brute_links(made, got) and sum(n for n, _ in got.values()) == 2 * 79
+
+
+def test_vector_blocks_meet_once(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "BLOCK_NUMBERS", 8 * 64)  # blocks of 64 rows
+    draw = np.random.default_rng(2)
+    base = draw.normal(size=(30, 8))
+    made = [(i, [float(x) for x in base[i % 30] + draw.normal(size=8) * 0.04], 3) for i in range(900)]
+    frame = spark.createDataFrame(made, "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vectors.near_duplicate_vectors(frame, cell_rows=100, gain=9.0).collect()}
+    assert got == brute_links(made, got)
 
 
 def test_warc_round_trip(spark):
