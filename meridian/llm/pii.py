@@ -1,6 +1,6 @@
 """Personal data by anchor expansion: one Aho-Corasick pass finds at-signs, schemes, signs before
-digits, joined digits and account cues; small deterministic parsers then expand each anchor to the
-bounds of an address, number or account and validate it."""
+digits, joined digits, and the cues of accounts and secrets; small deterministic parsers then expand
+each anchor to the bounds of an address, number, account or secret and validate it."""
 
 from __future__ import annotations
 
@@ -17,7 +17,7 @@ from pyspark.sql.types import StringType
 from .common import load
 
 #: Kinds in the order in which spans of one start are listed; the first four are the base kinds.
-KINDS = ("email", "ip", "card", "phone", "url", "iban", "account")
+KINDS = ("email", "ip", "card", "phone", "url", "iban", "account", "secret")
 DIGIT = frozenset("0123456789")
 ALNUM = DIGIT | frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
 LOCAL, LABEL = ALNUM | frozenset("._%+-"), ALNUM | frozenset("-")
@@ -25,6 +25,13 @@ PHONE = DIGIT | frozenset(" ().-")
 SCHEME = ALNUM | frozenset("+.-")
 CUES = ("account number", "account no", "acct", "Account number", "Account no", "Account Number", "ACCOUNT NUMBER")
 
+#: A value that is assigned to a name ending in one of these (in lower, upper or title case) is a secret
+#: if it has SECRET_CHARS or more characters, a digit among them.
+SECRET_CUES = ("token", "secret", "password", "passwd", "passphrase", "pwd", "key", "credential", "credentials")
+SECRET, SECRET_CHARS = ALNUM | frozenset("+/_=~.-"), 8
+#: Beginnings of issued keys, and how many letters or digits follow.
+ISSUED = {"AKIA": 16, "ASIA": 16, "ghp_": 36, "gho_": 36, "ghs_": 36, "ghu_": 36}
+
 Span = tuple[str, int, int]
 
 
@@ -43,6 +50,11 @@ def _anchors() -> ahocorasick.Automaton:
         found.add_word(cue, ("iban", len(cue)))
     for cue in CUES:
         found.add_word(cue, ("account", len(cue)))
+    for cue in SECRET_CUES:
+        for form in {cue, cue.upper(), cue.title()}:
+            found.add_word(form, ("secret", len(form)))
+    for head in ISSUED:
+        found.add_word(head, ("issued", len(head)))
     found.make_automaton()
     return found
 
@@ -139,7 +151,7 @@ def _url(text: str, at: int, free: int) -> tuple[Span | None, int]:
 
 def _iban(text: str, at: int, free: int) -> tuple[Span | None, int]:
     start = _run(text, at, frozenset(" :#.=\t"))
-    if start - at > 12 or len(text) - start < 15 or not (text[start : start + 2].isascii() and text[start : start + 2].isalpha() and text[start + 2] in DIGIT and text[start + 3] in DIGIT):
+    if start < free or start - at > 12 or len(text) - start < 15 or not (text[start : start + 2].isascii() and text[start : start + 2].isalpha() and text[start + 2] in DIGIT and text[start + 3] in DIGIT):
         return None, free
     end, kept, best = start, "", None
     while end < len(text) and len(kept) < 34 and (text[end] in ALNUM or (text[end] == " " and end + 1 < len(text) and text[end + 1] in ALNUM)):
@@ -157,6 +169,33 @@ def _account(text: str, at: int, free: int) -> tuple[Span | None, int]:
     return (("account", start, end), end) if start - at <= 12 and 6 <= digits <= 17 else (None, free)
 
 
+def _secret(text: str, at: int, free: int, dead: int) -> tuple[Span | None, int, int]:
+    """The value of an assignment: name, perhaps a quote, = or : among at most four blanks, perhaps a quote.
+
+    Also where the next secret may begin, and up to where the run of a rejected value reaches, as
+    its later parts would be rejected too."""
+    here = at + 1 if text[at : at + 1] in ("'", '"') else at
+    sign = _run(text, here, frozenset(" \t"))
+    start = _run(text, sign + 1, frozenset(" \t"))
+    if sign - here > 4 or start - sign > 5 or text[sign : sign + 1] not in ("=", ":"):
+        return None, free, dead
+    start += text[start : start + 1] in ("'", '"')
+    if start < max(free, dead):
+        return None, free, dead
+    stop = _run(text, start, SECRET)
+    end = _back(text, stop, frozenset("."), start)
+    if end - start < SECRET_CHARS or DIGIT.isdisjoint(text[start:end]):
+        return None, free, stop
+    return ("secret", start, end), end, dead
+
+
+def _issued(text: str, at: int, free: int) -> tuple[Span | None, int]:
+    end = _run(text, at + 4, ALNUM)
+    if at < free or (at and text[at - 1] in ALNUM) or end - at - 4 != ISSUED[text[at : at + 4]]:
+        return None, free
+    return ("secret", at, end), end
+
+
 def find_spans(text: str | None) -> list[Span]:
     """Spans (kind, start, end) in code points, end exclusive, by start and then kind as in KINDS.
 
@@ -164,10 +203,17 @@ def find_spans(text: str | None) -> list[Span]:
     """
     if not text:
         return []
-    free = dict.fromkeys(KINDS, 0)  # where the next span of a kind may begin
+    free, dead = dict.fromkeys(KINDS, 0), 0  # where the next span of a kind may begin
     out: list[Span] = []
     for last, (kind, size) in _anchors().iter(text):
         at = last + 1 - size
+        if kind in ("secret", "issued"):
+            if kind == "secret":
+                span, free[kind], dead = _secret(text, last + 1, free[kind], dead)
+            else:
+                span, free["secret"] = _issued(text, at, free["secret"])
+            out += [span] if span else []
+            continue
         if at < free[kind] and kind not in ("iban", "account"):
             continue
         if kind == "ip":
@@ -246,4 +292,4 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.filter("spans", lambda s: s["kind"].isin("email", "ip", "card", "phone"))
     kinds = F.transform("spans", lambda s: s["kind"])
     counts = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in ("email", "ip", "card", "phone")]
-    return found.select("doc_id", *counts, F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"))
