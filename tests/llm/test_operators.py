@@ -85,6 +85,7 @@ def test_near_duplicates_equal_brute_force(spark, width):
 def test_large_buckets_are_compared_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(neardup, "SMALL", 2)
     monkeypatch.setattr(neardup, "BLOCK", 4)
+    monkeypatch.setattr(neardup, "BLOCK_BYTES", 2_000)
     draw = random.Random(9)
     base = [f"w{draw.randrange(500)}" for _ in range(120)]
     docs = []
@@ -97,6 +98,23 @@ def test_large_buckets_are_compared_in_blocks(spark, monkeypatch):
     assert got == {i: c for i, (_, c) in brute_components(docs, 4, 80).items()}
 
 
+def test_no_two_blocks_of_one_component_meet(spark):
+    members = [(7, i, i, 100, 0) for i in range(5_000)] + [(7, 9_000, 1, 100, 9_000)] + [(8, i, i, 10, i) for i in range(600)]
+    rows = spark.createDataFrame(members, "key long, rep long, mark long, bytes long, comp long")
+    dealt = neardup.dealt_blocks(rows)
+    held = dealt.where("key = 7").groupBy("i", "j").agg(F.count_distinct("comp").alias("n")).collect()
+    assert len(held) == 21 and sum(r.n == 2 for r in held) == 20  # 210 pairs of blocks, 20 of which hold two components
+    meet = dealt.where("key = 8").groupBy("i", "j").agg(F.collect_set("rep").alias("reps")).collect()
+    assert len({(a, b) for r in meet for a in r.reps for b in r.reps}) == 600 * 600
+
+
+def test_texts_of_a_repeated_id_are_all_compared(spark):
+    one, two = (" ".join(f"{c}{i}" for i in range(80)) for c in "xy")
+    rows = [(1, one), (5, one), (5, two), (9, two + " end"), (12, "other words here"), (12, "other words here")]
+    got = [(r.doc_id, r.component_id) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(got) == [(1, 1), (5, 1), (5, 1), (9, 1), (12, 12), (12, 12)]
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(1, 30)] + [(100, k) for k in range(101, 140)] + [(7, 7), (None, 3)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
