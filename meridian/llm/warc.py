@@ -2,9 +2,9 @@
 archives back, and assemble each transaction into one nested row through WARC-Concurrent-To.
 
 Archives are gzip files written by Spark's own text writer, so they go wherever Spark writes. A
-record ends in CRLF CRLF; the writer's newline is the last of these four bytes. Readers stream the
-lines of one (unsplittable) file after another and cut records by Content-Length, so payloads may
-hold any bytes, WARC headers among them, and no file is held in memory.
+record ends in CRLF CRLF; the writer's newline is the last of these four bytes. Readers stream one
+(unsplittable) file after another in pieces that end in CRLF CRLF and cut records by Content-Length,
+so payloads may hold any bytes, WARC headers among them, and no file is held in memory.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from .common import fresh_name, load, scratch_path
 
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 RECORDS = "record_id string, record_type string, concurrent_to string, target_uri string, date string, digest string, fields map<string,string>, body_bytes long, body binary"
+END = b"\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -102,33 +103,33 @@ def _headers(block: bytes) -> dict[str, str]:
 
 
 class _Reader:
-    """Takes the lines of archives in order and yields the records they complete."""
+    """Takes archives piece by piece, in order, and yields the records they complete."""
 
     def __init__(self) -> None:
-        self.lines: list[bytes] = []
+        self.held = bytearray()
         self.header: dict[str, str] | None = None
-        self.left = 0
-
-    def feed(self, line: bytes) -> tuple[dict[str, str], bytes] | None:
-        if self.header is None:
-            if line == b"\r" and self.lines:
-                if not self.lines[0].startswith(b"WARC/"):
-                    raise ValueError(f"not a WARC record: {self.lines[0][:80]!r}")
-                self.header = _headers(b"\n".join(self.lines))
-                self.left, self.lines = int(self.header["content-length"]) + 3, []  # and CR LF CR
-            elif line != b"\r":
-                self.lines.append(line)
-            return None
-        self.lines.append(line)
-        self.left -= len(line)
-        if self.left > 0:
-            self.left -= 1  # the newline between this line and the next
-            return None
-        if self.left < 0:
-            raise ValueError(f"record {self.header.get('warc-record-id')} is longer than its Content-Length")
-        out = self.header, b"\n".join(self.lines)[:-3]
-        self.header, self.lines = None, []
-        return out
+
+    def feed(self, piece: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+        self.held += piece + END
+        while True:
+            if self.header is None:
+                while self.held[:1] in (b"\r", b"\n"):  # what is left of END where a body ended in a part of it
+                    del self.held[:1]
+                if (at := self.held.find(END)) < 0:
+                    return
+                if not self.held.startswith(b"WARC/"):
+                    raise ValueError(f"not a WARC record: {bytes(self.held[:80])!r}")
+                self.header = _headers(bytes(self.held[:at]))
+                del self.held[: at + len(END)]
+            size = int(self.header["content-length"])
+            if len(self.held) < size + len(END):
+                return
+            if self.held[size : size + len(END)] != END:
+                raise ValueError(f"record {self.header.get('warc-record-id')} is longer than its Content-Length")
+            out = self.header, bytes(self.held[:size])
+            del self.held[: size + len(END)]
+            self.header = None
+            yield out
 
 
 def _parsed(header: dict[str, str], block: bytes, keep_body: bool) -> tuple:
@@ -158,37 +159,41 @@ def read_archives(spark: SparkSession, path: str, keep_body: bool = True) -> Dat
         reader = _Reader()
         for batch in batches:
             rows, held = [], 0
-            for line in batch["value"]:
-                if (found := reader.feed(bytes(line))) is not None:
+            for piece in batch["value"]:
+                for found in reader.feed(bytes(piece)):
                     rows.append(_parsed(*found, keep_body))
                     held += len(found[1]) if keep_body else 0
-                    if held > 16_000_000:
-                        yield pd.DataFrame(rows, columns=columns)
-                        rows, held = [], 0
+                if held > 16_000_000:
+                    yield pd.DataFrame(rows, columns=columns)
+                    rows, held = [], 0
             yield pd.DataFrame(rows, columns=columns)
-        if reader.header is not None or reader.lines:
+        if reader.header is not None or reader.held:
             raise ValueError("an archive ends within a record")
 
-    lines = spark.read.schema("value string").option("lineSep", "\n").text(path)
-    return lines.select(F.col("value").cast("binary").alias("value")).mapInPandas(parse, RECORDS)
+    pieces = spark.read.schema("value string").option("lineSep", END.decode()).text(path)
+    return pieces.select(F.col("value").cast("binary").alias("value")).mapInPandas(parse, RECORDS)
 
 
 def assemble_transactions(records: DataFrame) -> DataFrame:
     """One nested row per capture: its response or revisit record, and the request and metadata
-    records that name it in WARC-Concurrent-To (null where there is none; all of them where there
-    are several, as arrays in the order of their ids)."""
+    records that name it in WARC-Concurrent-To (no such: empty arrays; several: in the order of
+    their ids). The join is one grouping by the capture's id, so archives are read once. Records
+    that belong to no capture are left out; captures of one id share their other records."""
     part = F.struct(*[c for c in records.columns if c not in ("record_type", "concurrent_to")])
-    main = records.where(F.col("record_type").isin("response", "revisit")).select(F.col("record_id").alias("capture_id"), "record_type", part.alias("response"))
-    other = (
-        records.where(F.col("record_type").isin("request", "metadata") & F.col("concurrent_to").isNotNull())
-        .groupBy(F.col("concurrent_to").alias("capture_id"))
-        .agg(*[F.sort_array(F.collect_list(F.when(F.col("record_type") == kind, F.struct("record_id", "target_uri", "date", F.map_entries("fields").alias("fields"))))).alias(f"{kind}s") for kind in ("request", "metadata")])
+    main = F.col("record_type").isin("response", "revisit")
+    other = lambda kind: F.when(F.col("record_type") == kind, F.struct("record_id", "target_uri", "date", F.map_entries("fields").alias("fields")))
+    key = F.when(main, F.col("record_id")).when(F.col("record_type").isin("request", "metadata"), F.col("concurrent_to"))
+    grouped = (
+        records.withColumn("capture_id", key)
+        .where("capture_id IS NOT NULL")
+        .groupBy("capture_id")
+        .agg(F.collect_list(F.when(main, F.struct("record_type", part.alias("response")))).alias("main"), *[F.sort_array(F.collect_list(other(kind))).alias(f"{kind}s") for kind in ("request", "metadata")])
     )
-    return main.join(other, "capture_id", "left")
+    return grouped.select("capture_id", F.inline("main"), "requests", "metadatas")
 
 
 def _note(name: str) -> Column:
-    entry = F.filter(F.col("metadatas")[0]["fields"], lambda e: e["key"] == name)
+    entry = F.filter(F.get(F.col("metadatas"), F.lit(0))["fields"], lambda e: e["key"] == name)
     return F.try_element_at(entry, F.lit(1))["value"].cast("long")
 
 
