@@ -121,8 +121,11 @@ def fences(sketch: DataFrame) -> DataFrame:
 
 def judged(measured: DataFrame, prefix: str = "", least_docs: int = MIN_DOCS) -> DataFrame:
     """measured (see with_measures) with kept: false where base_failed or a measure lies outside
-    the fences. Null languages and sources are groups of their own. An empty table gives none."""
-    plain = measured.select("lang", "source", *[F.col(prefix + n).alias(n) for n in ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines")])
+    the fences. Null languages and sources are groups of their own; a table without such a column
+    is taken as having nulls there. An empty table gives none. measured is read twice, so write it
+    first if its counts are not at hand."""
+    of = {c: F.col(c) if c in measured.columns else F.lit(None).cast("string") for c in ("lang", "source")}
+    plain = measured.select(*[v.alias(k) for k, v in of.items()], *[F.col(prefix + n).alias(n) for n in ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines")])
     all_fences = fences(sketches(plain))
     limits = [f"{side}_{name}" for name in RULES for side in ("high", "low")]
     pack = F.struct(*limits)
@@ -136,7 +139,7 @@ def judged(measured: DataFrame, prefix: str = "", least_docs: int = MIN_DOCS) ->
     lang, source, fence = fresh_name(measured, "l", "s", "fence")
     table = table.toDF(lang, source, fence)
     table = F.broadcast(table) if small else table
-    joined = measured.join(table, measured["lang"].eqNullSafe(F.col(lang)) & measured["source"].eqNullSafe(F.col(source)), "left").drop(lang, source)
+    joined = measured.join(table, of["lang"].eqNullSafe(F.col(lang)) & of["source"].eqNullSafe(F.col(source)), "left").drop(lang, source)
     outside = F.lit(False)
     for name, value in _values(prefix).items():
         outside |= F.coalesce((value > F.col(fence)[f"high_{name}"]) | (value < F.col(fence)[f"low_{name}"]), F.lit(False))
@@ -147,14 +150,19 @@ def filter_documents(docs: DataFrame) -> DataFrame:
     """The documents that pass, with the columns of docs.
 
     Documents with null or empty text fail (they have fewer than MIN_WORDS words); repeated rows
-    are judged alike; further columns stay.
+    are judged alike; further columns stay. The counts are made once and written with the rows.
     """
-    return judged(with_measures(docs, "_q_"), "_q_").where("_q_kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    prefix = "_q_"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix = "_" + prefix
+    measured = written(with_measures(docs, prefix), "measured")
+    return judged(measured, prefix).where(f"{prefix}kept").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = load(spark, sf_dir, "documents")
-    return judged(with_measures(docs)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    docs = load(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
+    measured = written(with_measures(docs).drop("text"), "measured")
+    return judged(measured).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 OP9_SQL = r"""
