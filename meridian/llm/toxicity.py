@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 
-from .common import load, written
+from .common import fresh_name, load, written
 
 #: At most so many labelled rows (those of least hash) are fitted; all documents are scored.
 MOST_ROWS = 20_000
@@ -143,12 +143,13 @@ class Chain:
 
         A null or empty text has no features and gets the models' bias. Rows may repeat.
         """
-        out = docs.withColumn("_idx", features(F.col("text")))
+        (places,) = fresh_name(docs, "idx")
+        out = docs.withColumn(places, features(F.col("text")))
         for k, name in enumerate(self.categories):
             weights = out.sparkSession.sparkContext.broadcast(self.weights[k])  # FEATURES numbers
             earlier = F.array(*[F.col(f"p_{n}") for n in self.categories[:k]]).cast("array<double>")
-            out = out.withColumn(f"p_{name}", _scorer(weights)(F.col("_idx"), earlier))
-        return out.withColumns({n: F.col(f"p_{n}") >= t for n, t in zip(self.categories, self.thresholds, strict=True)}).drop("_idx")
+            out = out.withColumn(f"p_{name}", _scorer(weights)(F.col(places), earlier))
+        return out.withColumns({n: F.col(f"p_{n}") >= t for n, t in zip(self.categories, self.thresholds, strict=True)}).drop(places)
 
 
 def _threshold(rows: DataFrame, p: str, label: str) -> float:
@@ -164,11 +165,14 @@ def _threshold(rows: DataFrame, p: str, label: str) -> float:
 def fit_chain(labelled: DataFrame, categories: tuple[str, ...], most_rows: int = MOST_ROWS, folds: int = FOLDS) -> Chain:
     """labelled: doc_id, text and a 0/1 column for each category, in the chain's order.
 
-    Rows with a null label are left out; null texts have no features. The sample's fits run as one
-    task for each fold and one for all rows. Without labelled rows every probability is a half.
+    Rows with a null label are left out before the sample is taken; null texts have no features; of
+    rows that repeat a doc_id the least counts. Labels of one value give probabilities near it. The
+    sample's fits run as one task for each fold and one for all rows. Without labelled rows every
+    probability is a half.
     """
-    bounded = labelled.dropna(subset=list(categories)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
-    rows = bounded.select(F.monotonically_increasing_id().alias("row"), F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(folds)).cast("int").alias("fold"), features(F.col("text")).alias("idx"), *[F.col(c).cast("int").alias(c) for c in categories])
+    each = F.struct(*[F.col(c).cast("int").alias(c) for c in categories], features(F.col("text")).alias("idx"))
+    bounded = labelled.dropna(subset=list(categories)).groupBy("doc_id").agg(F.min(each).alias("s")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
+    rows = bounded.select(F.monotonically_increasing_id().alias("row"), F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(folds)).cast("int").alias("fold"), "s.*")
     rows, weights, thresholds = written(rows, "train"), [], []
     for k, name in enumerate(categories):
         earlier = F.array(*[F.col(f"p_{n}") for n in categories[:k]]).cast("array<double>")
@@ -185,7 +189,8 @@ def fit_chain(labelled: DataFrame, categories: tuple[str, ...], most_rows: int =
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The label table has two columns, so the chain has two links: low quality, then toxic."""
     docs, labels = load(spark, sf_dir, "documents").select("doc_id", "text"), load(spark, sf_dir, "labels")
-    known = labels.select(F.col("doc_id").alias("_of"), (1 - F.col("quality")).alias("low_quality"), "toxic").orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_ROWS)
+    made = labels.select(F.col("doc_id").alias("_of"), (1 - F.col("quality")).alias("low_quality"), "toxic").dropna()
+    known = made.groupBy("_of").agg(F.min(F.struct("low_quality", "toxic")).alias("s")).select("_of", "s.*").orderBy(F.xxhash64("_of"), "_of").limit(MOST_ROWS)
     labelled = docs.join(F.broadcast(known), F.col("doc_id") == F.col("_of")).drop("_of")  # MOST_ROWS rows
     chain = fit_chain(labelled, ("low_quality", "toxic"))
     return chain.predict(docs).select("doc_id", "p_low_quality", "low_quality", "p_toxic", "toxic")
