@@ -301,6 +301,37 @@ def test_license_notices_wrapped_and_double(spark):
     assert got == {1: (1, "mit"), 2: (1, "bsd"), 3: (2, "gpl,mit"), 4: (1, "lgpl"), 5: (1, "apache,mit"), 6: (1, "apache,mit"), 7: (0, None), 8: (2, "bsd"), 9: (3, "cc-by,cc-by-nc")}
 
 
+def test_license_families_in_held_out_wordings(spark):
+    """Notices as projects word them, none of them a template, among lines that only sound alike."""
+    held = {
+        "mit": ["This project is released under the MIT License, see LICENSE.", "The code here is licensed under the MIT License."],
+        "apache": ["This file is licensed under the Apache License, Version 2.0 by its authors.", "// SPDX-License-Identifier: Apache-2.0"],
+        "bsd": ["All code is licensed under the BSD 3-Clause License unless noted."],
+        "gpl": ["Our tool: this work is licensed under the GNU General Public License, version 3, or later.", "/* SPDX-License-Identifier: GPL-3.0-or-later */"],
+        "isc": ["ISC\nPermission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies."],
+        "epl": ["This program and the accompanying materials are made available under the\nterms of the Eclipse Public License 2.0 which is available at eclipse.org."],
+        "cc0": ["# SPDX-License-Identifier: CC0-1.0"],
+        "unlicense": ["This is free and unencumbered software released into the public domain."],
+        "zlib": ["This software is provided 'as-is', without any express or implied\nwarranty.  In no event will the authors be held liable for any damages\narising from the use of this software."],
+        "proprietary": ["Unauthorized copying of this file, via any medium is strictly prohibited\nProprietary and confidential"],
+        "mpl": ["This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this"],
+    }
+    notices = [(f, t) for f, ts in held.items() for t in ts]
+    other = ["The driver had to show a license at the gate.", "No fee is due before the permission is granted.", "The city permitted the modification of both forms.", "The charge of the battery is low.", "She was held liable for the damages.", "Binary stars in eclipse were seen.", "A gnu and an antelope."]
+    plain = [f"plain words number {i} about rivers and {i * 7} hills" for i in range(60)]
+    rows = [(i, t) for i, t in enumerate([t for _, t in notices] + other + plain)]
+    got = {r.doc_id: r.families for r in licenses.scan_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(notices))] == [f for f, _ in notices]
+    assert all(got[i] is None for i in range(len(notices), len(rows)))
+
+
+def test_license_scan_ignores_other_columns_and_long_texts(spark):
+    rows = [(1, "word " * 200_000 + "\nReleased under the MIT License.", "x", 0.5, "y"), (2, "\n".join(["a line of license words"] * 30_000), "x", 0.5, "y"), (3, None, None, None, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, family string, probability double, _grams string")
+    got = {r.doc_id: (r.n_notices, r.families) for r in licenses.scan_documents(frame).collect()}
+    assert got == {1: (1, "mit"), 2: (0, None), 3: (0, None)}
+
+
 def test_license_hints_lose_no_notice():
     for family, texts in licenses.TEMPLATES.items():
         for text in texts:
