@@ -18,18 +18,39 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: the session's checkpoint folder.
 
-    Only where the session names none (single-machine tests) is a temporary folder set.
+    Only where the session names none and all of it runs on one machine (tests) is a temporary
+    folder set; on a cluster its executors would write where the driver can't read.
     """
     sc = spark.sparkContext
     found = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="meridian-")
         sc.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+#: Scratch tables of this process that are still there, oldest first.
+_scratch: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/meridian-{name}-{uuid.uuid4().hex}"
+    _scratch.append(f"{shared_dir(spark)}/meridian-{name}-{uuid.uuid4().hex}")
+    return _scratch[-1]
+
+
+def scratch_tables() -> list[str]:
+    return list(_scratch)
+
+
+def remove_scratch(spark: SparkSession, paths: list[str]) -> None:
+    """Delete scratch tables that no later job reads: whoever calls it has written what came of them."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(conf).delete(place, True)
+        _scratch.remove(path)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

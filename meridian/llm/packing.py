@@ -10,6 +10,7 @@ input's; ranks within a length are counted in buckets and joined, so no task see
 
 from __future__ import annotations
 
+import logging
 import zlib
 from collections.abc import Iterator
 
@@ -76,9 +77,13 @@ def best_configuration(sizes: list[int], values: np.ndarray, capacity: int) -> t
     return float(best[capacity]), counts
 
 
-def configurations(sizes: list[int], demand: list[int], capacity: int, rounds: int = 600) -> list[tuple[list[int], int]]:
+def configurations(sizes: list[int], demand: list[int], capacity: int, rounds: int = 10_000) -> list[tuple[list[int], int]]:
     """(counts of each size, how often) that cover the demand, from the linear programme's basis
-    rounded down and the rest packed largest first."""
+    rounded down and the rest packed largest first.
+
+    Columns are made until none improves the programme. Should rounds of them not be enough, the plan
+    still covers the demand, and a warning gives the factor within which it is of the optimum (the
+    value of the best column left, as prices divided by it are feasible)."""
     n = len(sizes)
     if not n:
         return []
@@ -92,6 +97,8 @@ def configurations(sizes: list[int], demand: list[int], capacity: int, rounds: i
         level, step = np.linalg.solve(basis, need), np.linalg.solve(basis, np.array(column, float))
         ratio = np.where(step > 1e-9, np.maximum(level, 0) / np.where(step > 1e-9, step, 1), np.inf)
         basis[:, int(ratio.argmin())] = column
+    else:
+        logging.getLogger(__name__).warning("column generation stopped after %d columns, within a factor %.4f of the programme's optimum", rounds, value)
     level = np.floor(np.maximum(np.linalg.solve(basis, need), 0) + 1e-9).astype(int)
     out = [([int(x) for x in basis[:, k]], int(level[k])) for k in range(n) if level[k] > 0]
     left = need.astype(int) - np.sum([np.array(p) * m for p, m in out], axis=0, dtype=int) if out else need.astype(int)
