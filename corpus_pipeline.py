@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from meridian.llm import linededup, neardup, packing, pii, quality
-from meridian.llm.common import load, written
+from meridian.llm.common import load, remove_scratch, scratch_tables, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,9 +39,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = load(spark, sf_dir, "documents")
+    docs, before, kept = load(spark, sf_dir, "documents"), set(scratch_tables()), None
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs = written(docs, name)
+            kept = scratch_tables()[-1]  # all that came before it is done with
+            remove_scratch(spark, [p for p in scratch_tables() if p not in before and p != kept])
     return docs
