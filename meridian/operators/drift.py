@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .metrics import ordered_sums
+
 FLOOR = 1e-6
 STABLE, MODERATE = 0.10, 0.25
 
@@ -47,9 +49,9 @@ def bin_counts(long: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
     return every.join(held, [*on, "bin"], "left").withColumn("cnt", F.coalesce("cnt", F.lit(0)))
 
 
-def numeric_reference(long: DataFrame, keys: list[str], n_bins: int = 10) -> DataFrame:
+def numeric_reference(long: DataFrame, keys: list[str], n_bins: int = 10, exact: bool = True) -> DataFrame:
     """(keys, feature, edges, counts, n, n_missing): what is stored for later comparisons."""
-    edges = numeric_edges(long, keys, n_bins)
+    edges = numeric_edges(long, keys, n_bins, exact)
     counts = bin_counts(long, edges, keys).groupBy(*keys, "feature").agg(F.transform(F.array_sort(F.collect_list(F.struct("bin", "cnt"))), lambda s: s["cnt"]).alias("counts"))
     return edges.join(counts, [*keys, "feature"])
 
@@ -93,9 +95,8 @@ def ks_weighted(reference: DataFrame, current: DataFrame, keys: list[str]) -> Da
     on = [*keys, "feature"]
     both = reference.select(*on, "value", F.col("weight").alias("r"), F.lit(0).alias("c")).unionByName(current.select(*on, "value", F.lit(0).alias("r"), F.col("weight").alias("c")))
     points = both.where("value IS NOT NULL").groupBy(*on, "value").agg(F.sum("r").alias("r"), F.sum("c").alias("c"))
-    upto, whole = Window.partitionBy(*on).orderBy("value"), Window.partitionBy(*on)
-    gap = F.abs(F.sum("r").over(upto) / F.nullif(F.sum("r").over(whole), F.lit(0)) - F.sum("c").over(upto) / F.nullif(F.sum("c").over(whole), F.lit(0)))
-    found = points.withColumn("gap", gap).groupBy(*on).agg(F.coalesce(F.max("gap"), F.lit(0.0)).alias("ks"), F.sum("r").alias("n_ref"), F.sum("c").alias("n_cur"))
+    gap = F.abs(F.try_divide("upto_r", "all_r") - F.try_divide("upto_c", "all_c"))
+    found = ordered_sums(points, on, "value", ["r", "c"]).withColumn("gap", gap).groupBy(*on).agg(F.coalesce(F.max("gap"), F.lit(0.0)).alias("ks"), F.sum("r").alias("n_ref"), F.sum("c").alias("n_cur"))
     p = F.when((F.col("n_ref") == 0) | (F.col("n_cur") == 0), 1.0).otherwise(kolmogorov_p(F.col("ks"), F.col("n_ref").cast("double"), F.col("n_cur").cast("double")))
     return found.withColumn("ks_p", p)
 
@@ -119,11 +120,12 @@ def reference_counts(reference: DataFrame, keys: list[str]) -> DataFrame:
     return reference.select(*keys, "feature", F.posexplode("counts").alias("bin", "cnt"))
 
 
-def drift_report(reference: DataFrame, current: DataFrame, numeric: list[str], categorical: list[str], keys: list[str] | None = None, n_bins: int = 10) -> DataFrame:
-    """(keys, feature, kind, psi, severity, n_ref, n_cur, n_missing, ks, ks_p) for each feature."""
+def drift_report(reference: DataFrame, current: DataFrame, numeric: list[str], categorical: list[str], keys: list[str] | None = None, n_bins: int = 10, exact: bool = True) -> DataFrame:
+    """(keys, feature, kind, psi, severity, n_ref, n_cur, n_missing, ks, ks_p) for each feature; exact
+    as for inner_edges."""
     keys = keys or []
     was, now = melt(reference, numeric, keys), melt(current, numeric, keys)
-    stored = numeric_reference(was, keys, n_bins)
+    stored = numeric_reference(was, keys, n_bins, exact)
     counts = bin_counts(now, stored, keys)
     on = [*keys, "feature"]
     missing = now.groupBy(*on).agg(F.count_if(F.col("value").isNull()).alias("n_missing"))
@@ -166,7 +168,7 @@ def ecdf(long: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, feature, value, share) with one row for each distinct value."""
     on = [*keys, "feature"]
     counts = long.where("value IS NOT NULL").withColumn("weight", F.col("weight") if "weight" in long.columns else F.lit(1)).groupBy(*on, "value").agg(F.sum("weight").alias("w"))
-    return counts.select(*on, "value", (F.sum("w").over(Window.partitionBy(*on).orderBy("value")) / F.sum("w").over(Window.partitionBy(*on))).alias("share"))
+    return ordered_sums(counts, on, "value", ["w"]).select(*on, "value", (F.col("upto_w") / F.col("all_w")).alias("share"))
 
 
 def overlay_histogram(reference: DataFrame, current: DataFrame, keys: list[str], n_bins: int = 10) -> DataFrame:

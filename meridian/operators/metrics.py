@@ -21,23 +21,79 @@ def score_counts(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys, "p").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
 
 
+def order_bucket(value: Column) -> Column:
+    """A number that never falls as value rises: 64 ranges for each doubling, on both sides of zero."""
+    size = F.greatest(F.floor(64 * F.log2(F.abs(value.cast("double")))), F.lit(-68_800)) + 68_801  # the least double is 2^-1074
+    return F.when(value == 0, F.lit(0)).when(value > 0, size).otherwise(-size).cast("int")
+
+
+def ordered_sums(rows: DataFrame, keys: list[str], order: str, sums: list[str], bucket: Column | None = None) -> DataFrame:
+    """rows with upto_<c>, the sum of c over the key's rows up to this one in order, and all_<c>.
+
+    Rows of one key are dealt out by ranges of order (see order_bucket); sums over the ranges, which are
+    few, tell what lies before each, so no task orders a whole key's rows."""
+    made = rows.withColumn("_range", order_bucket(F.col(order)) if bucket is None else bucket)
+    whole = Window.partitionBy(*keys)
+    before = whole.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = made.groupBy(*keys, "_range").agg(*[F.sum(c).alias(f"_{c}") for c in sums])
+    ranges = ranges.withColumns({f"before_{c}": F.coalesce(F.sum(f"_{c}").over(before), F.lit(0)) for c in sums} | {f"all_{c}": F.sum(f"_{c}").over(whole) for c in sums})
+    named = ranges.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_range").alias("_r"), *[F.col(f"{x}_{c}") for c in sums for x in ("before", "all")])
+    same = F.col("_range").eqNullSafe(F.col("_r"))
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    inside = Window.partitionBy(*keys, "_range").orderBy(order)
+    out = made.withColumns({f"upto_{c}": F.sum(c).over(inside) for c in sums}).join(named, same)
+    out = out.withColumns({f"upto_{c}": F.col(f"upto_{c}") + F.col(f"before_{c}") for c in sums})
+    return out.drop("_range", "_r", *[f"_k_{k}" for k in keys], *[f"before_{c}" for c in sums])
+
+
+def matched(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """left with right's further columns, for equal keys; null keys are equal. Neither side is multiplied
+    if keys are right's key."""
+    if not keys:
+        return left.crossJoin(right)  # one row each
+    other = right.withColumnsRenamed({k: f"_k_{k}" for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    return left.join(other, same, "left").drop(*[f"_k_{k}" for k in keys])
+
+
 def auroc(rows: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, value): chance that a positive outranks a negative, ties half; null for one class."""
-    below = F.sum("neg").over(Window.partitionBy(*keys).orderBy("p")) - F.col("neg")
-    won = score_counts(rows, keys).withColumn("won", F.col("pos") * (below + F.col("neg") / 2))
-    return won.groupBy(*keys).agg(F.try_divide(F.sum("won"), F.sum("pos") * F.sum("neg")).alias("value"))
+    return curve(rows, keys).groupBy(*keys).agg(_area().alias("value"))
+
+
+def _area() -> Column:
+    below = F.col("n_neg") - F.col("fp")
+    return F.try_divide(F.sum(F.col("pos") * (below + F.col("neg") / 2)), F.max("n_pos") * F.max("n_neg"))
 
 
 def curve(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Score counts with true and false positives at p and above, and the group's totals."""
-    down, whole = Window.partitionBy(*keys).orderBy(F.col("p").desc()), Window.partitionBy(*keys)
-    return score_counts(rows, keys).withColumns({"tp": F.sum("pos").over(down), "fp": F.sum("neg").over(down), "n_pos": F.sum("pos").over(whole), "n_neg": F.sum("neg").over(whole)})
+    made = ordered_sums(score_counts(rows, keys), keys, "p", ["pos", "neg"]).withColumnsRenamed({"all_pos": "n_pos", "all_neg": "n_neg"})
+    made = made.withColumns({"tp": F.col("n_pos") - F.col("upto_pos") + F.col("pos"), "fp": F.col("n_neg") - F.col("upto_neg") + F.col("neg")})
+    return made.drop("upto_pos", "upto_neg")
 
 
 def auprc(rows: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, value): average precision over distinct scores; null for one class."""
-    part = F.try_divide("pos", "n_pos") * F.try_divide("tp", F.col("tp") + F.col("fp"))
-    return curve(rows, keys).groupBy(*keys).agg(F.when((F.max("n_pos") > 0) & (F.max("n_neg") > 0), F.sum(part)).alias("value"))
+    return curve(rows, keys).groupBy(*keys).agg(_precision().alias("value"))
+
+
+def _both_classes() -> Column:
+    return (F.max("n_pos") > 0) & (F.max("n_neg") > 0)
+
+
+def _precision() -> Column:
+    return F.when(_both_classes(), F.sum(F.try_divide("pos", "n_pos") * F.try_divide("tp", F.col("tp") + F.col("fp"))))
+
+
+def _sensitivity(specificity: float) -> Column:
+    if not 0 < specificity < 1:
+        raise ValueError("specificity must lie between 0 and 1")
+    enough = (1 - F.try_divide("fp", "n_neg")) >= specificity
+    return F.when(_both_classes(), F.coalesce(F.max(F.when(enough, F.col("tp") / F.col("n_pos"))), F.lit(0.0)))
 
 
 def brier(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -78,22 +134,16 @@ def calibration(rows: DataFrame, keys: list[str], rounds: int = 25) -> DataFrame
 
 
 def sensitivity_at_specificity(rows: DataFrame, keys: list[str], specificity: float = 0.9) -> DataFrame:
-    """(keys, value): the best true-positive rate at that specificity or more, 0 if none."""
-    if not 0 < specificity < 1:
-        raise ValueError("specificity must lie between 0 and 1")
-    enough = (1 - F.col("fp") / F.col("n_neg")) >= specificity
-    found = curve(rows, keys).where("n_pos > 0 AND n_neg > 0").groupBy(*keys).agg(F.coalesce(F.max(F.when(enough, F.col("tp") / F.col("n_pos"))), F.lit(0.0)).alias("value"))
-    return rows.select(*keys).distinct().join(found, keys, "left") if keys else found
+    """(keys, value): the best true-positive rate at that specificity or more, 0 if none; null for one class."""
+    return curve(rows, keys).groupBy(*keys).agg(_sensitivity(specificity).alias("value"))
 
 
 def headline(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per group: n, prevalence and the headline metrics."""
-    out = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg("y").alias("prevalence"))
-    for name, made in (("auroc", auroc), ("auprc", auprc), ("brier", brier)):
-        out = out.join(made(rows, keys).withColumnRenamed("value", name), keys)
-    for s in (0.9, 0.95):
-        out = out.join(sensitivity_at_specificity(rows, keys, s).withColumnRenamed("value", f"sens_at_{int(100 * s)}"), keys)
-    return out.join(calibration(rows, keys), keys)
+    """One row per group: n, prevalence and the headline metrics, all from one table of score counts."""
+    n, p = F.col("pos") + F.col("neg"), F.col("p")
+    metrics = [F.sum(n).alias("n"), (F.sum("pos") / F.sum(n)).alias("prevalence"), _area().alias("auroc"), _precision().alias("auprc")]
+    metrics += [(F.sum(F.col("pos") * (1 - p) * (1 - p) + F.col("neg") * p * p) / F.sum(n)).alias("brier"), *[_sensitivity(s).alias(f"sens_at_{int(100 * s)}") for s in (0.9, 0.95)]]
+    return matched(curve(rows, keys).groupBy(*keys).agg(*metrics), calibration(rows, keys), keys)
 
 
 def portable_hash(*parts: Column) -> Column:
@@ -164,7 +214,8 @@ def decision_curve(rows: DataFrame, keys: list[str], thresholds: list[float] | N
     summed from above; nothing is multiplied by the number of thresholds."""
     grid = sorted(thresholds or [i / 100 for i in range(1, 100)])
     every = F.array(*[F.lit(t) for t in grid])
-    counts = rows.groupBy(*keys, F.size(F.filter(every, lambda t: t <= F.col("p"))).alias("k")).agg(F.sum("y").alias("pos"), F.count(F.lit(1)).alias("n"))
+    scores = score_counts(rows, keys)  # so that a score, not a row, looks for its threshold
+    counts = scores.groupBy(*keys, F.size(F.filter(every, lambda t: t <= F.col("p"))).alias("k")).agg(F.sum("pos").alias("pos"), F.sum(F.col("pos") + F.col("neg")).alias("n"))
     totals = counts.groupBy(*keys).agg(F.sum("n").alias("total"), F.sum("pos").alias("n_pos"))
     points = totals.select(*keys, "total", "n_pos", F.posexplode(every).alias("at", "threshold")).withColumn("k", F.col("at") + 1)
     held = points.join(counts, [*keys, "k"], "left").fillna(0, ["pos", "n"])

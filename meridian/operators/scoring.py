@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import word_count
+from .metrics import ordered_sums
 
 BANDS = ("low", "intermediate", "high")
 SUPPRESSED = ("no_citation", "phantom_citation", "no_passage_entails")
@@ -93,8 +94,9 @@ def stage_verdicts(cases: DataFrame) -> DataFrame:
 
 def nearest_rank(df: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
     """(keys, <name>...): the values at rank round-half-even(share * (n - 1))."""
-    rows = df.where(F.col(value).isNotNull()).withColumns({"_i": F.row_number().over(Window.partitionBy(*keys).orderBy(value)) - 1, "_n": F.count(F.lit(1)).over(Window.partitionBy(*keys))})
-    return rows.groupBy(*keys).agg(*[F.max(F.when(F.col("_i") == F.bround(F.lit(p) * (F.col("_n") - 1)), F.col(value))).alias(n) for n, p in shares.items()])
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
+    rank = lambda p: F.bround(F.lit(p) * (F.col("all_n") - 1))
+    return ordered_sums(counts, keys, value, ["n"]).groupBy(*keys).agg(*[F.min(F.when(F.col("upto_n") > rank(p), F.col(value))).alias(n) for n, p in shares.items()])
 
 
 def roll_up(cases: DataFrame, tag: str = "tag") -> DataFrame:

@@ -6,31 +6,40 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .metrics import portable_hash
+from .metrics import matched, portable_hash
 
 
 def leave_one_out(df: DataFrame, domain: str) -> DataFrame:
     """Each row once for each domain value: fold, and role test in its own fold, train elsewhere."""
-    folds = F.broadcast(df.select(F.col(domain).alias("fold")).where("fold IS NOT NULL").distinct())  # domains are few by definition
-    return df.where(F.col(domain).isNotNull()).crossJoin(folds).withColumn("role", F.when(F.col(domain) == F.col("fold"), "test").otherwise("train"))
+    folds = df.select(F.col(domain).alias("fold")).where("fold IS NOT NULL").distinct()
+    named = folds.agg(F.array_sort(F.collect_list("fold")).alias("_folds"))  # one row: domains are few by definition
+    return df.where(F.col(domain).isNotNull()).crossJoin(named).withColumn("fold", F.explode("_folds")).drop("_folds").withColumn("role", F.when(F.col(domain) == F.col("fold"), "test").otherwise("train"))
 
 
-def _order(keys: list[str], row_id: str, seed: int):
-    return Window.partitionBy(*keys).orderBy(portable_hash(F.lit(seed), F.col(row_id)), row_id)
+def placed(df: DataFrame, keys: list[str], row_id: str, seed: int, place: str, total: str) -> DataFrame:
+    """df with the row's place (from 1) among those of equal keys in the order of a hash of row_id, and
+    their number. The hash deals a key's rows to 1,024 ranges, so no task orders all of them."""
+    made = df.withColumn("_hash", portable_hash(F.lit(seed), F.col(row_id))).withColumn("_range", F.shiftright("_hash", 22))
+    whole = Window.partitionBy(*keys)
+    counts = made.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    counts = counts.withColumns({"_before": F.sum("_n").over(whole.orderBy("_range")) - F.col("_n"), total: F.sum("_n").over(whole)}).drop("_n")
+    inside = made.withColumn("_inside", F.row_number().over(Window.partitionBy(*keys, "_range").orderBy("_hash", row_id)))
+    return matched(inside, counts, [*keys, "_range"]).withColumn(place, (F.col("_before") + F.col("_inside")).cast("int")).drop("_hash", "_range", "_before", "_inside")
 
 
 def within_split(df: DataFrame, keys: list[str], target: str, row_id: str, val: float = 0.1, calib: float = 0.1, seed: int = 20260505) -> DataFrame:
     """split: train, val or calib, stratified by target with exact sizes in each stratum."""
     if val <= 0 or calib <= 0 or val + calib >= 1:
         raise ValueError("shares must be positive and leave rows to train on")
-    n = F.count(F.lit(1)).over(Window.partitionBy(*keys, target))
-    place = F.row_number().over(_order([*keys, target], row_id, seed))
+    place, n = F.col("_place"), F.col("_total")
     n_val, n_calib = F.bround(n * val), F.bround(n * calib)
-    return df.withColumn("split", F.when(place <= n_val, "val").when(place <= n_val + n_calib, "calib").otherwise("train"))
+    split = F.when(place <= n_val, "val").when(place <= n_val + n_calib, "calib").otherwise("train")
+    return placed(df, [*keys, target], row_id, seed, "_place", "_total").withColumn("split", split).drop("_place", "_total")
 
 
 def random_folds(df: DataFrame, target: str, row_id: str, k: int = 5, seed: int = 20260505) -> DataFrame:
-    return df.withColumn("fold", ((F.row_number().over(_order([target], row_id, seed)) - 1) % k).cast("int"))
+    made = placed(df, [target], row_id, seed, "_place", "_total")
+    return made.withColumn("fold", ((F.col("_place") - 1) % k).cast("int")).drop("_place", "_total")
 
 
 def overlaps(df: DataFrame, row_id: str, split: str) -> DataFrame:
@@ -39,13 +48,15 @@ def overlaps(df: DataFrame, row_id: str, split: str) -> DataFrame:
 
 
 def capped_sample(df: DataFrame, target: str, row_id: str, most: int, forced: DataFrame, seed: int = 20260505) -> DataFrame:
-    """At most `most` rows: the forced ones (a table of row ids), then of each class as many as its
-    share of the rows gives; a class gives no more rows than it has."""
-    marked = df.join(F.broadcast(forced.select(F.col(row_id).alias("_f")).distinct().limit(most)), F.col(row_id) == F.col("_f"), "left").withColumn("_forced", F.col("_f").isNotNull()).drop("_f")
-    sizes = marked.agg(F.count(F.lit(1)).alias("n"), F.sum(target).alias("pos"), F.count_if("_forced").alias("n_forced"))
-    budget = F.greatest(F.lit(most) - F.col("n_forced"), F.lit(0))
-    pos = F.bround(budget * F.col("pos") / F.col("n")).cast("int")
-    quota = sizes.select(pos.alias("q1"), (budget - pos).alias("q0"))
-    place = F.row_number().over(Window.partitionBy(target, "_forced").orderBy(portable_hash(F.lit(seed), F.col(row_id)), row_id))
-    held = marked.withColumn("_place", place).crossJoin(F.broadcast(quota))
-    return held.where(F.col("_forced") | (F.col("_place") <= F.when(F.col(target) == 1, F.col("q1")).otherwise(F.col("q0")))).drop("_forced", "_place", "q0", "q1")
+    """The forced rows (a table of row ids), all of them, and others up to `most` rows in all: as many
+    positives as their share of all rows gives, then negatives; neither gives more than it has. All rows,
+    if they are no more than `most`."""
+    ids = forced.select(F.col(row_id).alias("_f")).distinct()
+    marked = df.join(ids, F.col(row_id) == F.col("_f"), "left").withColumn("_forced", F.col("_f").isNotNull()).drop("_f")
+    positive = F.col(target) == 1
+    sizes = marked.agg(F.count_if("_forced").alias("held"), F.count_if(~F.col("_forced") & positive).alias("pos"), F.count_if(~F.col("_forced") & ~positive).alias("neg"), F.avg(positive.cast("int")).alias("share"), F.count(F.lit(1)).alias("n"))
+    budget = F.greatest(F.lit(most) - F.col("held"), F.lit(0))
+    q1 = F.when(F.col("n") <= most, F.col("pos")).otherwise(F.least(F.bround(budget * F.col("share")).cast("long"), F.col("pos")))
+    quota = sizes.select(q1.alias("_q1"), F.least(budget - q1, F.col("neg")).alias("_q0"))
+    rest = placed(marked, [target, "_forced"], row_id, seed, "_place", "_total").crossJoin(F.broadcast(quota))  # one row
+    return rest.where(F.col("_forced") | (F.col("_place") <= F.when(F.col(target) == 1, F.col("_q1")).otherwise(F.col("_q0")))).drop("_forced", "_place", "_total", "_q0", "_q1")
