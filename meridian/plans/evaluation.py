@@ -70,14 +70,26 @@ long AS (
 ), psi AS (
   SELECT kind, feature, sum((cp - rp) * ln(cp / rp)) AS psi, sum(r)::BIGINT AS n_ref, sum(c)::BIGINT AS n_cur FROM shares GROUP BY ALL
 )"""
+KS_P = "CASE WHEN {d} * sqrt({n} * {m} / ({n} + {m})::DOUBLE) < 0.2 THEN 1.0::DOUBLE ELSE least(1.0::DOUBLE, greatest(0.0::DOUBLE, list_sum(list_transform(range(1, 101), lambda k: (CASE WHEN k % 2 = 1 THEN 2.0::DOUBLE ELSE -2.0::DOUBLE END) * exp(-2.0::DOUBLE * k * k * {d} * {d} * {n} * {m} / ({n} + {m})))))) END"
+#: The reference's bins as weighted middles against the current values.
+BINNED_KS = f"""
+ext AS (SELECT feature, list_concat(list_concat([edges[1] - span], edges), [edges[len(edges)] + span]) AS e FROM (SELECT feature, edges, greatest(edges[len(edges)] - edges[1], 1) AS span FROM edges WHERE len(edges) > 0)
+), kp AS (
+  SELECT feature, value, sum(r) AS r, sum(c) AS c FROM (
+    SELECT b.feature, (e[b.bin + 1] + e[b.bin + 2]) / 2 AS value, b.r, 0 AS c FROM bins b JOIN ext USING (feature) UNION ALL SELECT feature, value, 0, 1 FROM long WHERE NOT was) WHERE value IS NOT NULL GROUP BY ALL
+), kc AS (
+  SELECT feature, sum(r) OVER w AS cr, sum(c) OVER w AS cc, sum(r) OVER g AS tr, sum(c) OVER g AS tc FROM kp WINDOW w AS (PARTITION BY feature ORDER BY value), g AS (PARTITION BY feature)
+), ksb AS (
+  SELECT feature, ks, n_ref, n_cur, {KS_P.format(d='ks', n='n_ref', m='n_cur')} AS ks_p FROM (SELECT feature, max(abs(cr / tr - cc / tc)) AS ks, max(tr)::BIGINT AS n_ref, max(tc)::BIGINT AS n_cur FROM kc GROUP BY 1)
+)"""
 SEVERITY = "CASE WHEN psi IS NULL OR isnan(psi) OR isinf(psi) THEN 'major' WHEN psi < 0.10 THEN 'stable' WHEN psi < 0.25 THEN 'moderate' ELSE 'major' END"
 
 
-@_query(f"WITH {EDGES} SELECT feature, kind, round(psi, 9) AS psi, {SEVERITY} AS severity, n_ref, n_cur, 0::BIGINT AS n_missing FROM psi")
+@_query(f"WITH {EDGES}, {BINNED_KS} SELECT psi.feature, kind, round(psi, 9) AS psi, {SEVERITY} AS severity, psi.n_ref, psi.n_cur, 0::BIGINT AS n_missing, CASE WHEN kind = 'numeric' THEN round(ks, 9) END AS ks, CASE WHEN kind = 'numeric' THEN round(ks_p, 9) END AS ks_p FROM psi LEFT JOIN ksb ON ksb.feature = psi.feature")
 def dr15_drift_report(spark, sf_dir):
     """DR-01..10, 13, 15, PRJ-19, JN-03, JN-04."""
     report = D.drift_report(*_before_after(spark, sf_dir), NUMERIC, LEVELS)
-    return _r(report, "psi").select("feature", "kind", "psi", "severity", "n_ref", "n_cur", "n_missing")
+    return _r(report, "psi", "ks", "ks_p").select("feature", "kind", "psi", "severity", "n_ref", "n_cur", "n_missing", "ks", "ks_p")
 
 
 @_query(f"WITH {EDGES}, t AS (SELECT *, row_number() OVER (ORDER BY psi DESC, feature) AS rank FROM psi) SELECT feature, rank::INT AS rank, round(psi, 9) AS psi FROM t WHERE rank <= 3")
@@ -111,55 +123,55 @@ WITH long AS (
 """
 
 
-@_query(KS + "SELECT feature, round(max(abs(cr / tr - cc / tc)), 9) AS ks, max(tr)::BIGINT AS n_ref, max(tc)::BIGINT AS n_cur FROM cum GROUP BY 1")
+@_query(KS + f", m AS (SELECT feature, max(abs(cr / tr - cc / tc)) AS ks, max(tr)::BIGINT AS n_ref, max(tc)::BIGINT AS n_cur FROM cum GROUP BY 1) SELECT feature, round(ks, 9) AS ks, n_ref, n_cur, round({KS_P.format(d='ks', n='n_ref', m='n_cur')}, 9) AS ks_p FROM m")
 def dr11_ks_two_sample(spark, sf_dir):
     was, now = (D.melt(t, NUMERIC) for t in _before_after(spark, sf_dir))
-    return _r(D.ks_two_sample(was, now, []), "ks").select("feature", "ks", "n_ref", "n_cur")
+    return _r(D.ks_two_sample(was, now, []), "ks", "ks_p").select("feature", "ks", "n_ref", "n_cur", "ks_p")
 
 
-@_query()
+@_query(f"WITH {EDGES}, {BINNED_KS} SELECT feature, round(ks, 9) AS ks, n_ref, n_cur, round(ks_p, 9) AS ks_p FROM ksb")
 def dr12_ks_binned(spark, sf_dir):
     was, now = (D.melt(t, NUMERIC) for t in _before_after(spark, sf_dir))
-    return D.ks_weighted(D.midpoints(D.numeric_reference(was, []), []), now.withColumn("weight", F.lit(1)), [])
+    return _r(D.ks_weighted(D.midpoints(D.numeric_reference(was, []), []), now.withColumn("weight", F.lit(1)), []), "ks", "ks_p")
 
 
-@_query(KS + "SELECT feature, value, round(cr / tr, 9) AS share FROM cum WHERE feature IN ('l_quantity', 'l_tax') AND r > 0")
+@_query(KS + "SELECT feature, value, round((cr + cc) / (tr + tc), 9) AS share FROM cum")
 def dr19_ecdf(spark, sf_dir):
-    return _r(D.ecdf(D.melt(_before_after(spark, sf_dir)[0], ["l_quantity", "l_tax"]), []), "share")
+    return _r(D.ecdf(D.melt(load(spark, sf_dir, "lineitem"), NUMERIC), []), "share")
 
 
 PDRIFT = f"""
 WITH {PREDS}, e AS (
   SELECT fold, list_sort(list_distinct(quantile_cont(p, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]))) AS edges FROM preds WHERE stratum = 0 GROUP BY 1
 ), b AS (
-  SELECT preds.fold, stratum, p, len(list_filter(edges, lambda x: x <= p)) AS bin FROM preds JOIN e USING (fold) WHERE stratum < 2
+  SELECT preds.fold, stratum, p, len(list_filter(edges, lambda x: x <= p)) AS bin FROM preds JOIN e USING (fold)
 ), cells AS (SELECT fold, edges, unnest(range(0, len(edges) + 1)) AS bin FROM e
 ), k AS (
-  SELECT cells.fold, cells.bin, any_value(cells.edges) AS edges, count(*) FILTER (stratum = 0) AS r, count(*) FILTER (stratum = 1) AS c FROM cells LEFT JOIN b ON b.fold = cells.fold AND b.bin = cells.bin GROUP BY ALL
+  SELECT cells.fold, cells.bin, any_value(cells.edges) AS edges, count(*) FILTER (stratum = 0) AS r, count(*) FILTER (stratum > 0) AS c FROM cells LEFT JOIN b ON b.fold = cells.fold AND b.bin = cells.bin GROUP BY ALL
 ), s AS (
   SELECT *, CASE WHEN r = 0 THEN 1e-6 ELSE r / sum(r) OVER w END AS rp, CASE WHEN c = 0 THEN 1e-6 ELSE c / sum(c) OVER w END AS cp FROM k WINDOW w AS (PARTITION BY fold)
 )"""
 
 
-@_query(PDRIFT + f", q AS (SELECT fold, sum((cp - rp) * ln(cp / rp)) AS psi FROM s GROUP BY 1), m AS (SELECT fold, avg(p) FILTER (stratum = 0) AS a, avg(p) FILTER (stratum = 1) AS b FROM preds GROUP BY 1) SELECT fold, round(psi, 9) AS psi, {SEVERITY} AS severity, round(a, 9) AS mean_ref, round(b, 9) AS mean_cur FROM q JOIN m USING (fold)")
+@_query(PDRIFT + f", q AS (SELECT fold, sum((cp - rp) * ln(cp / rp)) AS psi FROM s GROUP BY 1), m AS (SELECT fold, avg(p) FILTER (stratum = 0) AS a, avg(p) FILTER (stratum > 0) AS b FROM preds GROUP BY 1) SELECT fold, round(psi, 9) AS psi, {SEVERITY} AS severity, round(a, 9) AS mean_ref, round(b, 9) AS mean_cur FROM q JOIN m USING (fold)")
 def dr14_prediction_drift(spark, sf_dir):
     """DR-05, DR-14, DR-18 keyed by fold."""
     p = predictions(spark, sf_dir)
-    return _r(D.prediction_drift(p.where("stratum = 0"), p.where("stratum = 1"), ["fold"]), "psi", "mean_ref", "mean_cur").select("fold", "psi", "severity", "mean_ref", "mean_cur")
+    return _r(D.prediction_drift(p.where("stratum = 0"), p.where("stratum > 0"), ["fold"]), "psi", "mean_ref", "mean_cur").select("fold", "psi", "severity", "mean_ref", "mean_cur")
 
 
 @_query(PDRIFT + ", c2 AS (SELECT *, r / sum(r) OVER (PARTITION BY fold) AS rs, c / sum(c) OVER (PARTITION BY fold) AS cs FROM k) SELECT fold, bin::INT AS bin, round(CASE WHEN bin = 0 THEN 0.0::DOUBLE ELSE edges[bin] END, 9) AS low, round(coalesce(edges[bin + 1], 1.0::DOUBLE), 9) AS high, round(rs, 9) AS ref_share, round(cs, 9) AS cur_share FROM c2")
 def dr20_overlay_histogram(spark, sf_dir):
     p = predictions(spark, sf_dir)
-    return _r(D.overlay_histogram(p.where("stratum = 0"), p.where("stratum = 1"), ["fold"]), "low", "high", "ref_share", "cur_share")
+    return _r(D.overlay_histogram(p.where("stratum = 0"), p.where("stratum > 0"), ["fold"]), "low", "high", "ref_share", "cur_share")
 
 
-@_query()
+@_query(PDRIFT + f", q AS (SELECT fold, sum((cp - rp) * ln(cp / rp)) AS psi FROM s GROUP BY 1), {EDGES.replace('cells AS', 'cells2 AS').replace('FROM cells c', 'FROM cells2 c').replace('psi AS', 'fpsi AS')}, v AS (SELECT {SEVERITY} AS sev FROM fpsi) SELECT 'm1' AS model, count(*) FILTER (sev = 'stable') AS n_stable, count(*) FILTER (sev = 'moderate') AS n_moderate, count(*) FILTER (sev = 'major') AS n_major, (SELECT round(avg(psi), 9) FROM q) AS mean_psi, (SELECT round(max(psi), 9) FROM q) AS max_psi FROM v")
 def dr17_drift_tally(spark, sf_dir):
     p = predictions(spark, sf_dir).withColumn("model", F.lit("m1"))
     was, now = _before_after(spark, sf_dir)
     report = D.drift_report(was.withColumn("model", F.lit("m1")), now.withColumn("model", F.lit("m1")), NUMERIC, LEVELS, ["model"])
-    return D.drift_tally(report, D.prediction_drift(p.where("stratum = 0"), p.where("stratum = 1"), ["model", "fold"]))
+    return _r(D.drift_tally(report, D.prediction_drift(p.where("stratum = 0"), p.where("stratum > 0"), ["model", "fold"])), "mean_psi", "max_psi")
 
 
 SCORES = f"""
@@ -170,20 +182,30 @@ WITH {PREDS}, sc AS (SELECT fold, p, sum(y) AS pos, sum(1 - y) AS neg FROM preds
 )"""
 
 
-@_query(SCORES + """, m AS (SELECT fold, sum(pos * (below + neg / 2.0)) / nullif(max(n_pos) * max(n_neg), 0) AS auroc,
+def _newton(key: str, rounds: int = 15) -> str:
+    """CTEs that end in fit (key, slope, intercept): logistic regression of y on logit(p) by Newton steps."""
+    out = f"zc AS MATERIALIZED (SELECT {key}, ln(c / (1 - c)) AS z, sum(y) AS pos, count(*) AS n FROM (SELECT {key}, y, least(greatest(p, 1e-15::DOUBLE), 1 - 1e-15::DOUBLE) AS c FROM preds) GROUP BY ALL), b0 AS (SELECT {key}, 0.0::DOUBLE AS b0, 0.0::DOUBLE AS b1 FROM zc GROUP BY 1)"
+    for k in range(rounds):
+        out += f""", s{k} AS (SELECT {key}, any_value(b0) AS b0, any_value(b1) AS b1, sum(g) AS g0, sum(g * z) AS g1, sum(w) AS h00, sum(w * z) AS h01, sum(w * z * z) AS h11 FROM (SELECT {key}, z, b0, b1, pos - n * q AS g, n * q * (1 - q) AS w FROM (SELECT zc.*, b0, b1, 1 / (1 + exp(-(b0 + b1 * z))) AS q FROM zc JOIN b{k} USING ({key}))) GROUP BY 1),
+b{k + 1} AS MATERIALIZED (SELECT {key}, b0 + (h11 * g0 - h01 * g1) / (h00 * h11 - h01 ** 2) AS b0, b1 + (h00 * g1 - h01 * g0) / (h00 * h11 - h01 ** 2) AS b1 FROM s{k})"""
+    return out + f", fit AS (SELECT {key}, b1 AS slope, b0 AS intercept FROM b{rounds})"
+
+
+@_query(SCORES + f", {_newton('fold')}" + """, m AS (SELECT fold, sum(pos * (below + neg / 2.0)) / nullif(max(n_pos) * max(n_neg), 0) AS auroc,
   CASE WHEN max(n_pos) > 0 AND max(n_neg) > 0 THEN sum(pos / n_pos * tp / (tp + fp)) END AS auprc,
   CASE WHEN max(n_pos) > 0 AND max(n_neg) > 0 THEN coalesce(max(tp / n_pos) FILTER (1 - fp / n_neg >= 0.9), 0) END AS sens_at_90,
   CASE WHEN max(n_pos) > 0 AND max(n_neg) > 0 THEN coalesce(max(tp / n_pos) FILTER (1 - fp / n_neg >= 0.95), 0) END AS sens_at_95 FROM cv GROUP BY 1)
-SELECT fold, n, round(prevalence, 9) AS prevalence, round(auroc, 9) AS auroc, round(auprc, 9) AS auprc, round(brier, 9) AS brier, round(sens_at_90, 9) AS sens_at_90, round(sens_at_95, 9) AS sens_at_95
-FROM m JOIN (SELECT fold, count(*) AS n, avg(y) AS prevalence, avg((p - y) ** 2) AS brier FROM preds GROUP BY 1) USING (fold)""")
+SELECT fold, n, round(prevalence, 9) AS prevalence, round(auroc, 9) AS auroc, round(auprc, 9) AS auprc, round(brier, 9) AS brier, round(sens_at_90, 9) AS sens_at_90, round(sens_at_95, 9) AS sens_at_95, round(slope, 6) AS slope, round(intercept, 6) AS intercept
+FROM m JOIN fit USING (fold) JOIN (SELECT fold, count(*) AS n, avg(y) AS prevalence, avg((p - y) ** 2) AS brier FROM preds GROUP BY 1) USING (fold)""")
 def met07_headline(spark, sf_dir):
     """MET-01..04, 06, 07."""
-    return _r(M.headline(M.checked(predictions(spark, sf_dir)), ["fold"]).drop("slope", "intercept"), "prevalence", "auroc", "auprc", "brier", "sens_at_90", "sens_at_95")
+    made = _r(M.headline(M.checked(predictions(spark, sf_dir)), ["fold"]), "prevalence", "auroc", "auprc", "brier", "sens_at_90", "sens_at_95")
+    return made.withColumns({n: F.round(n, 6) for n in ("slope", "intercept")})
 
 
-@_query()
+@_query(f"WITH {PREDS}, {_newton('stratum')} SELECT stratum, round(slope, 6) AS slope, round(intercept, 6) AS intercept FROM fit")
 def met05_calibration(spark, sf_dir):
-    return _r(M.calibration(predictions(spark, sf_dir), ["stratum"]), "slope", "intercept")
+    return M.calibration(predictions(spark, sf_dir), ["stratum"]).withColumns({n: F.round(n, 6) for n in ("slope", "intercept")})
 
 
 @_query("""WITH x AS (SELECT toxic AS fold, quality AS v, row_number() OVER (PARTITION BY toxic ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY toxic) AS n FROM labels),

@@ -12,6 +12,7 @@ from ..operators import features as FE
 from ..operators import metrics as M
 from ..operators import models as ML
 from ..operators import splits as S
+from .evaluation import PREDS, predictions
 from .tables import load
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -129,10 +130,9 @@ def ex07_subgroup_delta(spark, sf_dir):
     return X.subgroup_delta(_parts(spark, sf_dir), [], "s")[0].withColumn("delta", F.round("delta", 9))
 
 
-@_query()
+@_query(f"""WITH {PREDS}, k AS (SELECT fold, row_id, p, unnest(CASE WHEN y = 1 AND p >= 0.5 THEN ['tp_max', 'tp_min'] WHEN y = 1 THEN ['fn_min'] WHEN p >= 0.5 THEN ['fp_max'] ELSE [] END) AS kind FROM preds),
+r AS (SELECT *, row_number() OVER (PARTITION BY fold, kind ORDER BY CASE WHEN kind LIKE '%max' THEN -p ELSE p END, row_id) AS n FROM k) SELECT fold, kind, row_id, p FROM r WHERE n = 1""")
 def ex06_archetypes(spark, sf_dir):
-    from .evaluation import predictions
-
     return X.archetypes(predictions(spark, sf_dir), ["fold"])
 
 

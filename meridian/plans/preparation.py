@@ -115,11 +115,12 @@ def prj13_contributions(spark, sf_dir):
     return made.groupBy("feature").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("contribution"), 6).alias("total"))
 
 
-@_query()
+@_query("""WITH e AS (SELECT unnest(list_sort(list_transform(range(1, 5), lambda i: {'s': -abs(t[i]), 'f': (['l_quantity', 'l_extendedprice', 'l_discount', 'l_tax'])[i], 'v': t[i]}))) AS e FROM (SELECT [l_quantity * 0.5::DOUBLE, l_extendedprice * -0.001::DOUBLE, l_discount * 3.0::DOUBLE, l_tax * 2.0::DOUBLE] AS t FROM lineitem))
+SELECT e.f AS feature, count(*) AS n, round(avg(e.v), 6) AS mean FROM e GROUP BY 1""")
 def prj15_model_contributions(spark, sf_dir):
     names = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
     made = load(spark, sf_dir, "lineitem").select(F.inline(P.model_contributions(F.array(*names), [0.5, -0.001, 3.0, 2.0], names)))
-    return made.groupBy("feature").agg(F.count(F.lit(1)).alias("n"), F.avg("contribution").alias("mean"))
+    return made.groupBy("feature").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("contribution"), 6).alias("mean"))
 
 
 @_query("SELECT event_id, '<scrubbed>' AS patient, event_type AS kind FROM events")
@@ -200,8 +201,11 @@ def spl04_overlaps(spark, sf_dir):
     return S.overlaps(spl02_within_split(spark, sf_dir), "doc_id", "split")
 
 
-@_query()
+@_query("""WITH f AS (SELECT doc_id FROM labels ORDER BY doc_id LIMIT 20), r AS (SELECT doc_id, toxic AS y, doc_id IN (SELECT doc_id FROM f) AS forced, ('0x' || substr(md5('20260505|' || doc_id), 1, 8))::UBIGINT AS h FROM labels),
+z AS (SELECT count(*) AS n, avg(y) AS share, count(*) FILTER (NOT forced AND y = 1) AS pos, count(*) FILTER (NOT forced AND y = 0) AS neg, greatest(80 - count(*) FILTER (forced), 0) AS budget FROM r),
+q AS (SELECT *, CASE WHEN n <= 80 THEN pos ELSE least(round_even(budget * share, 0)::BIGINT, pos) END AS q1 FROM z), p AS (SELECT *, row_number() OVER (PARTITION BY y, forced ORDER BY h, doc_id) AS place FROM r)
+SELECT doc_id, y FROM p, q WHERE forced OR place <= CASE WHEN y = 1 THEN q1 ELSE least(budget - q1, neg) END""")
 def spl05_capped_sample(spark, sf_dir):
     rows = load(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("y"))
-    forced = rows.orderBy("doc_id").limit(3).select("doc_id")
+    forced = rows.orderBy("doc_id").limit(20).select("doc_id")
     return S.capped_sample(rows, "y", "doc_id", 80, forced)
