@@ -33,7 +33,7 @@ def claims(answers: DataFrame) -> DataFrame:
     parts = F.split(F.regexp_replace("answer", r"([.!?\]])\s+(?=[A-Z])", "$1\x01"), "\x01")
     rows = answers.select("query_id", F.posexplode(parts).alias("pos", "s"))
     bodies = F.regexp_extract_all("s", F.lit(r"\[([^\[\]]+?)\]"), F.lit(1))
-    tokens = F.array_remove(F.flatten(F.transform(bodies, lambda b: F.transform(F.split(b, ","), F.trim))), "")
+    tokens = F.array_remove(F.flatten(F.transform(bodies, lambda b: F.transform(F.split(b, ","), lambda x: F.trim(x)))), "")
     text = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace("s", r"\[[^\[\]]+?\]", ""), r"\s+", " "), r"\s+([.!?,;:])", "$1"))
     return rows.select("query_id", "pos", text.alias("claim"), tokens.alias("tokens")).where("claim <> '' AND claim <> '.'")
 

@@ -22,6 +22,15 @@ class Bm25Index:
     terms: DataFrame  # token, df, idf
     average: DataFrame  # one row: n, avgdl
 
+    @classmethod
+    def build(cls, chunks: DataFrame, path: str, id_: str = "chunk_id", text: str = "text") -> Bm25Index:
+        """The stored index of chunks: texts are read once, for the postings, all else comes from those."""
+        postings_of(chunks, id_, text).write.mode("overwrite").parquet(f"{path}/postings")
+        made = _index(chunks.sparkSession.read.parquet(f"{path}/postings"))
+        for name in ("average", "terms"):
+            getattr(made, name).write.mode("overwrite").parquet(f"{path}/{name}")
+        return cls.load(chunks.sparkSession, path)
+
     def save(self, path: str) -> None:
         for name in ("postings", "terms", "average"):
             getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
@@ -31,17 +40,25 @@ class Bm25Index:
         return cls(*[spark.read.parquet(f"{path}/{name}") for name in ("postings", "terms", "average")])
 
 
-def bm25_index(chunks: DataFrame, id_: str = "chunk_id", text: str = "text") -> Bm25Index:
-    """An empty chunk holds one sentinel token, so every chunk counts."""
+def postings_of(chunks: DataFrame, id_: str = "chunk_id", text: str = "text") -> DataFrame:
+    """(id, token, length, tf). An empty chunk holds one sentinel token, so every chunk counts."""
     tokens = search_tokens(F.coalesce(text, F.lit("")))
     rows = chunks.select(F.col(id_).alias("id"), F.when(F.size(tokens) > 0, tokens).otherwise(F.array(F.lit("__empty__"))).alias("t"))
-    tf = rows.select("id", F.size("t").alias("length"), F.explode("t").alias("token")).groupBy("id", "token", "length").agg(F.count(F.lit(1)).alias("tf"))
-    average = rows.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("t")).alias("avgdl"))
-    df = tf.groupBy("token").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(average))  # one row
+    return rows.select("id", F.size("t").alias("length"), F.explode("t").alias("token")).groupBy("id", "token", "length").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def _index(postings: DataFrame) -> Bm25Index:
+    average = postings.groupBy("id").agg(F.max("length").alias("length")).agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("avgdl"))
+    df = postings.groupBy("token").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(average))  # one row
     raw = df.withColumn("raw", F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     mean = raw.agg(F.avg("raw").alias("mean"))
     terms = raw.crossJoin(F.broadcast(mean)).select("token", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
-    return Bm25Index(tf, terms, average)
+    return Bm25Index(postings, terms, average)
+
+
+def bm25_index(chunks: DataFrame, id_: str = "chunk_id", text: str = "text") -> Bm25Index:
+    """The index as tables that are made anew wherever they are used; Bm25Index.build stores it."""
+    return _index(postings_of(chunks, id_, text))
 
 
 def top(rows: DataFrame, k: int, score: str = "score", query: str = "query_id") -> DataFrame:
@@ -49,12 +66,21 @@ def top(rows: DataFrame, k: int, score: str = "score", query: str = "query_id")
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+#: Scores are rounded to so many digits before they are ranked: sums of the same terms in another order
+#: differ in the last digits, and equal scores are to go by id.
+DIGITS = 9
+
+
 def bm25_search(index: Bm25Index, queries: DataFrame, k: int = 50) -> DataFrame:
-    """(query_id, id, score, rank): the chunks that share a token with the query, best first."""
+    """(query_id, id, score, rank): the k best chunks of each query, ties by id. Where fewer than k share
+    a token with it, chunks of score 0 follow in the order of their ids; a query without tokens has none."""
     asked = queries.select("query_id", F.explode(search_tokens(F.col("text"))).alias("token")).groupBy("query_id", "token").agg(F.count(F.lit(1)).alias("times"))
-    held = index.postings.join(asked.join(index.terms, "token"), "token").crossJoin(F.broadcast(index.average))
+    held = index.postings.join(asked.join(index.terms, "token"), "token").crossJoin(F.broadcast(index.average))  # one row
     part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("avgdl")))
-    return top(held.groupBy("query_id", "id").agg(F.sum(part).alias("score")), k)
+    others = index.postings.select("id").distinct().orderBy("id").limit(k).agg(F.collect_list("id").alias("ids"))  # k ids in one row
+    rest = asked.select("query_id").distinct().crossJoin(F.broadcast(others)).select("query_id", F.explode("ids").alias("id"), F.lit(0.0).alias("part"))
+    found = held.select("query_id", "id", part.alias("part")).unionByName(rest).groupBy("query_id", "id").agg(F.round(F.sum("part"), DIGITS).alias("score"))
+    return top(found, k)
 
 
 def unit(v: Column) -> Column:
@@ -91,7 +117,7 @@ def cosine_search(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     ranks are settled, so what is shuffled grows with queries and partitions, not with rows."""
     pairs = vectors.select("id", unit(F.col("embedding")).alias("v")).crossJoin(queries.select("query_id", unit(F.col("embedding")).alias("q")))
     scored = pairs.select("query_id", "id", F.when(F.size("v") == F.size("q"), dot(F.col("v"), F.col("q"))).otherwise(F.raise_error(F.lit("vectors differ in size")).cast("double")).alias("score"))
-    return top(scored, k)
+    return top(scored.withColumn("score", F.round("score", DIGITS)), k)
 
 
 def lsh_search(vectors: DataFrame, queries: DataFrame, k: int, distance: float, tables: int = 8, width: float = 0.6) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import answers as A
 from ..operators import retrieval as R
-from .tables import load
+from .tables import load, scratch
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -129,14 +129,19 @@ def rt01_bm25_terms(spark, sf_dir):
 
 BMS = f""", q AS (SELECT query_id, token, count(*) AS times FROM (SELECT item_id AS query_id, unnest({TOKENS % 'text'}) AS token FROM benchmark) GROUP BY ALL),
 s AS (SELECT query_id, id, sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / avgdl))) AS score FROM p JOIN q USING (token) JOIN i USING (token), a GROUP BY ALL),
-k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM s)"""
+sc AS (SELECT x.query_id, d.id, round(coalesce(s.score, 0), 9) AS score FROM (SELECT DISTINCT query_id FROM q) x CROSS JOIN d LEFT JOIN s ON s.query_id = x.query_id AND s.id = d.id),
+k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM sc)"""
 
 
-@_query(BM25 + BMS + " SELECT query_id, rank::INT AS rank, round(score, 6) AS score FROM k WHERE rank <= 10")
+def _stored_index(spark, sf_dir) -> R.Bm25Index:
+    return R.Bm25Index.build(_chunks(spark, sf_dir), scratch(spark, "bm25"))
+
+
+@_query(BM25 + BMS + " SELECT query_id, rank::INT AS rank, id, round(score, 6) AS score FROM k WHERE rank <= 10")
 def rt02_bm25_search(spark, sf_dir):
-    """A top-k report, as are the other searches. Scores by rank, as equal scores differ in the last digit."""
-    found = R.bm25_search(R.bm25_index(_chunks(spark, sf_dir)), _questions(spark, sf_dir), 10)
-    return found.select("query_id", "rank", F.round("score", 6).alias("score"))
+    """A top-k report, as are the other searches."""
+    found = R.bm25_search(_stored_index(spark, sf_dir), _questions(spark, sf_dir), 10)
+    return found.select("query_id", "rank", "id", F.round("score", 6).alias("score"))
 
 
 @_query("SELECT vec_id, round(sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))), 6) > 0 AS nonzero, round(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x / list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))), 6) AS norm2 FROM embeddings")
@@ -168,7 +173,7 @@ def _vectors(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
 
 
 COSINE = """WITH v AS (SELECT vec_id AS id, list_transform(embedding::DOUBLE[], lambda x: x / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS u FROM embeddings),
-c AS (SELECT q.id AS query_id, v.id, list_dot_product(q.u, v.u) AS score FROM v, v q WHERE q.id % 20 = 0), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM c)"""
+c AS (SELECT q.id AS query_id, v.id, list_dot_product(q.u, v.u) AS score FROM v, v q WHERE q.id % 20 = 0), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM c)"""
 
 
 @_query(COSINE + " SELECT query_id, rank::INT AS rank, round(score, 6) AS score FROM k WHERE rank <= 10")
@@ -182,22 +187,34 @@ def rt07_lsh_recall(spark, sf_dir):
     return R.recall(R.lsh_search(v, q, 5, 1.4, tables=24, width=1.6), R.cosine_search(v, q, 5)).withColumn("recall", F.round("recall", 6))
 
 
-@_query(COSINE + """, l AS (SELECT query_id, id, rank FROM k WHERE rank <= 10), b AS (SELECT query_id, id, 11 - rank AS rank FROM l),
-f AS (SELECT query_id, id, sum(1.0::DOUBLE / (60 + rank)) AS s FROM (SELECT * FROM l UNION ALL SELECT * FROM b) GROUP BY ALL) SELECT query_id, count(*) AS n, round(sum(s), 9) AS total FROM f GROUP BY 1""")
+@_query(COSINE + """, l AS (SELECT query_id, id, rank FROM k WHERE rank <= 10), b AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY id) AS rank FROM k WHERE rank <= 15)
+SELECT coalesce(l.query_id, b.query_id) AS query_id, coalesce(l.id, b.id) AS id, round(coalesce(1.0::DOUBLE / (60 + l.rank), 0) + coalesce(1.0::DOUBLE / (60 + b.rank), 0), 9) AS rrf_score, l.rank::INT AS rank_a, b.rank::INT AS rank_b FROM l FULL JOIN b ON l.query_id = b.query_id AND l.id = b.id""")
 def rt08_rank_fusion(spark, sf_dir):
-    leg = R.cosine_search(*_vectors(spark, sf_dir), 10)
-    fused = R.fuse({"a": leg, "b": leg.withColumn("rank", 11 - F.col("rank"))})
-    return fused.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("rrf_score"), 9).alias("total"))
+    """Two legs of different length: the ten nearest by score, and the fifteen nearest by id."""
+    leg = R.cosine_search(*_vectors(spark, sf_dir), 15)
+    by_id = R.top(leg.withColumn("by", -F.col("id")), 15, "by")
+    return R.fuse({"a": leg.where("rank <= 10"), "b": by_id}).withColumn("rrf_score", F.round("rrf_score", 9))
 
 
 def _hybrid(spark, sf_dir, rerank=R.overlap_score) -> DataFrame:
     chunks = _chunks(spark, sf_dir)
     vectors = chunks.select(F.col("chunk_id").alias("id"), R.hashed_embedding(F.col("text")).alias("embedding"))
     asked = _questions(spark, sf_dir).withColumn("embedding", R.hashed_embedding(F.col("text")))
-    return R.hybrid_search(R.bm25_index(chunks), vectors, chunks, asked, 5, 50, rerank)
+    return R.hybrid_search(_stored_index(spark, sf_dir), vectors, chunks, asked, 5, 50, rerank)
 
 
-@_query()
+HASHED = "('0x' || substr(md5(token), 1, 8))::UBIGINT % 64"
+#: The five best documents of each item: fifty of either leg, fused, ranked by the share of their tokens that the item has.
+HYBRID = BM25 + BMS + f""", hv AS (SELECT id, place, n / sqrt(sum(n * n) OVER (PARTITION BY id)) AS v FROM (SELECT id, {HASHED} AS place, count(*) AS n FROM (SELECT doc_id AS id, unnest({TOKENS % 'text'}) AS token FROM documents) GROUP BY ALL)),
+qv AS (SELECT query_id, place, n / sqrt(sum(n * n) OVER (PARTITION BY query_id)) AS v FROM (SELECT query_id, {HASHED} AS place, sum(times) AS n FROM q GROUP BY ALL)),
+cs AS (SELECT query_id, id, sum(hv.v * qv.v) AS score FROM hv JOIN qv USING (place) GROUP BY ALL),
+dn AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY round(coalesce(cs.score, 0), 9) DESC, id) AS rank FROM (SELECT item_id AS query_id FROM benchmark) x CROSS JOIN d LEFT JOIN cs USING (query_id, id)),
+fu AS (SELECT query_id, id, k.rank AS rank_bm25, dn.rank AS rank_dense, coalesce(1.0::DOUBLE / (60 + k.rank), 0) + coalesce(1.0::DOUBLE / (60 + dn.rank), 0) AS rrf_score FROM (SELECT * FROM k WHERE rank <= 50) k FULL JOIN (SELECT * FROM dn WHERE rank <= 50) dn USING (query_id, id)),
+ov AS (SELECT fu.*, o.text AS chunk, b.text AS asked, coalesce(len(list_intersect(list_distinct({TOKENS % 'o.text'}), {TOKENS % 'b.text'})) / nullif(len(list_distinct({TOKENS % 'o.text'})), 0)::DOUBLE, 0) AS rerank_score FROM fu JOIN documents o ON o.doc_id = fu.id JOIN benchmark b ON b.item_id = fu.query_id),
+hy AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, id)::INT AS rank FROM ov) WHERE rank <= 5)"""
+
+
+@_query(HYBRID + " SELECT query_id, id AS doc_id, rank, rank_bm25::INT AS rank_bm25, rank_dense::INT AS rank_dense, round(rrf_score, 9) AS rrf_score, round(rerank_score, 9) AS rerank_score FROM hy")
 def rt10_hybrid_search(spark, sf_dir):
     """RT-09, 10, JN-01."""
     return _hybrid(spark, sf_dir).select("query_id", F.col("id").alias("doc_id"), "rank", "rank_bm25", "rank_dense", F.round("rrf_score", 9).alias("rrf_score"), F.round("rerank_score", 9).alias("rerank_score"))
@@ -209,7 +226,13 @@ def _asked(spark, sf_dir) -> DataFrame:
     return load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(words, " ").alias("keyword"))
 
 
-@_query()
+SQUEEZED = r"lower(regexp_replace({}, '\s+', ' ', 'g'))"
+HELD = f"contains({SQUEEZED.format('chunk')}, {SQUEEZED.format(chr(39).join(['array_to_string(string_split(asked, ', ' ', ')[1:3], ', ' ', ')']))})"
+
+
+@_query(HYBRID + f""", h AS (SELECT query_id, min(CASE WHEN id = want AND held THEN rank END) AS r, min(CASE WHEN held THEN rank END) AS w FROM (SELECT query_id, id, rank, {HELD} AS held, first_value(id) OVER (PARTITION BY query_id ORDER BY rank) AS want FROM hy) GROUP BY 1),
+f AS (SELECT item_id AS query_id, item_id % 4 = 0 AS none, r, w, CASE WHEN item_id % 4 = 0 THEN CASE WHEN w IS NULL OR w > 1 THEN 1 END ELSE r END AS first_rank FROM benchmark LEFT JOIN h ON h.query_id = item_id)
+SELECT query_id, first_rank::INT AS first_rank, coalesce(first_rank = 1, FALSE)::INT AS hit_at_1, (CASE WHEN none THEN w IS NULL ELSE r IS NOT NULL END)::INT AS hit_at_k, coalesce(1.0::DOUBLE / first_rank, 0) AS rr FROM f""")
 def sc01_question_scores(spark, sf_dir):
     """SC-01, JN-13: hits are documents that hold the item's first three words."""
     found = _hybrid(spark, sf_dir).select("query_id", "rank", F.col("id").alias("doc_id"), F.lit(1).alias("page_start"), F.lit(1).alias("page_end"), F.col("chunk").alias("text"))
@@ -234,13 +257,28 @@ def _passages(spark, sf_dir) -> DataFrame:
     return _hybrid(spark, sf_dir).select("query_id", "rank", F.col("id").alias("chunk_id"), F.col("chunk").alias("text"))
 
 
-@_query()
+@_query(HYBRID + """, b AS (SELECT query_id, string_agg('[' || id || '] ' || chunk, chr(10) || chr(10) ORDER BY rank) AS body FROM hy GROUP BY 1), m AS (SELECT item_id AS query_id, 'Question: ' || text || chr(10) || chr(10) || 'Passages:' || chr(10) || chr(10) || coalesce(body, '(none)') || chr(10) || chr(10) || 'Answer with a citation in brackets after each sentence.' AS prompt FROM benchmark LEFT JOIN b ON b.query_id = item_id)
+SELECT query_id, length(prompt)::INT AS n_chars, md5(prompt) AS digest FROM m""")
 def gn01_prompts(spark, sf_dir):
     made = A.prompts(_passages(spark, sf_dir), _questions(spark, sf_dir))
     return made.select("query_id", F.length("prompt").alias("n_chars"), F.md5(F.col("prompt").cast("binary")).alias("digest"))
 
 
-@_query()
+#: Extractive answers of the two best documents, their claims, citations and verdicts.
+ANSWERS = HYBRID + r""", fs AS (SELECT query_id, rank, id, substr(CASE WHEN regexp_matches(t, '[.!?]\s') THEN regexp_extract(t, '(?s)^(.*?[.!?])\s', 1) ELSE t END, 1, 200) AS s FROM (SELECT query_id, rank, id, trim(chunk) AS t FROM hy WHERE rank <= 2)),
+an AS (SELECT item_id AS query_id, coalesce(string_agg(s || ' [' || id || ']', ' ' ORDER BY rank), '[REFUSE]') AS answer FROM benchmark LEFT JOIN fs ON fs.query_id = item_id GROUP BY 1),
+pa AS (SELECT query_id, unnest(range(0, len(p)))::INT AS pos, unnest(p) AS s FROM (SELECT query_id, string_split(regexp_replace(answer, '([.!?\]])\s+([A-Z])', '\1' || chr(1) || '\2', 'g'), chr(1)) AS p FROM an)),
+cl AS (SELECT query_id, pos, trim(regexp_replace(regexp_replace(regexp_replace(s, '\[[^\[\]]+?\]', '', 'g'), '\s+', ' ', 'g'), '\s+([.!?,;:])', '\1', 'g')) AS claim, list_filter(flatten(list_transform(regexp_extract_all(s, '\[([^\[\]]+?)\]', 1), lambda b: list_transform(string_split(b, ','), lambda x: trim(x)))), lambda x: x <> '') AS tokens FROM pa),
+cm AS (SELECT * FROM cl WHERE claim NOT IN ('', '.')),
+ct AS (SELECT query_id, pos, claim, regexp_replace(unnest(tokens), '^chunk_id=', '') AS key FROM cm),
+re AS (SELECT ct.query_id, pos, claim, coalesce(n.id, r.id) AS id FROM ct LEFT JOIN hy n ON n.query_id = ct.query_id AND n.id::VARCHAR = key LEFT JOIN hy r ON r.query_id = ct.query_id AND r.rank::VARCHAR = key),
+""" + f"""en AS (SELECT x.query_id, pos, x.id::VARCHAR AS id, coalesce(round(0.05::DOUBLE + 0.87 * (len(list_intersect(h, {TOKENS % 'chunk'})) / nullif(len(h), 0)::DOUBLE), 4), 0) AS e FROM (SELECT DISTINCT query_id, pos, id, list_distinct({TOKENS % 'claim'}) AS h FROM re WHERE id IS NOT NULL) x JOIN hy ON hy.query_id = x.query_id AND hy.id = x.id),
+be AS (SELECT query_id, pos, max(e) AS score, max(CASE WHEN n = 1 THEN id END) AS headline, coalesce(list_sort(list(id) FILTER (n > 1 AND e >= 0.5)), []) AS supporting FROM (SELECT *, row_number() OVER (PARTITION BY query_id, pos ORDER BY e DESC, id) AS n FROM en) GROUP BY ALL),
+ve AS (SELECT cm.query_id, cm.pos, claim, coalesce(score >= 0.5, FALSE) AS verified, headline, score, supporting, tokens FROM cm LEFT JOIN be ON be.query_id = cm.query_id AND be.pos = cm.pos)"""
+
+
+@_query(ANSWERS + """ SELECT query_id, pos, claim, verified, CASE WHEN verified THEN headline END AS headline, score, CASE WHEN verified THEN array_to_string(supporting, ',') ELSE '' END AS supporting,
+CASE WHEN verified THEN NULL WHEN len(tokens) = 0 THEN 'no_citation' WHEN score IS NULL THEN 'phantom_citation' ELSE 'no_passage_entails' END AS reason FROM ve""")
 def gn06_verdicts(spark, sf_dir):
     """GN-02, 03, 05, 06, JN-06, 07."""
     passages, asked = _passages(spark, sf_dir), _questions(spark, sf_dir)
@@ -248,7 +286,12 @@ def gn06_verdicts(spark, sf_dir):
     return A.verdicts(said, A.resolved(said, passages), passages).withColumn("supporting", F.array_join("supporting", ","))
 
 
-@_query()
+PHRASES = " OR ".join(f"contains(lower(answer), '{p.replace(chr(39), chr(39) * 2)}')" for p in A.REFUSAL_PHRASES)
+
+
+@_query(ANSWERS + f""", t AS (SELECT query_id, CASE WHEN bool_or(verified) THEN string_agg(claim, ' ' ORDER BY pos) FILTER (verified) ELSE '{A.REFUSAL_TEXT}' END AS text FROM ve GROUP BY 1),
+c AS (SELECT query_id, bool_or(id IS NOT NULL) AS cited FROM re GROUP BY 1)
+SELECT t.query_id, t.text, (contains(answer, '{A.REFUSAL}') OR {PHRASES}) AND NOT coalesce(cited, FALSE) AS refused FROM t JOIN an USING (query_id) LEFT JOIN c USING (query_id)""")
 def gn07_shown_text(spark, sf_dir):
     """GN-04, 07."""
     passages, asked = _passages(spark, sf_dir), _questions(spark, sf_dir)

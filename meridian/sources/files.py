@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -97,7 +97,7 @@ def corpus_manifest(page_rows: DataFrame, chunk_rows: DataFrame) -> DataFrame:
     digest = lambda order: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, "d"))), lambda s: s["d"]), ""), 256)
     docs = page_rows.withColumn("d", F.md5(F.col("text").cast("binary"))).groupBy(F.col("doc_id").cast("string").alias("key")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("n_chars"), digest(["page_no"]).alias("sha256"))
     # a strategy's digests are added up, as its chunks are many
-    parts = chunk_rows.groupBy(F.col("strategy").alias("key")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("n_chars"), F.sha2(F.sum(F.xxhash64("doc_id", "chunk_no", "text").cast("decimal(38,0)")).cast("string"), 256).alias("sha256"))
+    parts = chunk_rows.groupBy(F.col("strategy").alias("key")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("n_chars"), F.sha2(F.sum(portable_hash(F.col("doc_id"), F.col("chunk_no"), F.col("text"))).cast("string").cast("binary"), 256).alias("sha256"))
     return docs.select(F.lit("document").alias("kind"), "*").unionByName(parts.select(F.lit("strategy").alias("kind"), "*"))
 
 
@@ -163,6 +163,7 @@ def top_up(existing: DataFrame, targets: DataFrame, bands: dict[str, tuple[int,
     age = F.lit(None).cast("int")
     for band, (low, high) in bands.items():
         age = F.when(F.col("band") == band, (low + F.floor(u("age") * (high - low + 1))).cast("int")).otherwise(age)
-    before = need.select("tag", "band", "need").join(need.select(F.col("tag").alias("t2"), F.col("band").alias("b2"), F.col("need").alias("n2")), F.struct("t2", "b2") < F.struct("tag", "band"), "left").groupBy("tag", "band").agg(F.coalesce(F.sum("n2"), F.lit(0)).alias("before"))
+    # a row for each tag and band, so one task may order them
+    before = need.select("tag", "band", (F.sum("need").over(Window.orderBy("tag", "band")) - F.col("need")).alias("before"))
     made = rows.join(before, ["tag", "band"]).crossJoin(F.broadcast(first))  # the largest id is one row
     return made.select((F.col("last") + F.col("before") + F.col("k")).alias("case_id"), "tag", "band", age.alias("age"), (u("fault") < 0.1).alias("faulty"))

@@ -2,32 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from ..operators.events import STAGES
 
-OUTPUT = "case_id long, status string, next_stage string"
-
 
-def _fold(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    """State: a bit for each approved or edited stage, and one above them for a rejection."""
-    (bits,) = state.get if state.exists else (0,)
-    for batch in batches:
-        for stage, status in zip(batch["stage"], batch["status"], strict=True):
-            if status == "reject":
-                bits |= 1 << len(STAGES)
-            elif status in ("approve", "edit") and stage in STAGES:
-                bits |= 1 << STAGES.index(stage)
-    state.update((bits,))
-    left = [s for k, s in enumerate(STAGES) if not bits >> k & 1]
-    status = "rejected" if bits >> len(STAGES) else "awaiting_decision" if left else "complete"
-    yield pd.DataFrame({"case_id": [key[0]], "status": [status], "next_stage": [left[0] if status == "awaiting_decision" else None]})
+def _bit() -> Column:
+    """A bit for each approved or edited stage, and one above them for a rejection."""
+    out = F.when(F.col("status") == "reject", 1 << len(STAGES))
+    for k, stage in enumerate(STAGES):
+        out = out.when(F.col("status").isin("approve", "edit") & (F.col("stage") == stage), 1 << k)
+    return out.otherwise(0)
 
 
 def status_stream(decisions: DataFrame) -> DataFrame:
-    """The status of each case that a batch touches (update mode): the same fold as case_status."""
-    return decisions.groupBy("case_id").applyInPandasWithState(_fold, OUTPUT, "bits int", "update", GroupStateTimeout.NoTimeout)
+    """(case_id, status, next_stage) of each case that a batch touches (update mode), as case_status gives
+    it. The state of a case is one number."""
+    bits = decisions.groupBy("case_id").agg(F.bit_or(_bit()).alias("bits"))
+    rejected, held = F.shiftright("bits", len(STAGES)) > 0, F.col("bits")
+    left = F.coalesce(*[F.when(F.shiftright(held, k).bitwiseAND(1) == 0, s) for k, s in enumerate(STAGES)])
+    status = F.when(rejected, "rejected").when(left.isNull(), "complete").otherwise("awaiting_decision")
+    return bits.select("case_id", status.alias("status"), F.when(~rejected, left).alias("next_stage"))
