@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 #: Words that search leaves out.
 STOPWORDS = (
-    "a an the and or but if in on at to for from by of with as is are was were be been being have has had do does did doing this that these those "
-    "i you he she it we they them their his her its our your my me us what which who whom where when why how into than then so such about"
-).split()
-MARK = "\x01"
+    "a", "an", "the", "and", "or", "but", "if", "in", "on", "at", "to", "for", "from", "by", "of", "with", "as", "is", "are", "was", "were", "be", "been", "being",
+    "have", "has", "had", "do", "does", "did", "doing", "this", "that", "these", "those", "i", "you", "he", "she", "it", "we", "they", "them", "their", "his", "her",
+    "its", "our", "your", "my", "me", "us", "what", "which", "who", "whom", "where", "when", "why", "how", "into", "than", "then", "so", "such", "about",
+)
 
 
 def _let(value: Column, then) -> Column:
@@ -46,9 +46,19 @@ def pieces(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(r"(\S+\s*|\s+)"), F.lit(1))
 
 
-def _spans(parts: Column) -> Column:
-    """Structs (start, end, text) of pieces that tile a text."""
-    return F.aggregate(parts, F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,text:string>>").alias("out")), lambda s, p: F.struct((s["at"] + F.length(p)).alias("at"), F.concat(s["out"], F.array(F.struct(s["at"].alias("start"), (s["at"] + F.length(p)).alias("end"), p.alias("text")))).alias("out")), lambda s: s["out"])
+def _before(lengths: Column) -> Column:
+    """For each place of a short array, the sum of what comes before it."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    return F.aggregate(lengths, start, lambda s, n: F.struct((s["at"] + n).cast("int").alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")), lambda s: s["out"])
+
+
+def _ends(lengths: Column) -> Column:
+    """For each place of a short array, the sum up to it and with it."""
+    return F.zip_with(_before(lengths), lengths, lambda a, n: (a + n).cast("int"))
+
+
+def _total(lengths: Column) -> Column:
+    return F.aggregate(lengths, F.lit(0), lambda a, x: a + x)
 
 
 def window_chunks(docs: DataFrame, size: int = 512, stride: int = 448, strategy: str = "token") -> DataFrame:
@@ -56,21 +66,28 @@ def window_chunks(docs: DataFrame, size: int = 512, stride: int = 448, strategy:
     the first that reaches the end."""
     if not 0 < stride <= size:
         raise ValueError("stride must be positive and no more than size")
-    cut = docs.withColumn("_p", pieces(F.col("text"))).where(F.size("_p") > 0)
-    n = F.size("_p")
-    last = F.greatest(F.lit(0), F.ceil((n - size) / stride)).cast("int")
-    rows = cut.select("doc_id", "_p", F.explode(F.sequence(F.lit(0), last)).alias("chunk_no"))
-    chunk = rows.withColumn("_t", F.array_join(F.slice("_p", F.col("chunk_no") * stride + 1, size), "")).withColumn("_b", F.length(F.array_join(F.slice("_p", F.lit(1), F.col("chunk_no") * stride), "")))
-    return chunk.select("doc_id", F.lit(strategy).alias("strategy"), "chunk_no", F.col("_b").alias("char_start"), (F.col("_b") + F.length("_t")).alias("char_end"), F.least(F.lit(size), F.size("_p") - F.col("chunk_no") * stride).alias("n_tokens"), F.col("_t").alias("text"))
+    cut = docs.select("doc_id", pieces(F.col("text")).alias("_p")).where(F.size("_p") > 0)
+    last = F.greatest(F.lit(0), F.ceil((F.size("_p") - size) / stride)).cast("int")
+
+    # each chunk's pieces are taken from the array once, and the strides before a chunk are summed
+    def chunks(p: Column) -> Column:
+        numbers = F.sequence(F.lit(0), last)
+        strides = F.transform(numbers, lambda c: _total(F.transform(F.slice(p, c * stride + 1, stride), lambda t: F.length(t))))
+        made = lambda at: F.transform(numbers, lambda c: F.struct(c.alias("chunk_no"), F.get(at, c).alias("char_start"), F.least(F.lit(size), F.size(p) - c * stride).alias("n_tokens"), F.array_join(F.slice(p, c * stride + 1, size), "").alias("text")))
+        return _let(_before(strides), made)
+
+    rows = cut.select("doc_id", F.inline(chunks(F.col("_p"))))
+    return rows.select("doc_id", F.lit(strategy).alias("strategy"), "chunk_no", "char_start", (F.col("char_start") + F.length("text")).alias("char_end"), "n_tokens", "text")
 
 
-SENTENCE_END = r"([.!?]\s+)(?=[A-Z\"'(])"
+SENTENCE = r"((?s).*?(?:[.!?]\s+(?=[A-Z\"'(])|\z))"
 
 
 def sentences(text: Column) -> Column:
     """Sentences with the white space after them: a terminator, white space, then a capital, quote
-    or parenthesis ends one. They tile the text."""
-    return F.split(F.regexp_replace(text, SENTENCE_END, "$1" + MARK), MARK)
+    or parenthesis ends one. They tile the text; an empty text is one empty sentence."""
+    found = F.array_remove(F.regexp_extract_all(text, F.lit(SENTENCE), F.lit(1)), "")
+    return _let(found, lambda f: F.when(F.size(f) == 0, F.array(F.lit(""))).otherwise(f))
 
 
 def sentence_spans(docs: DataFrame) -> DataFrame:
@@ -102,15 +119,20 @@ def packed(sizes: Column, budget: int, overlap: int = 1) -> Column:
 def sentence_chunks(docs: DataFrame, budget: int = 512, strategy: str = "semantic") -> DataFrame:
     """(doc_id, strategy, chunk_no, char_start, char_end, n_tokens, text): sentences packed to a
     budget with one sentence of overlap; a longer sentence is a chunk of its own."""
-    cut = docs.where(F.length(F.trim("text")) > 0).withColumn("_s", sentences(F.col("text")))
+    cut = docs.where(F.length(F.trim("text")) > 0).select("doc_id", sentences(F.col("text")).alias("_s"))
     cut = cut.withColumn("_n", F.transform("_s", lambda s: F.size(pieces(s))))
-    rows = cut.select("doc_id", "_s", "_n", F.posexplode(packed(F.col("_n"), budget)).alias("chunk_no", "_r"))
-    first, count = F.col("_r.first"), F.col("_r.end") - F.col("_r.first")
-    body = F.array_join(F.slice("_s", first + 1, count), "")
-    begin = F.length(F.array_join(F.slice("_s", F.lit(1), first), ""))
-    total = F.aggregate(F.slice("_n", first + 1, count), F.lit(0), lambda a, x: a + x)
-    made = rows.select("doc_id", F.lit(strategy).alias("strategy"), "chunk_no", begin.alias("char_start"), total.alias("n_tokens"), F.regexp_replace(body, r"\s+$", "").alias("text"))
-    return made.select("doc_id", "strategy", "chunk_no", "char_start", (F.col("char_start") + F.length("text")).alias("char_end"), "n_tokens", "text")
+    cut = cut.withColumn("_r", packed(F.col("_n"), budget))
+
+    # chunks are cut inside the row, so that none carries the others' sentences
+    def chunks(s: Column, n: Column, ranges: Column) -> Column:
+        since = lambda r, k: F.coalesce(F.get(ranges, k - 1)["first"], F.lit(0))
+        steps = F.transform(ranges, lambda r, k: _total(F.transform(F.slice(s, since(r, k) + 1, r["first"] - since(r, k)), lambda t: F.length(t))))
+        body = lambda r: F.regexp_replace(F.array_join(F.slice(s, r["first"] + 1, r["end"] - r["first"]), ""), r"\s+$", "")
+        made = lambda ends: F.transform(ranges, lambda r, k: F.struct(k.alias("chunk_no"), F.get(ends, k).alias("char_start"), _total(F.slice(n, r["first"] + 1, r["end"] - r["first"])).alias("n_tokens"), body(r).alias("text")))
+        return _let(_ends(steps), made)
+
+    rows = cut.select("doc_id", F.inline(chunks(F.col("_s"), F.col("_n"), F.col("_r"))))
+    return rows.select("doc_id", F.lit(strategy).alias("strategy"), "chunk_no", "char_start", (F.col("char_start") + F.length("text")).alias("char_end"), "n_tokens", "text")
 
 
 def heading_level(line: Column) -> Column:

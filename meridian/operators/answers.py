@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import first_sentence, search_tokens
 
+#: The sentinel and the phrases that count as a refusal, and what is shown for one.
 REFUSAL = "[REFUSE]"
-#: Phrases that count as a refusal.
 REFUSAL_PHRASES = ("i do not have the supporting guidance", "i don't have the supporting guidance", "i cannot answer this from the supplied", "no supporting guidance was found")
 REFUSAL_TEXT = "I do not have the supporting guidance to answer this."
 
@@ -30,7 +30,7 @@ def extractive(passages: DataFrame, questions: DataFrame) -> DataFrame:
 
 def claims(answers: DataFrame) -> DataFrame:
     """(query_id, pos, claim, tokens): sentences without their brackets, and what the brackets cite."""
-    parts = F.split(F.regexp_replace("answer", r"([.!?\]])\s+(?=[A-Z])", "$1\x01"), "\x01")
+    parts = F.split("answer", r"(?<=[.!?\]])\s+(?=[A-Z])")
     rows = answers.select("query_id", F.posexplode(parts).alias("pos", "s"))
     bodies = F.regexp_extract_all("s", F.lit(r"\[([^\[\]]+?)\]"), F.lit(1))
     tokens = F.array_remove(F.flatten(F.transform(bodies, lambda b: F.transform(F.split(b, ","), lambda x: F.trim(x)))), "")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import word_count
 from .metrics import ordered_sums
 
+#: The bands, and the reasons for which a claim is suppressed.
 BANDS = ("low", "intermediate", "high")
 SUPPRESSED = ("no_citation", "phantom_citation", "no_passage_entails")
 #: The metrics a gate compares: (name, direction, tolerance). A latency's tolerance is

@@ -87,6 +87,7 @@ def band(value: Column, cuts: list[tuple[float, float, str]], unknown: str = "un
     return out
 
 
+#: The age bands.
 AGE_BANDS = [(0, 50, "<50"), (50, 70, "50-70"), (70, 200, ">=70")]
 
 
@@ -96,6 +97,7 @@ def flags(rules: dict[str, Column]) -> Column:
 
 
 def triage_rules() -> dict[str, Column]:
+    """The limits of the flags."""
     c = F.col
     return {
         "cholesterol_missing_sentinel": c("Cholesterol") == 0,
@@ -146,6 +148,7 @@ def model_contributions(features: Column, weights: list[float], names: list[str]
 
 
 def risk_band(p: Column, low: float = 0.05, high: float = 0.10) -> Column:
+    """The limits of the bands."""
     return F.when(p >= high, "high").when(p <= low, "low").otherwise("intermediate")
 
 
