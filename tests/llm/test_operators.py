@@ -10,7 +10,6 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-import corpus_pipeline
 from meridian.llm import licenses, linededup, neardup, packing, quality, toxicity, vectors, warc
 from meridian.llm.common import scratch_path
 from meridian.llm.graph import components
@@ -340,15 +339,36 @@ def test_license_hints_lose_no_notice():
             assert len(left) / len(pairs) < licenses.CONFIRM or any(p in licenses.NAMES[family] and p not in left for p in pairs), text
 
 
-def test_pipeline_stages_equal_brute_force(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    columns = docs.columns
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        before = docs.select("doc_id", "text").collect()
-        docs = spark.createDataFrame(stage(spark, docs, SF).collect(), docs.schema)
-        assert docs.columns == columns
-        if name == "near_dedup":
-            want = brute_components([(r.doc_id, r.text) for r in before], 5, 80)
-            assert {r.doc_id for r in docs.collect()} == {i for i, (_, c) in want.items() if i == c}
-    packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
-    assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == {r.doc_id for r in docs.collect()}
+def test_toxicity_with_odd_labels(spark):
+    text = lambda i: ("nasty foul words" if i % 2 else "kind calm words") + f" w{i}"
+    docs = [(i, text(i), "own") for i in range(120)]
+    cast = "doc_id long, text string, _idx string, low_quality int, toxic int"
+    plain = spark.createDataFrame([(i, t, x, i % 2, i % 2) for i, t, x in docs], cast)
+    repeated = plain.unionByName(plain.where("doc_id < 30")).unionByName(plain.where("doc_id < 5").selectExpr("doc_id", "text", "_idx", "null AS low_quality", "toxic"))
+    frame = plain.select("doc_id", "text", "_idx")
+    for labels in (plain, repeated):
+        got = toxicity.fit_chain(labels, ("low_quality", "toxic")).predict(frame)
+        assert got.columns[:3] == ["doc_id", "text", "_idx"]
+        assert [r.toxic for r in got.orderBy("doc_id").collect()] == [bool(i % 2) for i in range(120)]
+    one = toxicity.fit_chain(plain.withColumn("toxic", F.lit(0)), ("toxic",)).predict(frame).collect()
+    assert all(r.p_toxic < 0.05 for r in one)
+    none = toxicity.fit_chain(plain.limit(0), ("toxic",)).predict(frame).collect()
+    assert all(r.p_toxic == 0.5 for r in none)
+
+
+def test_warc_of_long_and_odd_payloads(spark):
+    html = ["x" * 3_000_000, "\r\n" * 5, "a\r\n", "\r\n\r\n", "\n\r\n\rWARC/1.1\r\n", "é\r\n\r\nWARC/1.1\r\nContent-Length: 9\r\n\r\n123456789\r\n\r\n"]
+    pages = spark.createDataFrame([(i, "http://x", h, 5) for i, h in enumerate(html)], "page_id long, url string, html string, record_id int")
+    path = scratch_path(spark, "warc-long")
+    warc.write_archives(pages, path)
+    captures = warc.assemble_transactions(warc.read_archives(spark, path))
+    plan = captures._jdf.queryExecution().executedPlan().toString()
+    assert sorted(bytes(c.response.body).decode() for c in captures.collect()) == sorted(html)
+    assert plan.count("FileScan text") == 1 and "Join" not in plan
+
+
+def test_quality_without_language_or_source(spark):
+    draw = random.Random(5)
+    docs = [(i, " ".join(f"w{draw.randrange(900)}" for _ in range(80)), 3) for i in range(40)] + [(99, "short", 3)]
+    got = quality.filter_documents(spark.createDataFrame(docs, "doc_id long, text string, _q_n_words int"))
+    assert got.columns == ["doc_id", "text", "_q_n_words"] and {(r.doc_id, r._q_n_words) for r in got.collect()} == {(i, 3) for i in range(40)}
