@@ -103,7 +103,10 @@ def sketches(measured: DataFrame) -> DataFrame:
 
 
 def fences(sketch: DataFrame) -> DataFrame:
-    """A row for each (lang, source, level): n documents and the fences low_* and high_*."""
+    """A row for each (lang, source, level): n documents and the fences low_* and high_*.
+
+    A quartile is known to its bucket only, so the range between them runs from the lower end of the
+    first one's bucket to the upper end of the third one's: a uniform group isn't fenced in to a point."""
     key = ["level", "lang", "source", "measure"]
     by = Window.partitionBy(*key)
     run = sketch.withColumns({"upto": F.sum("n").over(by.orderBy("bucket")), "total": F.sum("n").over(by)})
@@ -113,9 +116,10 @@ def fences(sketch: DataFrame) -> DataFrame:
     pick = lambda name, what: F.max(F.when(F.col("measure") == name, what))
     out = [F.max("total").alias("n_docs")]
     for name, (k, least, low) in RULES.items():
-        spread = k * (F.col("q3") - F.col("q1"))
+        least_q1 = F.col("q1") / GAMMA
+        spread = k * (F.col("q3") - least_q1)
         out.append(pick(name, F.greatest(F.lit(least), F.col("q3") + spread)).alias(f"high_{name}"))
-        out.append(pick(name, F.col("q1") - spread if low else F.lit(0.0)).alias(f"low_{name}"))
+        out.append(pick(name, least_q1 - spread if low else F.lit(0.0)).alias(f"low_{name}"))
     return quarters.groupBy("level", "lang", "source").agg(*out)
 
 
@@ -204,10 +208,10 @@ WITH w AS (
   FROM c GROUP BY ALL
 ), f AS (
   SELECT level, lang, source, max(total) AS n_docs,
-         max(CASE WHEN measure = 'symbols_per_word' THEN greatest(0.1, q3 + 3 * (q3 - q1)) END) AS hs,
-         max(CASE WHEN measure = 'dup_line_share' THEN greatest(0.5, q3 + 3 * (q3 - q1)) END) AS hd,
-         max(CASE WHEN measure = 'chars_per_word' THEN q3 + 8 * (q3 - q1) END) AS hc,
-         max(CASE WHEN measure = 'chars_per_word' THEN q1 - 8 * (q3 - q1) END) AS lc
+         max(CASE WHEN measure = 'symbols_per_word' THEN greatest(0.1, q3 + 3 * (q3 - q1 / 1.02::DOUBLE)) END) AS hs,
+         max(CASE WHEN measure = 'dup_line_share' THEN greatest(0.5, q3 + 3 * (q3 - q1 / 1.02::DOUBLE)) END) AS hd,
+         max(CASE WHEN measure = 'chars_per_word' THEN q3 + 8 * (q3 - q1 / 1.02::DOUBLE) END) AS hc,
+         max(CASE WHEN measure = 'chars_per_word' THEN q1 / 1.02::DOUBLE - 8 * (q3 - q1 / 1.02::DOUBLE) END) AS lc
   FROM q GROUP BY ALL
 ), p AS (
   SELECT v.*, CASE WHEN a.n_docs >= 100 THEN a WHEN b.n_docs >= 100 THEN b ELSE z END AS fence
