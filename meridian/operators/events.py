@@ -15,14 +15,20 @@ def stage_durations(audit: DataFrame) -> DataFrame:
     return audit.withColumn("_r", F.row_number().over(first)).where("_r = 1").select("case_id", "stage", ms.alias("duration_ms"))
 
 
-def case_status(decisions: DataFrame, stages: tuple[str, ...] = STAGES) -> DataFrame:
+def case_status(decisions: DataFrame, stages: tuple[str, ...] = STAGES, invalid: DataFrame | None = None) -> DataFrame:
     """(case_id, status, next_stage): rejected once any stage was, complete when all are approved or
-    edited, else awaiting the first stage that is not."""
+    edited, else awaiting the first stage that is not. A case of invalid (case ids whose triage failed)
+    has ended as failed, whatever was decided, and is listed without decisions too."""
     done = F.array_distinct(F.collect_set(F.when(F.col("status").isin("approve", "edit"), F.col("stage"))))
     held = decisions.groupBy("case_id").agg(done.alias("done"), F.bool_or(F.col("status") == "reject").alias("rejected"))
     open_ = F.filter(F.array(*[F.lit(s) for s in stages]), lambda s: ~F.array_contains("done", s))
     status = F.when(F.coalesce("rejected", F.lit(False)), "rejected").when(F.size(open_) == 0, "complete").otherwise("awaiting_decision")
-    return held.select("case_id", status.alias("status"), F.when(status == "awaiting_decision", open_[0]).alias("next_stage"))
+    out = held.select("case_id", status.alias("status"), F.when(status == "awaiting_decision", open_[0]).alias("next_stage"))
+    if invalid is None:
+        return out
+    bad = invalid.select("case_id").distinct().withColumn("_bad", F.lit(True))
+    ended = F.col("_bad").isNotNull()
+    return out.join(bad, "case_id", "full_outer").select("case_id", F.when(ended, "failed").otherwise(F.col("status")).alias("status"), F.when(~ended, F.col("next_stage")).alias("next_stage"))
 
 
 def edited_fields(decisions: DataFrame, ignored: str = "risk") -> DataFrame:

@@ -12,12 +12,14 @@ from pyspark.sql import functions as F
 from .metrics import portable_hash
 
 
-def linear_parts(features: Column, weights: list[float], names: list[str]) -> Column:
-    """Structs (basis, value): weight times feature; another length is an error."""
+def linear_parts(features: Column, weights: list[float], names: list[str], intercept: float | None = None) -> Column:
+    """Structs (basis, value): weight times feature, and the intercept, if given; another length is an error."""
     if len(weights) != len(names):
         raise ValueError("a weight is needed for each name")
     products = F.zip_with(features, F.array(*[F.lit(float(w)) for w in weights]), lambda x, w: x * w)
     made = F.zip_with(F.array(*map(F.lit, names)), products, lambda n, v: F.struct(n.alias("basis"), v.alias("value")))
+    if intercept is not None:
+        made = F.concat(made, F.array(F.struct(F.lit("intercept").alias("basis"), F.lit(float(intercept)).alias("value"))))
     return F.when(F.size(features) == len(weights), made).otherwise(F.raise_error(F.lit("features and weights differ in length")).cast("array<struct<basis:string,value:double>>"))
 
 

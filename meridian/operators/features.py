@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame
@@ -109,18 +110,43 @@ class Recipe:
         return scaled | {c: F.col(c).cast("double") for c in self.passed}
 
 
-def forest_impute(df: DataFrame, columns: list[str], trained: Column, rounds: int = 2, trees: int = 20, seed: int = 5) -> DataFrame:
+def forest_impute(df: DataFrame, columns: list[str], trained: Column, rounds: int = 10, trees: int = 50, seed: int = 5, binary: tuple[str, ...] = ()) -> DataFrame:
     """Chained imputation: each column's nulls are predicted from the others by a forest fitted on
-    the rows where `trained` holds, round after round; only cells that were null are filled.
+    the rows where `trained` holds, round after round; only cells that were null are filled. Columns of
+    binary (0 or 1) begin with their mode and get a classifier's answer.
 
     df should be a written or cached table: every round reads it again."""
     gaps = {c: f"_null_{c}" for c in columns}
     means = df.where(trained).agg(*[F.avg(c).alias(c) for c in columns]).first()
-    out = df.withColumns({g: F.col(c).isNull() for c, g in gaps.items()}).withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(float(means[c] or 0.0))) for c in columns})
+    first = {c: float(means[c] or 0.0) if c not in binary else float((means[c] or 0.0) > 0.5) for c in columns}
+    out = df.withColumns({g: F.col(c).isNull() for c, g in gaps.items()}).withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(first[c])) for c in columns})
     for _ in range(rounds):
         for c in columns:
             inputs = VectorAssembler(inputCols=[o for o in columns if o != c], outputCol="_x")
             ready = inputs.transform(out)
-            model = RandomForestRegressor(featuresCol="_x", labelCol=c, predictionCol="_y", numTrees=trees, maxDepth=5, seed=seed).fit(ready.where(trained & ~F.col(gaps[c])))
-            out = model.transform(ready).withColumn(c, F.when(F.col(gaps[c]), F.col("_y")).otherwise(F.col(c))).drop("_x", "_y")
+            known = ready.where(trained & ~F.col(gaps[c]))
+            made = {"featuresCol": "_x", "labelCol": c, "predictionCol": "_y", "numTrees": trees, "maxDepth": 5, "seed": seed}
+            forest = RandomForestClassifier(**made, rawPredictionCol="_raw", probabilityCol="_p") if c in binary else RandomForestRegressor(**made)
+            out = forest.fit(known).transform(ready).withColumn(c, F.when(F.col(gaps[c]), F.col("_y")).otherwise(F.col(c))).drop("_x", "_y", "_raw", "_p")
     return out.drop(*gaps.values())
+
+
+RECIPES = ("plain", "forest", "splines", "scaled_forest")
+
+
+def prepared(df: DataFrame, recipe: str, trained: Column, continuous: list[str], binary: list[str], categories: list[str], passed: list[str], rounds: int = 10, trees: int = 50) -> tuple[DataFrame, dict[str, Column]]:
+    """The table and named feature columns of one of four recipes, all fitted on the rows where `trained`
+    holds: levels as zeros and ones (a level not fitted: zeros) and passed columns as they are, with
+    plain: numbers as they are, nulls too; forest: numbers imputed by forests; splines: mean or mode, spline
+    terms, scaled; scaled_forest: imputed by forests, then scaled."""
+    if recipe not in RECIPES:
+        raise ValueError(f"unknown recipe {recipe}")
+    levels = Encoder.fit(df.where(trained), categories, [])
+    hot = {f"{c}__{v}": F.coalesce((F.col(c) == v).cast("double"), F.lit(0.0)) for c, vs in levels.levels.items() for v in vs}
+    if recipe in ("forest", "scaled_forest"):
+        df = forest_impute(df, [*continuous, *binary], trained, rounds, trees, binary=tuple(binary))
+    if recipe in ("plain", "forest"):
+        numbers = {c: F.col(c).cast("double") for c in [*continuous, *binary]}
+    else:
+        numbers = Recipe.fit(df.where(trained), continuous, binary, [], splines=recipe == "splines").columns()
+    return df, hot | numbers | {c: F.col(c).cast("double") for c in passed}

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 Metric = Callable[[DataFrame, list[str]], DataFrame]
 
@@ -23,7 +26,8 @@ def score_counts(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 def order_bucket(value: Column) -> Column:
     """A number that never falls as value rises: 64 ranges for each doubling, on both sides of zero."""
-    size = F.greatest(F.floor(64 * F.log2(F.abs(value.cast("double")))), F.lit(-68_800)) + 68_801  # the least double is 2^-1074
+    # doubles lie between 2^-1074 and 2^1024; infinity is in the last range
+    size = F.floor(F.least(F.greatest(64 * F.log2(F.abs(value.cast("double"))), F.lit(-68_800.0)), F.lit(65_600.0))) + 68_801
     return F.when(value == 0, F.lit(0)).when(value > 0, size).otherwise(-size).cast("int")
 
 
@@ -71,9 +75,7 @@ def _area() -> Column:
 
 def curve(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Score counts with true and false positives at p and above, and the group's totals."""
-    made = ordered_sums(score_counts(rows, keys), keys, "p", ["pos", "neg"]).withColumnsRenamed({"all_pos": "n_pos", "all_neg": "n_neg"})
-    made = made.withColumns({"tp": F.col("n_pos") - F.col("upto_pos") + F.col("pos"), "fp": F.col("n_neg") - F.col("upto_neg") + F.col("neg")})
-    return made.drop("upto_pos", "upto_neg")
+    return _curve_of(score_counts(rows, keys), keys).drop("upto_pos", "upto_neg")
 
 
 def auprc(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -174,6 +176,46 @@ def bootstrap_ci(rows: DataFrame, keys: list[str], metric: Metric, n_resamples:
     return out.select(*keys, "point", F.when(enough, F.col("e")[0]).alias("lower"), F.when(enough, F.col("e")[1]).alias("upper"), F.coalesce("n_valid", F.lit(0)).alias("n_valid"))
 
 
+def resampled_counts(rows: DataFrame, keys: list[str], n_resamples: int, seed: int) -> DataFrame:
+    """Score counts (keys, b, p, pos, neg) of n_resamples Poisson resamples of the rows: each row is in a
+    resample 0, 1, 2... times. Counts of equal scores are drawn at once, from a generator that is seeded by
+    the group and score, so neither rows nor partitions matter, and rows are never multiplied."""
+
+    def drawn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            draws = [np.random.default_rng((seed, h & 0xFFFFFFFFFFFFFFFF)) for h in batch["_h"]]
+            for name in ("pos", "neg"):
+                batch[name] = [r.poisson(n, n_resamples) for r, n in zip(draws, batch[name], strict=True)]
+            yield batch.drop(columns="_h")
+
+    counts = score_counts(rows, keys).select(*keys, "p", F.col("pos").cast("long").alias("pos"), F.col("neg").cast("long").alias("neg"))
+    marked = counts.withColumn("_h", F.xxhash64(*keys, "p"))
+    schema = T.StructType([*[f for f in counts.schema.fields if f.name not in ("pos", "neg")], *[T.StructField(n, T.ArrayType(T.LongType())) for n in ("pos", "neg")]])
+    made = marked.mapInPandas(drawn, schema)
+    return made.select(*keys, "p", F.posexplode(F.arrays_zip("pos", "neg")).alias("b", "s")).select(*keys, "b", "p", "s.pos", "s.neg").where("pos + neg > 0")
+
+
+def _curve_of(counts: DataFrame, keys: list[str]) -> DataFrame:
+    made = ordered_sums(counts, keys, "p", ["pos", "neg"]).withColumnsRenamed({"all_pos": "n_pos", "all_neg": "n_neg"})
+    return made.withColumns({"tp": F.col("n_pos") - F.col("upto_pos") + F.col("pos"), "fp": F.col("n_neg") - F.col("upto_neg") + F.col("neg")})
+
+
+def headline_intervals(rows: DataFrame, keys: list[str], n_resamples: int = 2000, alpha: float = 0.05, seed: int = 20260505, specificities: tuple[float, ...] = (0.85, 0.9)) -> DataFrame:
+    """(keys, metric, point, lower, upper, n_valid): percentile intervals of AUROC, average precision, Brier
+    score and sensitivities from the same resamples. A metric with fewer than half of its resamples valid
+    has a null interval. Slope and intercept have points only: their resamples are unstable."""
+    n, p = F.col("pos") + F.col("neg"), F.col("p")
+    brier_ = F.sum(F.col("pos") * (1 - p) * (1 - p) + F.col("neg") * p * p) / F.sum(n)
+    metrics = {"auroc": _area(), "auprc": _precision(), "brier": brier_} | {f"sens_at_{int(100 * s)}": _sensitivity(s) for s in specificities}
+    names = list(metrics)
+    points = curve(rows, keys).groupBy(*keys).agg(*[m.cast("double").alias(k) for k, m in metrics.items()]).unpivot(keys, names, "metric", "point")
+    drawn = _curve_of(resampled_counts(rows, keys, n_resamples, seed), [*keys, "b"]).groupBy(*keys, "b").agg(*[m.cast("double").alias(k) for k, m in metrics.items()])
+    ends = drawn.unpivot([*keys, "b"], names, "metric", "value").where("value IS NOT NULL").groupBy(*keys, "metric").agg(F.percentile("value", F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2))).alias("e"), F.count("value").alias("n_valid"))
+    enough = F.col("n_valid") * 2 >= n_resamples
+    out = matched(points, ends, [*keys, "metric"])
+    return out.select(*keys, "metric", "point", F.when(enough, F.col("e")[0]).alias("lower"), F.when(enough, F.col("e")[1]).alias("upper"), F.coalesce("n_valid", F.lit(0)).alias("n_valid"))
+
+
 def mean_metric(rows: DataFrame, keys: list[str]) -> DataFrame:
     """The mean of a column v, for bootstrap intervals of means."""
     return rows.groupBy(*keys).agg(F.avg("v").alias("value"))
@@ -199,7 +241,23 @@ def reliability_bins(rows: DataFrame, keys: list[str], n_bins: int = 10, strateg
 def stratified(rows: DataFrame, keys: list[str], stratum: str, metric: Metric, least: int = 10) -> DataFrame:
     """(keys, stratum, n, value); strata of fewer than least rows have a null value."""
     group = [*keys, stratum]
-    return rows.groupBy(*group).agg(F.count(F.lit(1)).alias("n")).join(metric(rows, group), group).withColumn("value", F.when(F.col("n") >= least, F.col("value")))
+    return matched(rows.groupBy(*group).agg(F.count(F.lit(1)).alias("n")), metric(rows, group), group).withColumn("value", F.when(F.col("n") >= least, F.col("value")))
+
+
+def evaluation_block(rows: DataFrame, keys: list[str], strata: list[str], thresholds: tuple[float, ...] = (0.05, 0.10), least: int = 10) -> DataFrame:
+    """One row per group: the headline, for each stratum column auroc_by_<c> (an array of stratum, n, value)
+    and gap_<c>, and for each threshold at_<percent> (net benefits, and whether the model is of use)."""
+    out = headline(rows, keys)
+    for c in strata:
+        made = stratified(rows, keys, c, auroc, least)
+        listed = F.array_sort(F.collect_list(F.struct(F.col(c).alias("stratum"), "n", "value"))).alias(f"auroc_by_{c}")
+        out = matched(out, made.groupBy(*keys).agg(listed), keys)
+        out = matched(out, fairness_gap(made, keys).withColumnRenamed("gap", f"gap_{c}"), keys)
+    points = decision_curve(rows, keys)
+    for t in thresholds:
+        at = curve_at(points, keys, t).select(*keys, F.struct("threshold", "model", "treat_all", "useful").alias(f"at_{round(100 * t)}"))
+        out = matched(out, at, keys)
+    return out
 
 
 def fairness_gap(strata: DataFrame, keys: list[str]) -> DataFrame:

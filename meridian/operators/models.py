@@ -30,10 +30,23 @@ def tune_lasso(train: DataFrame, fold: str, folds: int, grid: tuple[float, ...]
     return CrossValidator(estimator=base, estimatorParamMaps=params, evaluator=BinaryClassificationEvaluator(), numFolds=folds, foldCol=fold, parallelism=parallelism).fit(train)
 
 
-def tune_boosting(train: DataFrame, fold: str, folds: int, trials: int = 4, seed: int = 20260505, parallelism: int = 4):
+def boosting_draws(base: GBTClassifier, trials: int, seed: int) -> list[dict]:
+    """Seeded draws over eight parameters: rounds, depth, rate, rows and columns sampled, least rows and
+    least gain of a split, and bins."""
+    draw = random.Random(seed)
+    return [
+        {
+            base.maxIter: draw.choice([5, 10, 20]), base.maxDepth: draw.randint(2, 5), base.stepSize: 10 ** draw.uniform(-2, -0.5), base.subsamplingRate: draw.uniform(0.6, 1.0),
+            base.featureSubsetStrategy: str(round(draw.uniform(0.5, 1.0), 3)), base.minInstancesPerNode: draw.randint(1, 10), base.minInfoGain: 10 ** draw.uniform(-8, -2), base.maxBins: draw.choice([32, 64]),
+        }
+        for _ in range(trials)
+    ]
+
+
+def tune_boosting(train: DataFrame, fold: str, folds: int, trials: int = 50, seed: int = 20260505, parallelism: int = 4):
     """The best of seeded random draws over the boosting parameters, by AUROC over the folds."""
-    draw, base = random.Random(seed), GBTClassifier(seed=seed)
-    maps = [{base.maxIter: draw.choice([5, 10, 20]), base.maxDepth: draw.randint(2, 5), base.stepSize: 10 ** draw.uniform(-2, -0.5), base.subsamplingRate: draw.uniform(0.6, 1.0), base.minInstancesPerNode: draw.randint(1, 10)} for _ in range(trials)]
+    base = GBTClassifier(seed=seed)
+    maps = boosting_draws(base, trials, seed)
     return CrossValidator(estimator=base, estimatorParamMaps=maps, evaluator=BinaryClassificationEvaluator(), numFolds=folds, foldCol=fold, parallelism=parallelism).fit(train)
 
 

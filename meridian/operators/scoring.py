@@ -121,6 +121,11 @@ def keyword_judge(correct: Column, letter: Column) -> Column:
     return F.struct(a.alias("alignment"), q.alias("quality"), ((a >= 4) & (q >= 4)).alias("passed"))
 
 
+def with_judgements(reports: DataFrame, judged: DataFrame) -> DataFrame:
+    """reports (case_id, ...) with the judge's columns, those of its own case; a case that was not judged is left out."""
+    return reports.join(judged, "case_id")
+
+
 def judge_roll_up(judged: DataFrame, tag: str = "tag") -> DataFrame:
     return judged.groupingSets([[], [F.col(tag)]], F.col(tag)).agg(F.count(F.lit(1)).alias("n"), F.avg("alignment").alias("mean_alignment"), F.avg("quality").alias("mean_quality"), F.avg(F.col("passed").cast("int")).alias("pass_rate"), F.grouping(tag).cast("int").alias("overall"))
 

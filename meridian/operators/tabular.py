@@ -107,6 +107,13 @@ def triage_rules() -> dict[str, Column]:
     }
 
 
+def triage_summary(found: Column) -> Column:
+    """A line about a record (columns of the patient table) and its flags. Its wording."""
+    parts = ["Triage: ", F.col("Age"), "y ", F.col("Sex"), ", chest pain=", F.col("ChestPainType"), ", resting BP=", F.col("RestingBP"), ", chol=", F.col("Cholesterol"), ", max HR=", F.col("MaxHR"), ", ST slope=", F.col("ST_Slope"), ". "]
+    said = F.concat(*[F.lit(p) if isinstance(p, str) else F.coalesce(p.cast("string"), F.lit("None")) for p in parts])
+    return F.concat(said, F.when(F.size(found) == 0, "No sanity flags.").otherwise(F.concat(F.lit("Flags: "), F.array_join(found, ", "), F.lit("."))))
+
+
 def validate(df: DataFrame, rules: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
     """(valid rows, bad rows with the violated rules' names); a null condition violates."""
     judged = df.withColumn("violations", F.array_compact(F.array(*[F.when(~F.coalesce(r, F.lit(False)), F.lit(n)) for n, r in rules.items()])))
@@ -138,8 +145,11 @@ def contributions(terms: dict[str, Column], k: int = 6) -> Column:
     return F.slice(F.transform(F.array_sort(every), lambda s: F.struct(s["feature"].alias("feature"), s["contribution"].alias("contribution"))), 1, k)
 
 
-def model_contributions(features: Column, weights: list[float], names: list[str], k: int = 6) -> Column:
-    """Weight times value for each feature, the k largest by size; empty when the lengths differ."""
+def model_contributions(features: Column, weights: list[float], names: list[str], k: int = 6, signs: bool = False) -> Column:
+    """Weight times value for each feature, the k largest by size; empty when the lengths differ. With signs
+    (weights are a forest's importances) weight times the value's sign, 0 for values within 1e-9 of 0."""
+    if signs:
+        features = F.transform(features, lambda x: F.when(F.abs(x) > 1e-9, F.signum(x)).otherwise(0.0))
     if len(weights) != len(names):
         return F.array().cast("array<struct<feature:string,contribution:double>>")
     parts = F.zip_with(F.zip_with(features, F.array(*[F.lit(float(w)) for w in weights]), lambda x, w: x * w), F.array(*[F.lit(n) for n in names]), lambda v, n: F.struct((-F.abs(v)).alias("size"), n.alias("feature"), v.alias("contribution")))

@@ -67,7 +67,8 @@ JUDGED = ", j AS (SELECT tag, CASE WHEN (o_custkey % 2 = 0 AND o_orderkey % 3 =
 def sc15_judge_roll_up(spark, sf_dir):
     """SC-09, 14, 15, JN-09."""
     c = cases(spark, sf_dir).withColumn("correct", S.recommendation_correct(F.col("family"), F.col("letter")))
-    made = S.judge_roll_up(c.select("tag", S.keyword_judge(F.col("correct"), F.col("letter")).alias("j")).select("tag", "j.*"))
+    judged = c.select("case_id", S.keyword_judge(F.col("correct"), F.col("letter")).alias("j")).select("case_id", "j.*")
+    made = S.judge_roll_up(S.with_judgements(c.select("case_id", "tag"), judged))
     return made.withColumns({n: F.round(n, 9) for n in ("mean_alignment", "mean_quality", "pass_rate")})
 
 
@@ -157,9 +158,11 @@ CASE WHEN turn % 2 = 0 THEN substr(text, 1, 5) END AS note, 'f' || (turn % 3) AS
 
 
 @_query(DECISIONS + """, h AS (SELECT case_id, list(DISTINCT stage) FILTER (status IN ('approve', 'edit')) AS done, bool_or(status = 'reject') AS rej FROM d GROUP BY 1), o AS (SELECT *, list_filter(['triage', 'risk', 'guideline', 'letter'], lambda s: NOT coalesce(list_contains(done, s), FALSE)) AS open FROM h)
-SELECT case_id, CASE WHEN rej THEN 'rejected' WHEN len(open) = 0 THEN 'complete' ELSE 'awaiting_decision' END AS status, CASE WHEN NOT rej AND len(open) > 0 THEN open[1] END AS next_stage FROM o""")
+SELECT case_id, CASE WHEN rej THEN 'rejected' WHEN len(open) = 0 THEN 'complete' ELSE 'awaiting_decision' END AS status, CASE WHEN NOT rej AND len(open) > 0 THEN open[1] END AS next_stage FROM o""".replace("CASE WHEN rej THEN 'rejected'", "CASE WHEN case_id % 11 = 0 THEN 'failed' WHEN rej THEN 'rejected'").replace("CASE WHEN NOT rej", "CASE WHEN case_id % 11 <> 0 AND NOT rej"))
 def ev02_case_status(spark, sf_dir):
-    return E.case_status(decisions(spark, sf_dir))
+    """EV-02: cases whose number is divisible by 11 failed in triage."""
+    made = decisions(spark, sf_dir)
+    return E.case_status(made, invalid=made.where("case_id % 11 = 0"))
 
 
 @_query(DECISIONS + " SELECT case_id, field, arg_max(value, {'a': ts, 'b': value}) AS value FROM d WHERE status = 'edit' AND stage <> 'risk' GROUP BY ALL")

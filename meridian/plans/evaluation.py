@@ -270,3 +270,20 @@ def met18_overall_and_strata(spark, sf_dir):
     p = predictions(spark, sf_dir)
     fold, stratum = F.col("fold"), F.col("stratum")
     return _r(p.groupingSets([[fold], [fold, stratum]], "fold", "stratum").agg(F.count(F.lit(1)).alias("n"), F.avg("y").alias("prevalence"), F.avg(F.pow(F.col("p") - F.col("y"), 2)).alias("brier")), "prevalence", "brier")
+
+
+@_query(DCA + f""", sc AS (SELECT fold, stratum, p, sum(y) AS pos, sum(1 - y) AS neg FROM preds GROUP BY ALL), u AS (SELECT *, sum(neg) OVER (PARTITION BY fold, stratum ORDER BY p) - neg AS below FROM sc),
+s AS (SELECT fold, stratum, sum(pos * (below + neg / 2.0)) / nullif(sum(pos) * sum(neg), 0) AS v FROM u GROUP BY ALL), g AS (SELECT fold, string_agg(stratum || '=' || round(v, 6), ',' ORDER BY stratum) AS auroc_by_stratum, round(max(v) - min(v), 9) AS gap FROM s GROUP BY 1)
+SELECT fold, auroc_by_stratum, gap, round(a.model, 9) AS model_5, a.model > greatest(a.treat_all, 0) AS useful_5, round(b.model, 9) AS model_10, b.model > greatest(b.treat_all, 0) AS useful_10
+FROM g JOIN (SELECT * FROM d WHERE threshold = 0.05) a USING (fold) JOIN (SELECT * FROM d WHERE threshold = 0.1) b USING (fold)""")
+def met18_block(spark, sf_dir):
+    """MET-18: headline, AUROC by stratum with its gap, and the decision curve at two thresholds."""
+    made = M.evaluation_block(predictions(spark, sf_dir), ["fold"], ["stratum"])
+    listed = F.array_join(F.transform("auroc_by_stratum", lambda s: F.concat_ws("=", s["stratum"].cast("string"), F.round(s["value"], 6).cast("string"))), ",")
+    return made.select("fold", listed.alias("auroc_by_stratum"), F.round("gap_stratum", 9).alias("gap"), F.round("at_5.model", 9).alias("model_5"), F.col("at_5.useful").alias("useful_5"), F.round("at_10.model", 9).alias("model_10"), F.col("at_10.useful").alias("useful_10"))
+
+
+@_query()
+def met18_intervals(spark, sf_dir):
+    """MET-18's intervals of five metrics, from 2,000 resamples; a test holds them against resampling rows."""
+    return M.headline_intervals(predictions(spark, sf_dir), ["fold"])

@@ -69,7 +69,7 @@ def fe05_impute_scale(spark, sf_dir):
 @_query()
 def fe07_forest_impute(spark, sf_dir):
     gaps = load(spark, sf_dir, "lineitem").select("l_linenumber", *[F.when(F.col("l_partkey") % (7 + i) != 0, F.col(c)).alias(c) for i, c in enumerate(["l_quantity", "l_extendedprice", "l_discount"])])
-    made = FE.forest_impute(gaps.cache(), ["l_quantity", "l_extendedprice", "l_discount"], F.col("l_linenumber") <= 4, rounds=1, trees=5)
+    made = FE.forest_impute(gaps.cache(), ["l_quantity", "l_extendedprice", "l_discount"], F.col("l_linenumber") <= 4, rounds=2, trees=10)
     return made.groupBy("l_linenumber").agg(F.count("l_quantity").alias("n"), F.round(F.avg("l_quantity"), 4).alias("l_quantity"), F.round(F.avg("l_extendedprice"), 2).alias("l_extendedprice"))
 
 
@@ -97,14 +97,14 @@ def ml07_cells(spark, sf_dir):
 
 @_query()
 def ml02_tuned(spark, sf_dir):
-    """ML-02, 03: labelled documents, quality from lengths."""
+    """ML-02, 03: labelled documents, quality from lengths; the whole grid, two draws, three folds."""
     docs = load(spark, sf_dir, "documents").select("doc_id", F.col("n_chars").cast("double").alias("n"), F.length(F.regexp_replace("text", "[a-z ]", "")).cast("double").alias("odd"))
     rows = S.random_folds(load(spark, sf_dir, "labels").join(docs, "doc_id").withColumn("y", F.col("quality")), "y", "doc_id", 3)
     ready = rows.select(F.col("fold"), F.col("y").cast("double").alias("label"), F.array(F.log1p("n"), F.log1p("odd"), F.col("odd") / (F.col("n") + 1)).alias("a")).selectExpr("fold", "label", "a")
     from pyspark.ml.functions import array_to_vector
 
     ready = ready.select("fold", "label", array_to_vector("a").alias("features")).cache()
-    one, two = ML.tune_lasso(ready, "fold", 3, (0.1, 10.0)), ML.tune_boosting(ready, "fold", 3, 2)
+    one, two = ML.tune_lasso(ready, "fold", 3), ML.tune_boosting(ready, "fold", 3, 2)
     return spark.createDataFrame([("lasso", float(max(one.avgMetrics))), ("boosted", float(max(two.avgMetrics)))], "model string, auroc double")
 
 

@@ -47,10 +47,14 @@ def write_table(df: DataFrame, path: str, by: list[str] | None = None) -> None:
     (writer.partitionBy(*by) if by else writer).parquet(path)
 
 
-def read_questions(spark: SparkSession, path: str, schema: T.StructType, defaults: dict, skip_full_corpus: bool = False, skip_fixture: bool = False, tag: str | None = None, ids: str = "expected_doc_ids") -> DataFrame:
+def read_questions(spark: SparkSession, path: str, schema: T.StructType, defaults: dict, skip_full_corpus: bool = False, skip_fixture: bool = False, tag: str | None = None, ids: str = "expected_doc_ids", limit: int | None = None) -> DataFrame:
     """JSON lines with defaults for absent fields. skip_fixture drops rows all of whose document ids
-    begin with fixture_; rows without ids stay."""
+    begin with fixture_; rows without ids stay. limit: the first rows that the filters leave, in the
+    order of the files."""
     out = spark.read.schema(schema).json(path)
+    if limit is not None:
+        kept = read_questions(spark, path, schema, defaults, skip_full_corpus, skip_fixture, tag, ids)
+        return kept.orderBy(F.monotonically_increasing_id()).limit(limit)
     out = out.where(reduce(lambda a, b: a | b, [F.col(c).isNotNull() for c in out.columns])).withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in defaults.items()})
     if skip_full_corpus:
         out = out.where("NOT coalesce(requires_full_corpus, false)")
@@ -81,13 +85,14 @@ def write_report(df: DataFrame, path: str) -> None:
     json_safe(df).write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 
-def audit_files(spark: SparkSession, paths: str | list[str], lock: DataFrame) -> DataFrame:
+def audit_files(spark: SparkSession, paths: str | list[str], lock: DataFrame, fetched: tuple[str, ...] = ()) -> DataFrame:
     """(name, sha256, pinned, action) of files against a lock table (name, pin); what follows a # in
-    a pin is a comment, and case doesn't matter."""
+    a pin is a comment, and case doesn't matter. fetched names files that were fetched again: where they
+    match their pin, they are redownloaded rather than reused."""
     found = spark.read.format("binaryFile").load(paths).select(F.regexp_extract("path", "([^/]+)$", 1).alias("name"), F.sha2("content", 256).alias("sha256"))
     pins = lock.select("name", F.lower(F.trim(F.regexp_replace("pin", "#.*$", ""))).alias("pinned"))
     out = found.join(pins, "name", "full_outer")
-    action = F.when(F.col("sha256").isNull(), "missing").when(F.col("pinned").isNull(), "downloaded").when(F.col("sha256") == F.col("pinned"), "reused").otherwise("mismatch")
+    action = F.when(F.col("sha256").isNull(), "missing").when(F.col("pinned").isNull(), "downloaded").when((F.col("sha256") == F.col("pinned")) & F.col("name").isin(*fetched), "redownloaded").when(F.col("sha256") == F.col("pinned"), "reused").otherwise("mismatch")
     return out.withColumn("action", action)
 
 

@@ -9,9 +9,6 @@ from meridian.plans.catalog import ORACLE_SQL, QUERIES
 
 from .conftest import SF
 
-SLOW = {"ml02_tuned", "ml07_cells", "sc03_cells", "gn07_shown_text", "sc01_question_scores", "gn01_prompts", "fe07_forest_impute"}
-
-
 def _plain(value):
     if value is None or (isinstance(value, float) and math.isnan(value)):
         return None
@@ -39,7 +36,7 @@ def test_equals_sql(spark, oracle, name):
     assert sorted(([_plain(r[n]) for n in names] for r in df.collect()), key=key) == right
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL)))
 def test_runs(spark, name):
-    assert QUERIES[name](spark, SF).columns
-    QUERIES[name](spark, SF).limit(1).count()
+    """test_brute.py holds their values against plain versions."""
+    assert QUERIES[name](spark, SF).limit(1).count() == 1
