@@ -124,14 +124,17 @@ def drift_report(reference: DataFrame, current: DataFrame, numeric: list[str], c
     """(keys, feature, kind, psi, severity, n_ref, n_cur, n_missing, ks, ks_p) for each feature; exact
     as for inner_edges."""
     keys = keys or []
-    was, now = melt(reference, numeric, keys), melt(current, numeric, keys)
-    stored = numeric_reference(was, keys, n_bins, exact)
-    counts = bin_counts(now, stored, keys)
-    on = [*keys, "feature"]
+    stored = numeric_reference(melt(reference, numeric, keys), keys, n_bins, exact)
+    return report_against(stored, level_counts(melt_levels(reference, categorical, keys), keys), current, numeric, categorical, keys)
+
+
+def report_against(stored: DataFrame, levels: DataFrame, current: DataFrame, numeric: list[str], categorical: list[str], keys: list[str]) -> DataFrame:
+    """drift_report from stored references (see numeric_reference and level_counts)."""
+    now, on = melt(current, numeric, keys), [*keys, "feature"]
     missing = now.groupBy(*on).agg(F.count_if(F.col("value").isNull()).alias("n_missing"))
     ks = ks_weighted(midpoints(stored, keys), now.withColumn("weight", F.lit(1)), keys).select(*on, "ks", "ks_p")
-    one = psi(reference_counts(stored, keys), counts, keys, "bin").join(missing, on).join(ks, on, "left").withColumn("kind", F.lit("numeric"))
-    levels, now_levels = level_counts(melt_levels(reference, categorical, keys), keys), melt_levels(current, categorical, keys)
+    one = psi(reference_counts(stored, keys), bin_counts(now, stored, keys), keys, "bin").join(missing, on).join(ks, on, "left").withColumn("kind", F.lit("numeric"))
+    now_levels = melt_levels(current, categorical, keys)
     gone = now_levels.groupBy(*on).agg(F.count_if(F.col("level").isNull()).alias("n_missing"))
     two = psi(levels, level_counts(now_levels, keys), keys, "level").join(gone, on)
     two = two.withColumns({"ks": F.lit(None).cast("double"), "ks_p": F.lit(None).cast("double"), "kind": F.lit("categorical")})
@@ -139,6 +142,27 @@ def drift_report(reference: DataFrame, current: DataFrame, numeric: list[str], c
     return both.select(*keys, "feature", "kind", "psi", "severity", "n_ref", "n_cur", "n_missing", "ks", "ks_p")
 
 
+def reference_bundle(rows: DataFrame, predictions: DataFrame, numeric: list[str], categorical: list[str], fold: str = "fold", model: str = "model", n_bins: int = 10) -> dict[str, DataFrame]:
+    """What is stored for all folds: bins of numbers, counts of levels, and bins and mean of each model's p."""
+    p = melt(predictions, ["p"], [fold, model])
+    mean = p.groupBy(fold, model, "feature").agg(F.avg("value").alias("mean"))
+    return {
+        "numeric": numeric_reference(melt(rows, numeric, [fold]), [fold], n_bins),
+        "categorical": level_counts(melt_levels(rows, categorical, [fold]), [fold]),
+        "prediction": numeric_reference(p, [fold, model], n_bins).join(mean, [fold, model, "feature"]),
+    }
+
+
+def fold_sweep(stored: dict[str, DataFrame], rows: DataFrame, predictions: DataFrame, numeric: list[str], categorical: list[str], fold: str = "fold", model: str = "model") -> tuple[DataFrame, DataFrame]:
+    """The drift of features by fold and of predictions by fold and model, against a reference_bundle."""
+    report = report_against(stored["numeric"], stored["categorical"], rows, numeric, categorical, [fold])
+    keys, now = [fold, model], melt(predictions, ["p"], [fold, model])
+    found = psi(reference_counts(stored["prediction"], keys), bin_counts(now, stored["prediction"], keys), keys, "bin").drop("feature")
+    was = stored["prediction"].select(*keys, F.col("mean").alias("mean_ref"))
+    means = now.groupBy(*keys).agg(F.avg("value").alias("mean_cur"))
+    return report, found.join(was, keys).join(means, keys).withColumn("severity", severity(F.col("psi")))
+
+
 def severity_counts(report: DataFrame, keys: list[str]) -> DataFrame:
     """One row per key with a count for each severity, zeros kept."""
     return report.groupBy(*keys).agg(*[F.count_if(F.col("severity") == s).alias(f"n_{s}") for s in ("stable", "moderate", "major")])

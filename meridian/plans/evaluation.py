@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..operators import drift as D
 from ..operators import metrics as M
-from .tables import load
+from ..sources.files import load_reference, save_reference
+from .tables import load, scratch
 
 CUT = "1995-06-17"
 NUMERIC = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "absent"]
@@ -174,6 +175,30 @@ def dr17_drift_tally(spark, sf_dir):
     return _r(D.drift_tally(report, D.prediction_drift(p.where("stratum = 0"), p.where("stratum > 0"), ["model", "fold"])), "mean_psi", "max_psi")
 
 
+@_query(f"""WITH {PREDS}, base AS (SELECT l_linestatus AS fold, l_suppkey % 3 = 0 AS was, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag FROM lineitem),
+lng AS (SELECT fold, 'all' AS model, was, unnest(['l_quantity', 'l_extendedprice', 'l_discount', 'l_tax']) AS feature, unnest([l_quantity, l_extendedprice, l_discount, l_tax]) AS value FROM base
+UNION ALL SELECT fold, 'm1', stratum = 0, 'p', p FROM preds UNION ALL SELECT fold, 'm2', stratum = 0, 'p', floor(p * p * 100) / 100 FROM preds),
+ed AS (SELECT fold, model, feature, list_sort(list_distinct(quantile_cont(value, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]))) AS edges FROM lng WHERE was GROUP BY ALL),
+ce AS (SELECT fold, model, feature, unnest(range(0, len(edges) + 1)) AS bin FROM ed), pl AS (SELECT fold, model, feature, was, len(list_filter(edges, lambda e: e <= value)) AS bin FROM lng JOIN ed USING (fold, model, feature)),
+bi AS (SELECT fold, model, feature, bin::VARCHAR AS bin, count(*) FILTER (was) AS r, count(*) FILTER (NOT was) AS c FROM ce LEFT JOIN pl USING (fold, model, feature, bin) GROUP BY ALL
+UNION ALL SELECT fold, 'all', 'l_returnflag', l_returnflag, count(*) FILTER (was), count(*) FILTER (NOT was) FROM base GROUP BY ALL),
+sh AS (SELECT *, CASE WHEN r = 0 THEN 1e-6 ELSE r / sum(r) OVER w END AS rp, CASE WHEN c = 0 THEN 1e-6 ELSE c / sum(c) OVER w END AS cp FROM bi WINDOW w AS (PARTITION BY fold, model, feature)),
+ps AS (SELECT fold, model, feature, sum((cp - rp) * ln(cp / rp)) AS psi FROM sh GROUP BY ALL), me AS (SELECT fold, model, avg(value) FILTER (was) AS a, avg(value) FILTER (NOT was) AS b FROM lng WHERE feature = 'p' GROUP BY ALL)
+SELECT ps.fold, ps.model, feature, round(psi, 9) AS psi, {SEVERITY} AS severity, round(a, 9) AS mean_ref, round(b, 9) AS mean_cur FROM ps LEFT JOIN me ON me.fold = ps.fold AND me.model = ps.model""")
+def dr18_sweep(spark, sf_dir):
+    """DR-06, 18, SRC-12: references of all folds stored and loaded, then features by fold and predictions by fold and model."""
+    p = predictions(spark, sf_dir)
+    both = p.withColumn("model", F.lit("m1")).unionByName(p.withColumn("p", F.floor(F.col("p") * F.col("p") * 100) / 100).withColumn("model", F.lit("m2")))
+    rows = load(spark, sf_dir, "lineitem").withColumns({"fold": F.col("l_linestatus"), "stratum": F.col("l_suppkey") % 3})
+    path, numbers, levels = scratch(spark, "bundle"), NUMERIC[:4], ["l_returnflag"]
+    save_reference(D.reference_bundle(rows.where("stratum = 0"), both.where("stratum = 0"), numbers, levels), path)
+    stored = load_reference(spark, path, {"numeric": ["edges", "counts"], "categorical": ["level", "cnt"], "prediction": ["edges", "mean"]})
+    report, drifted = D.fold_sweep(stored, rows.where("stratum > 0"), both.where("stratum > 0"), numbers, levels)
+    none = F.lit(None).cast("double")
+    found = report.select("fold", F.lit("all").alias("model"), "feature", "psi", "severity", none.alias("mean_ref"), none.alias("mean_cur"))
+    return _r(found.unionByName(drifted.select("fold", "model", F.lit("p").alias("feature"), "psi", "severity", "mean_ref", "mean_cur")), "psi", "mean_ref", "mean_cur")
+
+
 SCORES = f"""
 WITH {PREDS}, sc AS (SELECT fold, p, sum(y) AS pos, sum(1 - y) AS neg FROM preds GROUP BY ALL
 ), cv AS (

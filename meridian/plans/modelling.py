@@ -3,7 +3,9 @@ flag as target and the line status as domain."""
 
 from __future__ import annotations
 
-from pyspark.ml.classification import GBTClassifier
+from functools import reduce
+
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegressionModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +15,7 @@ from ..operators import metrics as M
 from ..operators import models as ML
 from ..operators import splits as S
 from .evaluation import PREDS, predictions
-from .tables import load
+from .tables import load, scratch
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -150,7 +152,7 @@ def ex10_waterfall(spark, sf_dir):
 
 @_query()
 def ex03_shapley(spark, sf_dir):
-    """EX-03, 11: explained rows are a stratified sample (SPL-05), as in the operator it belongs to."""
+    """EX-03: explained rows are a stratified sample (SPL-05), as in the operator it belongs to."""
     rows = _rows(spark, sf_dir).where("fold = 'F' AND split = 'train'")
     sample = S.capped_sample(rows, "y", "row_id", 40, rows.orderBy("row_id").limit(2).select("row_id"))
     explained = sample.select("row_id", F.array(*NUMBERS).alias("features"))
@@ -162,3 +164,28 @@ def ex03_shapley(spark, sf_dir):
         return points.withColumn("p", 1 / (1 + F.exp(-(x[0] * 0.02 - x[1] * 3 + x[2] * 2))))
 
     return X.importance(X.shapley(explained, score, centers, NUMBERS).withColumn("cell", F.lit(1)), ["cell"]).drop("cell")
+
+
+@_query()
+def ex11_cells(spark, sf_dir):
+    """EX-11: for each fold its fitted models (stored, then loaded) explain up to 80 of its test rows, all archetypes
+    among them, against 50 means of its training rows."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    rows, path, out = _rows(spark, sf_dir), scratch(spark, "models"), []
+    kinds = {"lasso": (ML.lasso(1.0, 10_000, maxIter=10), LogisticRegressionModel), "boosted": (GBTClassifier(maxIter=2, maxDepth=3, seed=5), GBTClassificationModel)}
+    for fold in ("F", "O"):
+        own = rows.where(F.col("fold") == fold)
+        columns = _recipe(own.where("split = 'train'"))
+        ready = own.select("row_id", "split", "y", F.array(*columns.values()).alias("features"))
+        train = ready.where("split = 'train'")
+        centers = X.background(train, 50)
+        for name, (estimator, loader) in kinds.items():
+            estimator.fit(train.select(F.col("y").cast("double").alias("label"), array_to_vector("features").alias("features"))).write().save(f"{path}/{fold}-{name}")
+            model = loader.load(f"{path}/{fold}-{name}")
+            score = lambda points, m=model: ML.scored(m, points)
+            test = ready.where("split = 'test'").withColumn("features", array_to_vector("features"))
+            forced = X.archetypes(ML.scored(model, test), []).select("row_id").distinct()
+            sample = S.capped_sample(test.withColumn("features", vector_to_array("features")), "y", "row_id", 80, forced)
+            out.append(X.shapley(sample.select("row_id", "features"), score, centers, list(columns)).withColumns({"fold": F.lit(fold), "model": F.lit(name)}))
+    return X.importance(reduce(DataFrame.unionByName, out), ["fold", "model"])
