@@ -29,6 +29,9 @@ BANDS, ROWS = 42, 6
 #: Buckets of at most SMALL members list their pairs; larger ones are cut into blocks of about BLOCK
 #: members or BLOCK_BYTES of text, whichever is less.
 SMALL, BLOCK, BLOCK_BYTES = 8, 256, 4_000_000
+#: Signatures are made of about so many bytes of texts at once: short texts stay to the last of the 252 steps,
+#: and each step keeps four bytes a shingle, so this bounds a Python worker's memory (about 150 MB).
+SKETCH_BYTES = 1_000_000
 _GOLDEN = 0x9E3779B97F4A7C15
 _BAND = np.random.default_rng(11).integers(1, 2**63, ROWS, dtype=np.uint64) | np.uint64(1)
 
@@ -66,7 +69,7 @@ def sketch(docs: DataFrame, width: int) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in parts(batch, "text"):
+            for part in parts(batch, "text", SKETCH_BYTES):
                 sets, at = shingle_sets(part.column("text"), width)
                 sig = superminhash(sets, at, BANDS * ROWS).reshape(-1, BANDS, ROWS)
                 bands = mix((sig * _BAND).sum(axis=2) + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
