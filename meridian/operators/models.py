@@ -23,9 +23,9 @@ def lasso(c: float, n: int, **more) -> LogisticRegression:
     return LogisticRegression(elasticNetParam=1.0, regParam=1.0 / (c * max(n, 1)), standardization=False, **more)
 
 
-def tune_lasso(train: DataFrame, fold: str, folds: int, grid: tuple[float, ...] = GRID, parallelism: int = 4):
+def tune_lasso(train: DataFrame, fold: str, folds: int, grid: tuple[float, ...] = GRID, parallelism: int = 4, **more):
     """The best of the grid by AUROC over the given folds, fitted again on all rows (features, label)."""
-    n, base = train.count(), LogisticRegression(elasticNetParam=1.0, standardization=False)
+    n, base = train.count(), LogisticRegression(elasticNetParam=1.0, standardization=False, **more)
     params = ParamGridBuilder().addGrid(base.regParam, [1.0 / (c * max(n, 1)) for c in grid]).build()
     return CrossValidator(estimator=base, estimatorParamMaps=params, evaluator=BinaryClassificationEvaluator(), numFolds=folds, foldCol=fold, parallelism=parallelism).fit(train)
 

@@ -75,13 +75,28 @@ def tx05_sentence_chunks(spark, sf_dir):
     return T.sentence_chunks(documents(spark, sf_dir), 64).drop("text")
 
 
-@_query()
+LEVELS = range(1, 7)
+ABOVE = {k: f"greatest(-1, {', '.join([f'coalesce(h{j}.pos, -1)' for j in range(1, k)] or ['-1'])})" for k in LEVELS}
+#: Lines with their heading level, then sections with the path of headings above them.
+SECTIONS = r"""WITH l AS (SELECT doc_id, unnest(range(0, len(s))) AS pos, unnest(s) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents)),
+b AS (SELECT *, trim(line) AS body, length(regexp_replace(trim(line), '\P{L}', '', 'g')) AS letters, length(regexp_replace(trim(line), '\P{Lu}', '', 'g')) AS upper FROM l),
+v AS (SELECT *, CASE WHEN regexp_matches(body, '^#{1,6}\s+\S') THEN length(regexp_extract(body, '^(#{1,6})', 1)) WHEN length(body) BETWEEN 1 AND 80 AND NOT regexp_matches(body, '[.!?:;,]$')
+AND (regexp_matches(body, '^(?:\d+(?:\.\d+){0,4}\.?|[A-Z]\.(?:\d+\.?)?)\s+\S') OR (letters > 0 AND upper >= 0.7 * letters)) THEN 1 END AS level, regexp_replace(body, '^#{1,6}\s+|\s+$', '', 'g') AS title FROM b),
+""" + f"""g AS (SELECT doc_id, pos, line, count(level) OVER w AS section_no, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start,
+{', '.join(f"last_value(CASE WHEN level = {k} THEN {{'pos': pos, 'title': title}} END IGNORE NULLS) OVER w AS h{k}" for k in LEVELS)} FROM v WINDOW w AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+p AS (SELECT doc_id, pos, line, section_no, start, list_filter([{', '.join(f"CASE WHEN h{k}.pos > {ABOVE[k]} THEN h{k}.title END" for k in LEVELS)}], lambda x: x IS NOT NULL) AS path FROM g),
+sec AS (SELECT doc_id, section_no, arg_min(path, pos) AS path, min(start)::BIGINT AS char_start, string_agg(line, chr(10) ORDER BY pos) AS text FROM p GROUP BY ALL)"""
+
+
+@_query(SECTIONS + " SELECT doc_id, section_no, array_to_string(path, ' > ') AS path, char_start, length(text)::INT AS n_chars FROM sec")
 def tx07_sections(spark, sf_dir):
     """TX-06, 07."""
     return T.sections(documents(spark, sf_dir)).select("doc_id", "section_no", F.array_join("path", " > ").alias("path"), "char_start", F.length("text").alias("n_chars"))
 
 
-@_query()
+@_query(SECTIONS + r""", n AS (SELECT *, regexp_extract_all(text, '\S+\s*|\s+') AS q FROM sec WHERE length(trim(text)) > 0), c AS (SELECT *, unnest(range(0, 1 + greatest(0, ceil((len(q) - 512) / 448.0)::INT))) AS c FROM n),
+x AS (SELECT *, (char_start + length(array_to_string(q[1:c * 448], '')))::BIGINT AS first FROM c)
+SELECT doc_id, section_no, c::INT AS chunk_no, first AS char_start, (first + length(array_to_string(q[c * 448 + 1:c * 448 + 512], '')))::BIGINT AS char_end, least(512, len(q) - c * 448)::INT AS n_tokens, 'hybrid' AS strategy FROM x""")
 def tx08_hybrid_chunks(spark, sf_dir):
     return T.hybrid_chunks(documents(spark, sf_dir)).drop("text")
 

@@ -106,7 +106,7 @@ def ml02_tuned(spark, sf_dir):
     from pyspark.ml.functions import array_to_vector
 
     ready = ready.select("fold", "label", array_to_vector("a").alias("features")).cache()
-    one, two = ML.tune_lasso(ready, "fold", 3), ML.tune_boosting(ready, "fold", 3, 2)
+    one, two = ML.tune_lasso(ready, "fold", 3, maxIter=25), ML.tune_boosting(ready, "fold", 3, 2)
     return spark.createDataFrame([("lasso", float(max(one.avgMetrics))), ("boosted", float(max(two.avgMetrics)))], "model string, auroc double")
 
 

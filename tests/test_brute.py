@@ -216,7 +216,7 @@ def test_models_tell_the_classes_apart(spark):
     rows = [(i, i % 3, int(i % 2), float(i % 2 + draw.normal(0, 0.6)), float(draw.normal())) for i in range(300)]
     df = spark.createDataFrame(rows, "row_id long, fold int, y int, a double, b double")
     ready = df.select("fold", F.col("y").cast("double").alias("label"), array_to_vector(F.array("a", "b")).alias("features")).cache()
-    tuned = ML.tune_lasso(ready, "fold", 3, (0.1, 10.0))
+    tuned = ML.tune_lasso(ready, "fold", 3, (0.1, 10.0), maxIter=20)
     assert max(tuned.avgMetrics) > 0.8 and tuned.bestModel.coefficients[0] > abs(tuned.bestModel.coefficients[1])
     assert max(ML.tune_boosting(ready, "fold", 3, 1).avgMetrics) > 0.75
     ready.unpersist()
