@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -76,6 +77,16 @@ def shingle_sets(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     return s[new], np.concatenate([[0], np.cumsum(np.bincount(doc[new], minlength=len(n)))]).astype(np.int64)
 
 
+def blocks(table: pa.RecordBatch, column: str, most_bytes: int):
+    """Slices of a batch whose texts have about most_bytes together (one row at least), by Arrow's own lengths."""
+    ends = np.cumsum(pc.binary_length(table.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    begin = 0
+    while begin < len(table):
+        stop = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + most_bytes)))
+        yield table.slice(begin, stop - begin)
+        begin = stop
+
+
 def parts(table: pa.RecordBatch, column: str, most_bytes: int = 4_000_000):
     """Slices of a batch whose texts have about most_bytes together (one row at least)."""
     sizes = np.cumsum(table.column(column).cast(pa.large_string()).fill_null("").to_pandas().str.len().to_numpy()) if len(table) else []
