@@ -22,13 +22,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import load, remove_scratch, scratch_tables, written
-from .shingles import _bytes_of, mix, parts
+from .shingles import _bytes_of, blocks, mix
 
 LONGEST, LEAST, TOP = 4, 30, 2000
 #: A longer candidate with so many hundredths of a candidate's occurrences takes its place.
 SWALLOWED_PERCENT = 80
-#: Letters of the texts that a task holds at a time, and entries of a range of fingerprints.
-BLOCK_LETTERS, RANGE_ENTRIES = 6_000_000, 1 << 20
+#: Bytes of the texts that a task holds at a time, and entries of a range of fingerprints.
+BLOCK_BYTES, RANGE_ENTRIES = 2_500_000, 1 << 20
 CUTS = r"[\x20\x09.,;:!?\x0A-\x0D]+"
 _GAP, _END, _LOWER = np.zeros(256, bool), np.zeros(256, bool), np.arange(256, dtype=np.uint8)
 _GAP[[9, 32]] = True
@@ -71,7 +71,7 @@ def block_entries(texts: pa.Array, salts: np.ndarray, bits: int) -> tuple[np.nda
     piece = np.cumsum(end)[first] + text
     letters = np.append(np.cumsum(dark)[first] - 1, dark.sum())  # words lie end to end once gaps are out
     words = pa.Array.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(letters.astype(np.int64)), pa.py_buffer(raw[dark])]).dictionary_encode()
-    hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in words.dictionary.to_pylist()], np.uint64)
+    hashes = np.array([xxhash.xxh3_64_intdigest(w.as_py()) for w in words.dictionary], np.uint64)
     word = np.concatenate([words.indices.to_numpy(), np.full(LONGEST, -1, np.int32)])
 
     m = len(first)
@@ -85,10 +85,12 @@ def block_entries(texts: pa.Array, salts: np.ndarray, bits: int) -> tuple[np.nda
         at.append(run.astype(np.int32))
         size.append(np.full(len(run), n, np.uint8))
     mark, at, size = np.concatenate(marks), np.concatenate(at), np.concatenate(size)
+    del marks, prefix, power, back
     order = np.argsort(mark)
     mark, at, size = mark[order], at[order], size[order]
+    salt = np.unique(salts, return_inverse=True)[1].astype(np.int32)[text[at]]
     new = np.ones(len(mark), bool)
-    new[1:] = (mark[1:] != mark[:-1]) | (size[1:] != size[:-1]) | (salts[text[at[1:]]] != salts[text[at[:-1]]])
+    new[1:] = (mark[1:] != mark[:-1]) | (size[1:] != size[:-1]) | (salt[1:] != salt[:-1])
     for k in range(LONGEST):
         new[1:] |= (word[at[1:] + k] != word[at[:-1] + k]) & (size[1:] > k)
     starts = np.flatnonzero(new)
@@ -103,7 +105,7 @@ def _fingerprints(bits: int, range_bits: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bounds = [k << (bits - range_bits) for k in range(1, 1 << range_bits)]
         for batch in batches:
-            for block in parts(batch, "text", BLOCK_LETTERS):
+            for block in blocks(batch, "text", BLOCK_BYTES):
                 salt = {lang: xxhash.xxh3_64_intdigest(lang) for lang in block.column("lang").unique().to_pylist()}
                 salts = np.array([salt[lang] for lang in block.column("lang").to_pylist()], np.uint64)
                 mark, text, count, start, size = block_entries(block.column("text"), salts, bits)
@@ -166,7 +168,7 @@ def phrase_counts(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataF
     totals = written(base.groupBy("lang").agg(F.sum("words").alias("n")), "words")
     total = totals.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     range_bits = max(0, math.ceil(math.log2((LONGEST * total + 1) / RANGE_ENTRIES)))
-    bits = min(64, max(range_bits, math.ceil(math.log2(LONGEST * total + 1)) + 8))  # chance agreements cost a look at the text
+    bits = min(64, max(range_bits, math.ceil(math.log2(LONGEST * total + 1)) + 2))  # chance agreements with a frequent run cost a look at the text
     packed = base.select("row", "lang", "text").mapInArrow(_fingerprints(bits, range_bits), "range long, n int, body binary")
     pointers = packed.groupBy("range").applyInArrow(_frequent(least), "row long, start long, size int, count long")
     asked = pointers.groupBy("row").agg(F.collect_list(F.struct("start", "size", "count")).alias("asked"))  # no more than runs in the text

@@ -66,7 +66,7 @@ def test_equals_brute_force(spark):
 def test_runs_that_share_a_fingerprint_part_again(spark, monkeypatch):
     monkeypatch.setattr(C, "mix", lambda x: (x % np.uint64(37)) << np.uint64(50))  # 37 fingerprints for all
     monkeypatch.setattr(C, "RANGE_ENTRIES", 1 << 11)  # several ranges
-    monkeypatch.setattr(C, "BLOCK_LETTERS", 500)
+    monkeypatch.setattr(C, "BLOCK_BYTES", 500)
     rows = _rows(2, 100)
     texts = pa.array([t or "" for _, t in rows])
     mark, text, count, start, size = C.block_entries(texts, np.arange(len(rows), dtype=np.uint64), 20)
