@@ -1,23 +1,25 @@
 """Phrase collocations by Rabin-Karp fingerprints.
 
 Prefix polynomials give the fingerprint of every run of one to four words of a block of texts in a few array
-steps. A block's equal runs are counted (and told apart by their words where fingerprints agree by chance), so
-that what is shuffled, in packed blocks by ranges of the fingerprint, is one entry for each different run: its
-fingerprint, count and a pointer to one occurrence. Where a fingerprint's counts reach the least frequency, all its
-pointers go back to their texts, the words are cut out there, and counts are added by the words themselves: runs
-that share a fingerprint part again, and no other phrase is ever made a string. The rest is joins.
+steps. A block's equal runs are counted (and told apart by their words where fingerprints agree by chance), and one
+entry for each different run, its fingerprint and count, is shuffled in packed parts by ranges of the fingerprint; its
+place among the block's entries, which are made the same each time, is the pointer to an occurrence. Where a
+fingerprint's counts reach the least frequency, the places go back to their blocks as bits, the words are taken from the
+texts there, and counts are added by the words themselves: runs that share a fingerprint part again, and no other phrase
+is ever made a string. The rest is joins.
 """
 
 from __future__ import annotations
 
 import math
-import re
-from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -35,8 +37,8 @@ _GAP[[9, 32]] = True
 _END[[*b".,;:!?", 10, 11, 12, 13]] = True
 _LOWER[65:91] += 32
 BASE = 0x9E3779B97F4A7C15
-#: What an entry holds, as whole numbers of these sizes: fingerprint (as the step from the one before), row, count, byte where it starts, words.
-FIELDS = ("<u8", "<u8", "<u4", "<u4", "u1")
+#: What is sent of an entry, as whole numbers of these sizes: fingerprint (as the step from the one before) and count.
+FIELDS = ("<u8", "<u4")
 
 
 def _pack(columns: list[np.ndarray]) -> bytes:
@@ -52,10 +54,38 @@ def _unpack(body: bytes, n: int) -> list[np.ndarray]:
     return [np.ascontiguousarray(raw[i:j].reshape(w, n).T).view(kind).ravel() for i, j, w, kind in zip(at[:-1], at[1:], widths, FIELDS, strict=True)]
 
 
-def block_entries(texts: pa.Array, salts: np.ndarray, bits: int) -> tuple[np.ndarray, ...]:
-    """Of each different run of 1 to LONGEST words of a piece, with its text's salt: fingerprint, text,
-    count, byte where one occurrence starts and number of words; by fingerprint. Equal ones are equal in words and salt;
-    a run may have two entries, where another run of its fingerprint comes between."""
+@dataclass
+class Entries:
+    """The different runs of words of some texts, by fingerprint: an occurrence of each begins at word `at`. Those of one
+    entry are equal in words and language; a run may have two entries, where another run of its fingerprint comes between."""
+
+    mark: np.ndarray
+    count: np.ndarray
+    size: np.ndarray
+    at: np.ndarray
+    word: np.ndarray  # of each occurrence, its place in words
+    words: pa.Array
+    lang: np.ndarray  # of each occurrence, the place of its text's language in langs
+    langs: pa.Array
+
+    def bounds(self, bits: int, range_bits: int) -> np.ndarray:
+        """Where the entries of each range of fingerprints begin, and their number."""
+        starts = np.arange(1, 1 << range_bits, dtype=np.uint64) << np.uint64(bits - range_bits)
+        return np.concatenate([[0], np.searchsorted(self.mark, starts), [len(self.mark)]])
+
+    def phrases(self, wanted: np.ndarray) -> pa.Table:
+        """(lang, phrase, size, count) of the wanted entries."""
+        out = []
+        for n in range(1, LONGEST + 1):
+            k = wanted[self.size[wanted] == n]
+            parts = [self.words.take(pa.array(self.word[self.at[k] + j])).cast(pa.large_string()) for j in range(n)]
+            phrase = pc.binary_join_element_wise(*parts, pa.scalar(" ", pa.large_string())).cast(pa.string())
+            out.append(pa.table({"lang": self.langs.take(pa.array(self.lang[self.at[k]])), "phrase": phrase, "size": pa.array(np.full(len(k), n, np.int32)), "count": pa.array(self.count[k].astype(np.int64))}))
+        return pa.concat_tables(out)
+
+
+def entries_of(texts: pa.Array, langs: pa.Array, bits: int) -> Entries:
+    """The entries of runs of 1 to LONGEST words within pieces of texts, made the same each time."""
     raw, offsets = _bytes_of(texts)
     raw = _LOWER[raw]
     end = _END[raw]
@@ -65,94 +95,107 @@ def block_entries(texts: pa.Array, salts: np.ndarray, bits: int) -> tuple[np.nda
     heads = offsets[:-1][offsets[:-1] < len(raw)]
     begin[heads] = dark[heads]
     first = np.flatnonzero(begin)
-    if not len(first):
-        return tuple(np.zeros(0, np.int64) for _ in range(5))
     text = np.searchsorted(offsets, first, "right") - 1
     piece = np.cumsum(end)[first] + text
     letters = np.append(np.cumsum(dark)[first] - 1, dark.sum())  # words lie end to end once gaps are out
     words = pa.Array.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(letters.astype(np.int64)), pa.py_buffer(raw[dark])]).dictionary_encode()
     hashes = np.array([xxhash.xxh3_64_intdigest(w.as_py()) for w in words.dictionary], np.uint64)
     word = np.concatenate([words.indices.to_numpy(), np.full(LONGEST, -1, np.int32)])
+    named = langs.dictionary_encode()
+    lang = named.indices.to_numpy()[text]
+    salts = np.array([xxhash.xxh3_64_intdigest(x.as_py()) for x in named.dictionary], np.uint64)
 
     m = len(first)
     power = np.cumprod(np.append(np.uint64(1), np.full(m, BASE, np.uint64)))
     back = np.cumprod(np.append(np.uint64(1), np.full(m, pow(BASE, -1, 1 << 64), np.uint64)))
     prefix = np.append(np.uint64(0), np.cumsum(hashes[word[:m]] * power[:m]))
-    marks, at, size = [], [], []
+    marks, at, size = [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)], [np.zeros(0, np.uint8)]
     for n in range(1, min(LONGEST, m) + 1):
         run = np.flatnonzero(piece[: m - n + 1] == piece[n - 1 :])
-        marks.append(mix((prefix[run + n] - prefix[run]) * back[run] + salts[text[run]] + np.uint64(n)) >> np.uint64(64 - bits))
+        marks.append(mix((prefix[run + n] - prefix[run]) * back[run] + salts[lang[run]] + np.uint64(n)) >> np.uint64(64 - bits))
         at.append(run.astype(np.int32))
         size.append(np.full(len(run), n, np.uint8))
     mark, at, size = np.concatenate(marks), np.concatenate(at), np.concatenate(size)
     del marks, prefix, power, back
-    order = np.argsort(mark)
+    order = np.argsort(mark, kind="stable")
     mark, at, size = mark[order], at[order], size[order]
-    salt = np.unique(salts, return_inverse=True)[1].astype(np.int32)[text[at]]
     new = np.ones(len(mark), bool)
-    new[1:] = (mark[1:] != mark[:-1]) | (size[1:] != size[:-1]) | (salt[1:] != salt[:-1])
+    new[1:] = (mark[1:] != mark[:-1]) | (size[1:] != size[:-1]) | (lang[at[1:]] != lang[at[:-1]])
     for k in range(LONGEST):
         new[1:] |= (word[at[1:] + k] != word[at[:-1] + k]) & (size[1:] > k)
     starts = np.flatnonzero(new)
-    count = np.diff(np.append(starts, len(mark)))
-    at = at[starts]
-    return mark[starts], text[at], count, first[at] - offsets[text[at]], size[starts]
+    return Entries(mark[starts], np.diff(np.append(starts, len(mark))), size[starts], at[starts], word, words.dictionary, lang, named.dictionary)
+
+
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with a number, and that of the first row of their block."""
+    row = TaskContext.get().partitionId() << 40
+    for batch in batches:
+        for block in blocks(batch, "text", BLOCK_BYTES):
+            n = len(block)
+            yield pa.record_batch([pa.array(np.arange(row, row + n)), pa.array(np.full(n, row)), block.column("lang"), block.column("text")], names=["row", "block", "lang", "text"])
+            row += n
 
 
 def _fingerprints(bits: int, range_bits: int):
-    """Packed entries of each block and range of fingerprints."""
+    """Packed entries of each run of rows of a block (one, unless a block is read in parts) and range of fingerprints."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bounds = [k << (bits - range_bits) for k in range(1, 1 << range_bits)]
         for batch in batches:
-            for block in blocks(batch, "text", BLOCK_BYTES):
-                salt = {lang: xxhash.xxh3_64_intdigest(lang) for lang in block.column("lang").unique().to_pylist()}
-                salts = np.array([salt[lang] for lang in block.column("lang").to_pylist()], np.uint64)
-                mark, text, count, start, size = block_entries(block.column("text"), salts, bits)
-                row = block.column("row").to_numpy(zero_copy_only=False)[text]
-                cut = np.concatenate([[0], np.searchsorted(mark, np.array(bounds, np.uint64)), [len(mark)]])
-                step = np.append(mark[:1], np.diff(mark))
-                found: tuple[list, list, list] = ([], [], [])
-                for k in np.flatnonzero(np.diff(cut)).tolist():
-                    i, j = cut[k], cut[k + 1]
-                    step[i] = mark[i]
-                    for column, value in zip(found, (k, j - i, _pack([step[i:j], row[i:j], count[i:j], start[i:j], size[i:j]])), strict=True):
-                        column.append(value)
-                yield pa.record_batch([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int32()), pa.array(found[2], pa.binary())], names=["range", "n", "body"])
+            block, row = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("block", "row"))
+            cuts = np.concatenate([[0], np.flatnonzero(block[1:] != block[:-1]) + 1, [len(block)]]) if len(block) else np.zeros(1, np.int64)
+            for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                found = entries_of(batch.column("text").slice(i, j - i), batch.column("lang").slice(i, j - i), bits)
+                at, step = found.bounds(bits, range_bits), np.append(found.mark[:1], np.diff(found.mark))
+                held = np.flatnonzero(np.diff(at))
+                step[at[held]] = found.mark[at[held]]
+                bodies = [_pack([step[at[k] : at[k + 1]], found.count[at[k] : at[k + 1]]]) for k in held]
+                columns = [pa.array(held), pa.array(np.full(len(held), block[i])), pa.array(np.full(len(held), row[i])), pa.array(np.diff(at)[held].astype(np.int32)), pa.array(bodies, pa.binary())]
+                yield pa.record_batch(columns, names=["range", "block", "run", "n", "body"])
 
     return rows
 
 
 def _frequent(least: int):
-    """Pointers (row, start, size, count) of all entries whose fingerprint has least occurrences or more."""
+    """For each part of a range, bits of the entries whose fingerprint has least occurrences or more in all."""
 
     def rows(table: pa.Table) -> pa.Table:
-        blocks = [_unpack(body, n) for n, body in zip(table.column("n").to_pylist(), table.column("body").to_pylist(), strict=True)]
-        mark = np.concatenate([np.cumsum(b[0], dtype=np.uint64) for b in blocks])
-        row, count, start, size = (np.concatenate([b[k] for b in blocks]) for k in range(1, 5))
+        sizes = table.column("n").to_pylist()
+        parts = [_unpack(body, n) for n, body in zip(sizes, table.column("body").to_pylist(), strict=True)]
+        mark = np.concatenate([np.cumsum(p[0], dtype=np.uint64) for p in parts])
+        count = np.concatenate([p[1] for p in parts]).astype(np.int64)
         order = np.argsort(mark)
-        mark = mark[order]
-        heads = np.flatnonzero(np.append(True, mark[1:] != mark[:-1]))
-        total = np.add.reduceat(count[order].astype(np.int64), heads)
-        keep = order[np.repeat(total >= least, np.diff(np.append(heads, len(mark))))]
-        return pa.table({"row": row[keep].astype(np.int64), "start": start[keep].astype(np.int64), "size": size[keep].astype(np.int32), "count": count[keep].astype(np.int64)})
+        heads = np.flatnonzero(np.append(True, np.diff(mark[order]) != 0))
+        total = np.add.reduceat(count[order], heads)
+        wanted = np.zeros(len(mark), bool)
+        wanted[order] = np.repeat(total >= least, np.diff(np.append(heads, len(mark))))
+        at = np.cumsum([0, *sizes])
+        bits = [np.packbits(wanted[i:j]).tobytes() for i, j in zip(at[:-1], at[1:], strict=True)]
+        return table.select(["range", "block", "run", "n"]).append_column("bits", pa.array(bits, pa.binary()))
 
     return rows
 
 
-_RUNS = [re.compile(rb"[^ \t.,;:!?\n-\r]+" + rb"[ \t]+[^ \t.,;:!?\n-\r]+" * k) for k in range(LONGEST)]
+def _words_of(bits: int):
+    """The words of a block's frequent entries, with their counts."""
+
+    def rows(texts: pa.Table, flags: pa.Table) -> pa.Table:
+        texts, flags = texts.sort_by("row").combine_chunks(), flags.sort_by([("run", "ascending"), ("range", "ascending")])
+        row, run = texts.column("row").to_numpy(), flags.column("run").to_numpy()
+        starts = np.unique(run)
+        ends = np.append(np.searchsorted(row, starts[1:]), len(row))
+        out = []
+        for start, i, j in zip(starts, np.searchsorted(row, starts).tolist(), ends.tolist(), strict=True):
+            found = entries_of(texts.column("text").slice(i, j - i).combine_chunks(), texts.column("lang").slice(i, j - i).combine_chunks(), bits)
+            own = flags.slice(int(np.searchsorted(run, start)), int((run == start).sum()))
+            sizes = own.column("n").to_pylist()
+            if sum(sizes) != len(found.mark):
+                raise ValueError("a block's entries changed between two readings")
+            wanted = np.concatenate([np.unpackbits(np.frombuffer(b, np.uint8), count=n) for b, n in zip(own.column("bits").to_pylist(), sizes, strict=True)])
+            out.append(found.phrases(np.flatnonzero(wanted)))
+        return pa.concat_tables(out) if out else pa.table({"lang": pa.array([], pa.string()), "phrase": pa.array([], pa.string()), "size": pa.array([], pa.int32()), "count": pa.array([], pa.int64())})
 
-
-def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The words that pointers point to, with their counts."""
-    for batch in batches:
-        held: Counter = Counter()
-        for lang, text, asked in zip(batch.column("lang").to_pylist(), batch.column("text"), batch.column("asked").to_pylist(), strict=True):
-            raw = text.as_py().encode()
-            for a in asked:
-                held[lang, b" ".join(_RUNS[a["size"] - 1].match(raw, a["start"])[0].split()).lower(), a["size"]] += a["count"]
-        columns = list(zip(*held, strict=True)) if held else [[], [], []]
-        yield pa.record_batch([pa.array(columns[0], pa.string()), pa.array([p.decode() for p in columns[1]], pa.string()), pa.array(columns[2], pa.int32()), pa.array(list(held.values()), pa.int64())], names=["lang", "phrase", "size", "count"])
+    return rows
 
 
 def phrase_counts(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
@@ -162,17 +205,16 @@ def phrase_counts(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataF
     """
     text = F.col("text").cast("string")
     base = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), text.alias("text")).where("text <> ''")
-    base = base.select(F.monotonically_increasing_id().alias("row"), "lang", F.size(F.array_remove(F.split("text", CUTS), "")).cast("long").alias("words"), "text")
-    base = written(base, "texts")  # numbers rows once and for all
+    base = written(base.mapInArrow(_numbered, "row long, block long, lang string, text string"), "texts")  # rows are numbered once and for all
     rows_at = scratch_tables()[-1]
-    totals = written(base.groupBy("lang").agg(F.sum("words").alias("n")), "words")
+    totals = written(base.groupBy("lang").agg(F.sum(F.size(F.array_remove(F.split("text", CUTS), ""))).alias("n")), "words")
     total = totals.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     range_bits = max(0, math.ceil(math.log2((LONGEST * total + 1) / RANGE_ENTRIES)))
     bits = min(64, max(range_bits, math.ceil(math.log2(LONGEST * total + 1)) + 2))  # chance agreements with a frequent run cost a look at the text
-    packed = base.select("row", "lang", "text").mapInArrow(_fingerprints(bits, range_bits), "range long, n int, body binary")
-    pointers = packed.groupBy("range").applyInArrow(_frequent(least), "row long, start long, size int, count long")
-    asked = pointers.groupBy("row").agg(F.collect_list(F.struct("start", "size", "count")).alias("asked"))  # no more than runs in the text
-    cut = base.select("row", "lang", "text").join(asked, "row").select("lang", "text", "asked").mapInArrow(_cut_out, "lang string, phrase string, size int, count long")
+    packed = base.mapInArrow(_fingerprints(bits, range_bits), "range long, block long, run long, n int, body binary")
+    flags = packed.groupBy("range").applyInArrow(_frequent(least), "range long, block long, run long, n int, bits binary")
+    pairs = base.groupBy("block").cogroup(flags.groupBy("block"))
+    cut = pairs.applyInArrow(_words_of(bits), "lang string, phrase string, size int, count long")
     counts = written(cut.groupBy("lang", "phrase", "size").agg(F.sum("count").alias("f")).where(F.col("f") >= least), "phrases")
     remove_scratch(docs.sparkSession, [rows_at])
     return counts, totals

@@ -64,31 +64,48 @@ def test_equals_brute_force(spark):
 
 
 def test_runs_that_share_a_fingerprint_part_again(spark, monkeypatch):
-    monkeypatch.setattr(C, "mix", lambda x: (x % np.uint64(37)) << np.uint64(50))  # 37 fingerprints for all
-    monkeypatch.setattr(C, "RANGE_ENTRIES", 1 << 11)  # several ranges
-    monkeypatch.setattr(C, "BLOCK_BYTES", 500)
     rows = _rows(2, 100)
-    texts = pa.array([t or "" for _, t in rows])
-    mark, text, count, start, size = C.block_entries(texts, np.arange(len(rows), dtype=np.uint64), 20)
-    assert len(set(mark.tolist())) <= 37 < len(mark)
-    assert count.sum() == sum(len(list(_runs(t))) for _, t in rows)
-    docs = spark.createDataFrame([(1, lang, t, 1, "p") for lang, t in rows], SCHEMA)
-    counts, totals = C.phrase_counts(docs, 8)  # workers hash as usual, in many blocks and ranges
+    texts, langs = pa.array([t or "" for _, t in rows]), pa.array([lang or "und" for lang, _ in rows])
     want = {}
     for lang, t in rows:
         want.setdefault(lang or "und", Counter()).update(_runs(t))
-    assert {(r.lang, r.phrase, r.f) for r in counts.collect()} == {(lang, " ".join(w), c) for lang, held in want.items() for w, c in held.items() if c >= 8}
-    # every entry of a shared fingerprint goes back to its text, so the words tell them apart
-    body = C._pack([np.append(mark[:1], np.diff(mark)), text, count, start, size])
-    found = C._frequent(1)(pa.table({"n": [len(mark)], "body": pa.array([body], pa.binary())}))
-    asked = [[] for _ in rows]
-    for r in found.to_pylist():
-        asked[r["row"]].append({k: r[k] for k in ("start", "size", "count")})
-    [cut] = C._cut_out(iter([pa.record_batch({"lang": [lang or "und" for lang, _ in rows], "text": texts, "asked": asked})]))
-    held = Counter()
-    for r in cut.to_pylist():
-        held[r["lang"], r["phrase"]] += r["count"]
-    assert held == Counter({(lang, " ".join(w)): c for lang, counted in want.items() for w, c in counted.items()})
+    whole = Counter({(lang, " ".join(w)): c for lang, held in want.items() for w, c in held.items()})
+    with monkeypatch.context() as m:
+        m.setattr(C, "mix", lambda x: (x % np.uint64(37)) << np.uint64(58))  # 37 fingerprints for all
+        found = C.entries_of(texts, langs, 20)
+        assert len(set(found.mark.tolist())) <= 37 < len(found.mark)
+        at = found.bounds(20, 3)
+        step = np.append(found.mark[:1], np.diff(found.mark))
+        held = [k for k in range(8) if at[k + 1] > at[k]]
+        step[at[held]] = found.mark[at[held]]
+        for least in (1, 8):
+            # as if other blocks had as many: flags of each range, then words of the flagged entries
+            flags = []
+            for k in held:
+                body = C._pack([step[at[k] : at[k + 1]], found.count[at[k] : at[k + 1]]])
+                part = pa.table({"range": [k], "block": [0], "run": [0], "n": pa.array([at[k + 1] - at[k]], pa.int32()), "body": pa.array([body], pa.binary())})
+                flags.append(C._frequent(least)(part))
+            given = pa.table({"row": list(range(len(rows))), "block": [0] * len(rows), "lang": langs, "text": texts})
+            got = Counter()
+            for r in C._words_of(20)(given.take(pa.array(range(len(rows))[::-1])), pa.concat_tables(flags)).to_pylist():
+                got[r["lang"], r["phrase"]] += r["count"]
+            assert {k: c for k, c in got.items() if c >= least} == {k: c for k, c in whole.items() if c >= least}
+
+
+def test_blocks_read_in_parts_and_many_ranges(spark, monkeypatch):
+    monkeypatch.setattr(C, "RANGE_ENTRIES", 1 << 9)
+    rows = _rows(3, 150)
+    docs = spark.createDataFrame([(1, lang, t, 1, "p") for lang, t in rows], SCHEMA).repartition(2)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 17)  # so that parts of blocks are runs of their own
+    try:
+        counts, totals = C.phrase_counts(docs, 8)
+        got = {(r.lang, r.phrase, r.f) for r in counts.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = {}
+    for lang, t in rows:
+        want.setdefault(lang or "und", Counter()).update(_runs(t))
+    assert got == {(lang, " ".join(w), c) for lang, held in want.items() for w, c in held.items() if c >= 8} != set()
 
 
 def test_one_very_long_text_and_one_word(spark):
