@@ -6,7 +6,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .metrics import ordered_sums
+from .metrics import matched, ordered_sums
+from .quantiles import exact_quantiles
+from .steps import stored
 
 FLOOR = 1e-6
 STABLE, MODERATE = 0.10, 0.25
@@ -24,12 +26,19 @@ def melt_levels(df: DataFrame, features: list[str], keys: list[str] | None = Non
     return df.select(*keys, *[F.col(f).cast("string").alias(f) for f in there]).unpivot(keys, there, "feature", "level")
 
 
-def inner_edges(value: Column, n_bins: int, exact: bool = True) -> Column:
-    """Aggregate: the bin edges between -inf and +inf. exact interpolates between ranks; without it
-    a sketch of bounded size is used, for columns with more distinct values than memory holds."""
-    points = F.array(*[F.lit(i / n_bins) for i in range(1, n_bins)])
-    found = F.percentile(value, points) if exact else F.percentile_approx(value, points, 100_000)
-    return F.coalesce(F.array_sort(F.array_distinct(found)), F.array().cast("array<double>"))
+def value_counts(df: DataFrame, numeric: list[str], categorical: list[str], keys: list[str]) -> DataFrame:
+    """(keys, kind, feature, value, level, weight): how often each value and level occurs, nulls too, in one pass
+    over df; kind is numeric or categorical. Absent features are skipped, NaN counts as null."""
+    cell = lambda kind, f, v, l: F.struct(F.lit(kind).alias("kind"), F.lit(f).alias("feature"), v.cast("double").alias("value"), l.cast("string").alias("level"))
+    none = F.lit(None)
+    cells = [cell("numeric", f, F.nanvl(F.col(f).cast("double"), none.cast("double")), none) for f in numeric if f in df.columns]
+    cells += [cell("categorical", f, none, F.col(f)) for f in categorical if f in df.columns]
+    long = df.select(*keys, F.inline(F.array(*cells))) if cells else df.limit(0).select(*keys, F.inline(F.array(cell("numeric", "", none, none))))
+    return long.groupBy(*keys, "kind", "feature", "value", "level").agg(F.count(F.lit(1)).alias("weight"))
+
+
+def _weight(long: DataFrame) -> Column:
+    return F.col("weight") if "weight" in long.columns else F.lit(1)
 
 
 def bin_of(value: Column, edges: Column) -> Column:
@@ -38,13 +47,27 @@ def bin_of(value: Column, edges: Column) -> Column:
 
 
 def numeric_edges(long: DataFrame, keys: list[str], n_bins: int = 10, exact: bool = True) -> DataFrame:
-    return long.groupBy(*keys, "feature").agg(inner_edges(F.col("value"), n_bins, exact).alias("edges"), F.count("value").alias("n"), F.count_if(F.col("value").isNull()).alias("n_missing"))
+    """(keys, feature, edges, n, n_missing): the bin edges between -inf and +inf, n values and n nulls; a row
+    counts weight times, if there is such a column.
+
+    exact interpolates between the ranks that selection finds; without it a sketch of bounded size answers in one pass."""
+    on, w, there = [*keys, "feature"], _weight(long), F.col("value").isNotNull()
+    points = [i / n_bins for i in range(1, n_bins)]
+    sums = [F.sum(F.when(there, w).otherwise(0)).alias("n"), F.sum(F.when(there, 0).otherwise(w)).alias("n_missing")]
+    sketch = [] if exact else [F.percentile_approx("value", F.array(*map(F.lit, points)), 100_000, w).alias("q")]
+    found = long.groupBy(*on).agg(*sums, *sketch)
+    if exact:
+        weighted = "weight" if "weight" in long.columns else None
+        found = matched(found, exact_quantiles(long, on, "value", points, weighted).drop("n"), on)
+    edges = F.coalesce(F.array_sort(F.array_distinct("q")), F.array().cast("array<double>"))
+    return found.select(*on, edges.alias("edges"), "n", "n_missing")
 
 
 def bin_counts(long: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, feature, bin, cnt) for every bin of edges, empty ones too."""
     on = [*keys, "feature"]
-    held = long.join(edges.select(*on, "edges"), on).groupBy(*on, bin_of(F.col("value"), F.col("edges")).alias("bin")).agg(F.count("value").alias("cnt"))
+    count = F.sum(F.when(F.col("value").isNotNull(), _weight(long)).otherwise(0))
+    held = long.join(edges.select(*on, "edges"), on).groupBy(*on, bin_of(F.col("value"), F.col("edges")).alias("bin")).agg(count.alias("cnt"))
     every = edges.select(*on, F.explode(F.sequence(F.lit(0), F.size("edges"))).alias("bin"))
     return every.join(held, [*on, "bin"], "left").withColumn("cnt", F.coalesce("cnt", F.lit(0)))
 
@@ -57,7 +80,7 @@ def numeric_reference(long: DataFrame, keys: list[str], n_bins: int = 10, exact:
 
 
 def level_counts(long: DataFrame, keys: list[str]) -> DataFrame:
-    return long.where("level IS NOT NULL").groupBy(*keys, "feature", "level").agg(F.count(F.lit(1)).alias("cnt"))
+    return long.where("level IS NOT NULL").groupBy(*keys, "feature", "level").agg(F.sum(_weight(long)).alias("cnt"))
 
 
 def proportion(count: Column, group: list[str]) -> Column:
@@ -102,8 +125,11 @@ def ks_weighted(reference: DataFrame, current: DataFrame, keys: list[str]) -> Da
 
 
 def ks_two_sample(reference: DataFrame, current: DataFrame, keys: list[str]) -> DataFrame:
-    one = F.lit(1).alias("weight")
-    return ks_weighted(reference.select("*", one), current.select("*", one), keys)
+    """ks_weighted of rows (keys, feature, value); each side is read once, for the counts of its values."""
+    on = [*keys, "feature", "value"]
+    sides = [rows.groupBy(*on).agg(F.count(F.lit(1)).alias("weight")).withColumn("side", F.lit(k)) for k, rows in enumerate((reference, current))]
+    counts = stored(sides[0].unionByName(sides[1]), "counts").rows
+    return ks_weighted(counts.where("side = 0"), counts.where("side = 1"), keys)
 
 
 def midpoints(reference: DataFrame, keys: list[str]) -> DataFrame:
@@ -122,22 +148,23 @@ def reference_counts(reference: DataFrame, keys: list[str]) -> DataFrame:
 
 def drift_report(reference: DataFrame, current: DataFrame, numeric: list[str], categorical: list[str], keys: list[str] | None = None, n_bins: int = 10, exact: bool = True) -> DataFrame:
     """(keys, feature, kind, psi, severity, n_ref, n_cur, n_missing, ks, ks_p) for each feature; exact
-    as for inner_edges."""
+    as for numeric_edges. Both tables are read once, for the counts of their values."""
     keys = keys or []
-    stored = numeric_reference(melt(reference, numeric, keys), keys, n_bins, exact)
-    return report_against(stored, level_counts(melt_levels(reference, categorical, keys), keys), current, numeric, categorical, keys)
-
-
-def report_against(stored: DataFrame, levels: DataFrame, current: DataFrame, numeric: list[str], categorical: list[str], keys: list[str]) -> DataFrame:
-    """drift_report from stored references (see numeric_reference and level_counts)."""
-    now, on = melt(current, numeric, keys), [*keys, "feature"]
-    missing = now.groupBy(*on).agg(F.count_if(F.col("value").isNull()).alias("n_missing"))
-    ks = ks_weighted(midpoints(stored, keys), now.withColumn("weight", F.lit(1)), keys).select(*on, "ks", "ks_p")
-    one = psi(reference_counts(stored, keys), bin_counts(now, stored, keys), keys, "bin").join(missing, on).join(ks, on, "left").withColumn("kind", F.lit("numeric"))
-    now_levels = melt_levels(current, categorical, keys)
-    gone = now_levels.groupBy(*on).agg(F.count_if(F.col("level").isNull()).alias("n_missing"))
-    two = psi(levels, level_counts(now_levels, keys), keys, "level").join(gone, on)
-    two = two.withColumns({"ks": F.lit(None).cast("double"), "ks_p": F.lit(None).cast("double"), "kind": F.lit("categorical")})
+    was = stored(value_counts(reference, numeric, categorical, keys), "counts").rows
+    bins = numeric_reference(was.where("kind = 'numeric'"), keys, n_bins, exact)
+    return report_against(bins, level_counts(was.where("kind = 'categorical'"), keys), current, numeric, categorical, keys)
+
+
+def report_against(reference: DataFrame, levels: DataFrame, current: DataFrame, numeric: list[str], categorical: list[str], keys: list[str]) -> DataFrame:
+    """drift_report from stored references (see numeric_reference and level_counts); current is read once."""
+    on = [*keys, "feature"]
+    counts = stored(value_counts(current, numeric, categorical, keys), "counts").rows
+    missing = counts.groupBy(*on, "kind").agg(F.sum(F.when(F.col("value").isNotNull() | F.col("level").isNotNull(), 0).otherwise(F.col("weight"))).alias("n_missing"))
+    now, now_levels = counts.where("kind = 'numeric'"), counts.where("kind = 'categorical'")
+    ks = ks_weighted(midpoints(reference, keys), now, keys).select(*on, "ks", "ks_p")
+    one = psi(reference_counts(reference, keys), bin_counts(now, reference, keys), keys, "bin").join(missing.where("kind = 'numeric'"), on).join(ks, on, "left")
+    two = psi(levels, level_counts(now_levels, keys), keys, "level").join(missing.where("kind = 'categorical'"), on)
+    two = two.withColumns({"ks": F.lit(None).cast("double"), "ks_p": F.lit(None).cast("double")})
     both = one.unionByName(two).withColumn("severity", severity(F.col("psi")))
     return both.select(*keys, "feature", "kind", "psi", "severity", "n_ref", "n_cur", "n_missing", "ks", "ks_p")
 

@@ -5,23 +5,23 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .quantiles import exact_quantiles
+
 #: Quantiles of the knots for each number of them.
 KNOTS = {3: (0.10, 0.50, 0.90), 4: (0.05, 0.35, 0.65, 0.95), 5: (0.05, 0.275, 0.50, 0.725, 0.95)}
 
 
 def fit_knots(train: DataFrame, columns: list[str], k: int = 4) -> dict[str, list[float]]:
-    """Knots of all columns in one pass; fewer than k rows or three distinct knots are an error."""
-    row = train.agg(*[F.percentile(F.col(c).cast("double"), F.array(*map(F.lit, KNOTS[k]))).alias(c) for c in columns], *[F.count(c).alias(f"n_{c}") for c in columns]).first()
+    """Knots of all columns, by selection; fewer than k rows or three distinct knots are an error."""
+    long = train.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], columns, "feature", "value")
+    found = {r["feature"]: r for r in exact_quantiles(long, ["feature"], "value", list(KNOTS[k])).collect()}  # a row a column
     out = {}
     for c in columns:
-        knots = sorted(set(row[c] or []))
-        if row[f"n_{c}"] < k or len(knots) < 3:
+        knots = sorted(set(found[c]["q"])) if c in found else []
+        if c not in found or found[c]["n"] < k or len(knots) < 3:
             raise ValueError(f"{c} has too few distinct values for a spline")
         out[c] = knots
     return out
@@ -110,25 +110,13 @@ class Recipe:
         return scaled | {c: F.col(c).cast("double") for c in self.passed}
 
 
-def forest_impute(df: DataFrame, columns: list[str], trained: Column, rounds: int = 10, trees: int = 50, seed: int = 5, binary: tuple[str, ...] = ()) -> DataFrame:
-    """Chained imputation: each column's nulls are predicted from the others by a forest fitted on
-    the rows where `trained` holds, round after round; only cells that were null are filled. Columns of
-    binary (0 or 1) begin with their mode and get a classifier's answer.
-
-    df should be a written or cached table: every round reads it again."""
-    gaps = {c: f"_null_{c}" for c in columns}
-    means = df.where(trained).agg(*[F.avg(c).alias(c) for c in columns]).first()
-    first = {c: float(means[c] or 0.0) if c not in binary else float((means[c] or 0.0) > 0.5) for c in columns}
-    out = df.withColumns({g: F.col(c).isNull() for c, g in gaps.items()}).withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(first[c])) for c in columns})
-    for _ in range(rounds):
-        for c in columns:
-            inputs = VectorAssembler(inputCols=[o for o in columns if o != c], outputCol="_x")
-            ready = inputs.transform(out)
-            known = ready.where(trained & ~F.col(gaps[c]))
-            made = {"featuresCol": "_x", "labelCol": c, "predictionCol": "_y", "numTrees": trees, "maxDepth": 5, "seed": seed}
-            forest = RandomForestClassifier(**made, rawPredictionCol="_raw", probabilityCol="_p") if c in binary else RandomForestRegressor(**made)
-            out = forest.fit(known).transform(ready).withColumn(c, F.when(F.col(gaps[c]), F.col("_y")).otherwise(F.col(c))).drop("_x", "_y", "_raw", "_p")
-    return out.drop(*gaps.values())
+def forest_impute(df: DataFrame, columns: list[str], trained: Column, rounds: int = 10, trees: int = 50, seed: int = 5, binary: tuple[str, ...] = (), tolerance: float = 1e-3) -> DataFrame:
+    """Chained imputation fitted on the rows where `trained` holds (see recipes.ForestImputer); only cells that
+    were null are filled. Columns of binary (0 or 1) begin with their mode and get a classifier's answer."""
+    from .recipes import ForestImputer  # it is made of this module's parts
+
+    imputer = ForestImputer(columns=columns, binary=list(binary), rounds=rounds, trees=trees, seed=seed, tolerance=tolerance)
+    return imputer.fit(df.where(trained)).transform(df)
 
 
 RECIPES = ("plain", "forest", "splines", "scaled_forest")

@@ -230,8 +230,9 @@ def reliability_bins(rows: DataFrame, keys: list[str], n_bins: int = 10, strateg
     if strategy == "uniform":
         edges = rows.select(*keys).distinct().withColumn("edges", F.array(*[F.lit(i / n_bins) for i in range(1, n_bins)]))
     else:
-        points = F.percentile("p", F.array(*[F.lit(i / n_bins) for i in range(1, n_bins)]))
-        edges = rows.groupBy(*keys).agg(F.array_sort(F.array_distinct(points)).alias("edges"))
+        from .quantiles import exact_quantiles  # it is made of this module's parts
+
+        edges = exact_quantiles(rows, keys, "p", [i / n_bins for i in range(1, n_bins)]).select(*keys, F.array_sort(F.array_distinct("q")).alias("edges"))
     placed = rows.join(edges, keys) if keys else rows.crossJoin(F.broadcast(edges))
     held = placed.groupBy(*keys, F.size(F.filter("edges", lambda e: e <= F.col("p"))).alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.avg("p").alias("mean_p"), F.avg("y").alias("rate"))
     every = edges.select(*keys, F.explode(F.sequence(F.lit(0), F.size("edges"))).alias("bin"))

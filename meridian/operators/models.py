@@ -3,18 +3,21 @@
 from __future__ import annotations
 
 import random
-from functools import reduce
+import time
+from collections.abc import Sequence
 
-from pyspark.ml import Model
+from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .steps import stored
+
 GRID = (1e-3, 1e-2, 1e-1, 1.0, 10.0, 100.0)
 
 
@@ -23,11 +26,29 @@ def lasso(c: float, n: int, **more) -> LogisticRegression:
     return LogisticRegression(elasticNetParam=1.0, regParam=1.0 / (c * max(n, 1)), standardization=False, **more)
 
 
-def tune_lasso(train: DataFrame, fold: str, folds: int, grid: tuple[float, ...] = GRID, parallelism: int = 4, **more):
-    """The best of the grid by AUROC over the given folds, fitted again on all rows (features, label)."""
+def tuned(base: Estimator, maps: list[dict], train: DataFrame, fold: str, folds: int, stages: Sequence[Estimator] = (), parallelism: int = 4, seconds: float | None = None):
+    """Cross-validation of base over maps by AUROC on the given folds: what has the best of them, fitted again on all rows.
+
+    stages come before base and are fitted within each fold, on its training rows alone. With seconds, maps are
+    tried parallelism at a time while they last; the first ones always are. avgMetrics has those tried."""
+    estimator, evaluator = Pipeline(stages=[*stages, base]) if stages else base, BinaryClassificationEvaluator(labelCol=base.getLabelCol())
+    step, began, best, metrics = len(maps) if seconds is None else parallelism, time.monotonic(), None, []
+    for k in range(0, len(maps), step):
+        if k and time.monotonic() - began > seconds:
+            break
+        found = CrossValidator(estimator=estimator, estimatorParamMaps=maps[k : k + step], evaluator=evaluator, numFolds=folds, foldCol=fold, parallelism=parallelism).fit(train)
+        if best is None or max(found.avgMetrics) > max(best.avgMetrics):
+            best = found
+        metrics += found.avgMetrics
+    best.avgMetrics = metrics
+    return best
+
+
+def tune_lasso(train: DataFrame, fold: str, folds: int, grid: tuple[float, ...] = GRID, parallelism: int = 4, stages: Sequence[Estimator] = (), **more):
+    """The best of the grid by AUROC over the given folds, fitted again on all rows (features, label); see tuned."""
     n, base = train.count(), LogisticRegression(elasticNetParam=1.0, standardization=False, **more)
     params = ParamGridBuilder().addGrid(base.regParam, [1.0 / (c * max(n, 1)) for c in grid]).build()
-    return CrossValidator(estimator=base, estimatorParamMaps=params, evaluator=BinaryClassificationEvaluator(), numFolds=folds, foldCol=fold, parallelism=parallelism).fit(train)
+    return tuned(base, params, train, fold, folds, stages, parallelism)
 
 
 def boosting_draws(base: GBTClassifier, trials: int, seed: int) -> list[dict]:
@@ -43,11 +64,10 @@ def boosting_draws(base: GBTClassifier, trials: int, seed: int) -> list[dict]:
     ]
 
 
-def tune_boosting(train: DataFrame, fold: str, folds: int, trials: int = 50, seed: int = 20260505, parallelism: int = 4):
-    """The best of seeded random draws over the boosting parameters, by AUROC over the folds."""
+def tune_boosting(train: DataFrame, fold: str, folds: int, trials: int = 50, seed: int = 20260505, parallelism: int = 4, stages: Sequence[Estimator] = (), seconds: float | None = None):
+    """The best of seeded random draws over the boosting parameters, by AUROC over the folds; see tuned."""
     base = GBTClassifier(seed=seed)
-    maps = boosting_draws(base, trials, seed)
-    return CrossValidator(estimator=base, estimatorParamMaps=maps, evaluator=BinaryClassificationEvaluator(), numFolds=folds, foldCol=fold, parallelism=parallelism).fit(train)
+    return tuned(base, boosting_draws(base, trials, seed), train, fold, folds, stages, parallelism, seconds)
 
 
 def scored(model: Model, rows: DataFrame) -> DataFrame:
@@ -108,18 +128,31 @@ def calibrated(kind: str, held: DataFrame, rows: DataFrame) -> DataFrame:
     raise ValueError(f"unknown calibration {kind}")
 
 
-def run_cells(df: DataFrame, folds: list[str], recipe, models: dict, target: str, fold: str = "fold", calibration: dict[str, str] | None = None) -> DataFrame:
-    """Long predictions (fold, model, row_id, y, p): for each fold the recipe and models are fitted
-    on its training rows, calibrated on its calib rows and applied to its test rows.
+def run_cells(df: DataFrame, folds: list[str], stages: Sequence[Estimator], models: dict[str, Estimator], target: str, path: str, fold: str = "fold", calibration: dict[str, str] | None = None) -> DataFrame:
+    """Long predictions (fold, model, row_id, y, p): for each fold the stages and models are fitted on its
+    training rows, calibrated on its calib rows and applied to its test rows.
 
-    df has fold, split (train, calib, test), row_id and target; recipe(train) gives named columns."""
-    out = []
+    df has fold, split (train, calib, test), row_id and target. Each cell's fitted pipeline and predictions are
+    written below path; a cell that is there whole is not fitted again, so a run that broke off goes on."""
+    spark = df.sparkSession
     for name in folds:
-        own = df.where(F.col(fold) == name)
-        columns: dict[str, Column] = recipe(own.where("split = 'train'"))
-        ready = own.select("row_id", "split", F.lit(name).alias("fold"), F.col(target).cast("double").alias("label"), array_to_vector(F.array(*columns.values())).alias("features")).cache()
-        for model_name, estimator in models.items():
-            model = estimator.fit(ready.where("split = 'train'"))
-            p = scored(model, ready).select("fold", F.lit(model_name).alias("model"), "row_id", F.col("label").cast("int").alias("y"), "p", "split")
-            out.append(calibrated((calibration or {}).get(model_name, "native"), p.where("split = 'calib'"), p.where("split = 'test'")).drop("split"))
-    return reduce(DataFrame.unionByName, out)
+        own = df.where(F.col(fold) == name).withColumn("label", F.col(target).cast("double"))
+        todo = {k: m for k, m in models.items() if not _exists(spark, f"{path}/predictions/fold={name}/model={k}/_SUCCESS")}
+        if not todo:
+            continue
+        prepared = Pipeline(stages=list(stages)).fit(own.where("split = 'train'"))
+        ready = stored(prepared.transform(own).select("row_id", "split", "label", "features"), "cell")
+        for model_name, estimator in todo.items():
+            model = estimator.fit(ready.rows.where("split = 'train'"))
+            PipelineModel(stages=[*prepared.stages, model]).write().overwrite().save(f"{path}/models/{name}-{model_name}")
+            p = scored(model, ready.rows).select("row_id", F.col("label").cast("int").alias("y"), "p", "split")
+            made = calibrated((calibration or {}).get(model_name, "native"), p.where("split = 'calib'"), p.where("split = 'test'")).drop("split")
+            made.write.mode("overwrite").parquet(f"{path}/predictions/fold={name}/model={model_name}")
+        ready.remove()
+    rows = spark.read.option("basePath", f"{path}/predictions").parquet(*[f"{path}/predictions/fold={name}/model={k}" for name in folds for k in models])
+    return rows.select(F.col("fold").cast("string").alias("fold"), F.col("model").cast("string").alias("model"), "row_id", "y", "p")
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)

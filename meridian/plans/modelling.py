@@ -14,6 +14,8 @@ from ..operators import features as FE
 from ..operators import metrics as M
 from ..operators import models as ML
 from ..operators import splits as S
+from ..operators.recipes import recipe_stages
+from ..operators.steps import stored
 from .evaluation import PREDS, predictions
 from .tables import load, scratch
 
@@ -71,7 +73,7 @@ def fe05_impute_scale(spark, sf_dir):
 @_query()
 def fe07_forest_impute(spark, sf_dir):
     gaps = load(spark, sf_dir, "lineitem").select("l_linenumber", *[F.when(F.col("l_partkey") % (7 + i) != 0, F.col(c)).alias(c) for i, c in enumerate(["l_quantity", "l_extendedprice", "l_discount"])])
-    made = FE.forest_impute(gaps.cache(), ["l_quantity", "l_extendedprice", "l_discount"], F.col("l_linenumber") <= 4, rounds=2, trees=10)
+    made = FE.forest_impute(gaps, ["l_quantity", "l_extendedprice", "l_discount"], F.col("l_linenumber") <= 4, rounds=2, trees=10)
     return made.groupBy("l_linenumber").agg(F.count("l_quantity").alias("n"), F.round(F.avg("l_quantity"), 4).alias("l_quantity"), F.round(F.avg("l_extendedprice"), 2).alias("l_extendedprice"))
 
 
@@ -88,25 +90,26 @@ def _recipe(train: DataFrame):
 
 def _predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     models = {"lasso": ML.lasso(1.0, 10_000, maxIter=10), "boosted": GBTClassifier(maxIter=2, maxDepth=3, seed=5)}
-    return ML.run_cells(_rows(spark, sf_dir), ["F", "O"], _recipe, models, "y", calibration={"lasso": "sigmoid", "boosted": "isotonic"})
+    stages = recipe_stages("splines", ["l_quantity"], passed=["l_discount", "l_tax"])
+    return ML.run_cells(_rows(spark, sf_dir), ["F", "O"], stages, models, "y", scratch(spark, "cells"), calibration={"lasso": "sigmoid", "boosted": "isotonic"})
 
 
 @_query()
 def ml07_cells(spark, sf_dir):
-    """ML-01, 04..07: two domains by two models, scored in one grouped job."""
-    return M.auroc(_predictions(spark, sf_dir), ["fold", "model"]).join(M.brier(_predictions(spark, sf_dir), ["fold", "model"]).withColumnRenamed("value", "brier"), ["fold", "model"])
+    """ML-01, 04..07: two domains by two models, each fitted once and stored, scored in one grouped job."""
+    made = _predictions(spark, sf_dir)
+    return M.auroc(made, ["fold", "model"]).join(M.brier(made, ["fold", "model"]).withColumnRenamed("value", "brier"), ["fold", "model"])
 
 
 @_query()
 def ml02_tuned(spark, sf_dir):
-    """ML-02, 03: labelled documents, quality from lengths; the whole grid, two draws, three folds."""
+    """ML-02, 03: labelled documents, quality from lengths; the whole grid, two draws, three folds, with knots, means and
+    scales fitted within each fold."""
     docs = load(spark, sf_dir, "documents").select("doc_id", F.col("n_chars").cast("double").alias("n"), F.length(F.regexp_replace("text", "[a-z ]", "")).cast("double").alias("odd"))
     rows = S.random_folds(load(spark, sf_dir, "labels").join(docs, "doc_id").withColumn("y", F.col("quality")), "y", "doc_id", 3)
-    ready = rows.select(F.col("fold"), F.col("y").cast("double").alias("label"), F.array(F.log1p("n"), F.log1p("odd"), F.col("odd") / (F.col("n") + 1)).alias("a")).selectExpr("fold", "label", "a")
-    from pyspark.ml.functions import array_to_vector
-
-    ready = ready.select("fold", "label", array_to_vector("a").alias("features")).cache()
-    one, two = ML.tune_lasso(ready, "fold", 3, maxIter=25), ML.tune_boosting(ready, "fold", 3, 2)
+    ready = stored(rows.select("fold", F.col("y").cast("double").alias("label"), F.log1p("n").alias("size"), F.log1p("odd").alias("odd"), (F.col("odd") / (F.col("n") + 1)).alias("share")), "labelled").rows
+    stages = recipe_stages("splines", ["size", "odd"], passed=["share"])
+    one, two = ML.tune_lasso(ready, "fold", 3, maxIter=25, stages=stages), ML.tune_boosting(ready, "fold", 3, 2, stages=stages)
     return spark.createDataFrame([("lasso", float(max(one.avgMetrics))), ("boosted", float(max(two.avgMetrics)))], "model string, auroc double")
 
 

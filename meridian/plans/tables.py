@@ -1,20 +1,11 @@
 """Reading of the given tables, and folders for what a query writes."""
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.steps import scratch
 
-def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+__all__ = ["load", "scratch"]
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder below the session's checkpoint folder, which driver and executors share; where none is
-    set, a temporary one, if all runs on one machine."""
-    sc = spark.sparkContext
-    base = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir")
-    if not base and not sc.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return f"{(base or tempfile.mkdtemp(prefix='meridian-')).rstrip('/')}/flow-{name}-{uuid.uuid4().hex}"
+def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
