@@ -30,7 +30,7 @@ LONGEST, LEAST, TOP = 4, 30, 2000
 #: A longer candidate with so many hundredths of a candidate's occurrences takes its place.
 SWALLOWED_PERCENT = 80
 #: Bytes of the texts that a task holds at a time, and entries of a range of fingerprints.
-BLOCK_BYTES, RANGE_ENTRIES = 2_500_000, 1 << 20
+BLOCK_BYTES, RANGE_ENTRIES = 4_000_000, 1 << 20
 CUTS = r"[\x20\x09.,;:!?\x0A-\x0D]+"
 _GAP, _END, _LOWER = np.zeros(256, bool), np.zeros(256, bool), np.arange(256, dtype=np.uint8)
 _GAP[[9, 32]] = True
@@ -74,13 +74,13 @@ class Entries:
         return np.concatenate([[0], np.searchsorted(self.mark, starts), [len(self.mark)]])
 
     def phrases(self, wanted: np.ndarray) -> pa.Table:
-        """(lang, phrase, size, count) of the wanted entries."""
+        """(lang, mark, phrase, count) of the wanted entries."""
         out = []
         for n in range(1, LONGEST + 1):
             k = wanted[self.size[wanted] == n]
             parts = [self.words.take(pa.array(self.word[self.at[k] + j])).cast(pa.large_string()) for j in range(n)]
-            phrase = pc.binary_join_element_wise(*parts, pa.scalar(" ", pa.large_string())).cast(pa.string())
-            out.append(pa.table({"lang": self.langs.take(pa.array(self.lang[self.at[k]])), "phrase": phrase, "size": pa.array(np.full(len(k), n, np.int32)), "count": pa.array(self.count[k].astype(np.int64))}))
+            phrase = pc.binary_join_element_wise(*parts, pa.scalar(" ", pa.large_string()))
+            out.append(pa.table({"lang": self.langs.take(pa.array(self.lang[self.at[k]])), "mark": pa.array(self.mark[k]), "phrase": phrase, "count": pa.array(self.count[k].astype(np.uint32))}))
         return pa.concat_tables(out)
 
 
@@ -176,8 +176,8 @@ def _frequent(least: int):
     return rows
 
 
-def _words_of(bits: int):
-    """The words of a block's frequent entries, with their counts."""
+def _words_of(bits: int, range_bits: int):
+    """The words of a block's frequent entries, with their counts: packed by language and range, in order."""
 
     def rows(texts: pa.Table, flags: pa.Table) -> pa.Table:
         texts, flags = texts.sort_by("row").combine_chunks(), flags.sort_by([("run", "ascending"), ("range", "ascending")])
@@ -193,7 +193,41 @@ def _words_of(bits: int):
                 raise ValueError("a block's entries changed between two readings")
             wanted = np.concatenate([np.unpackbits(np.frombuffer(b, np.uint8), count=n) for b, n in zip(own.column("bits").to_pylist(), sizes, strict=True)])
             out.append(found.phrases(np.flatnonzero(wanted)))
-        return pa.concat_tables(out) if out else pa.table({"lang": pa.array([], pa.string()), "phrase": pa.array([], pa.string()), "size": pa.array([], pa.int32()), "count": pa.array([], pa.int64())})
+        if not out:
+            return pa.table({k: pa.array([], t) for k, t in zip(PACKED, (pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)})
+        made = pa.concat_tables(out)
+        place = pa.array((made.column("mark").to_numpy() >> np.uint64(bits - range_bits)).astype(np.int64))
+        made = made.append_column("range", place).sort_by([("lang", "ascending"), ("range", "ascending"), ("phrase", "ascending")]).combine_chunks()
+        lang, place = made.column("lang").combine_chunks().dictionary_encode(), made.column("range").to_numpy()
+        code = lang.indices.to_numpy()
+        cuts = np.concatenate([np.flatnonzero(np.append(True, (place[1:] != place[:-1]) | (code[1:] != code[:-1]))), [len(place)]]) if len(place) else np.zeros(1, np.int64)
+        phrases, counts = made.column("phrase").to_pylist(), made.column("count").to_numpy()
+        raw = [counts[i:j].view(np.uint8).reshape(-1, 4).T.tobytes() + "\n".join(phrases[i:j]).encode() for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+        codec = pa.Codec("zstd", compression_level=3)
+        columns = [lang.dictionary.take(pa.array(code[cuts[:-1]])), pa.array(place[cuts[:-1]]), pa.array(np.diff(cuts).astype(np.int32)), pa.array([len(r) for r in raw], pa.int32()), pa.array([codec.compress(r, asbytes=True) for r in raw], pa.binary())]
+        return pa.table(columns, names=list(PACKED))
+
+    return rows
+
+
+PACKED = ("lang", "range", "n", "size", "body")
+
+
+def _added(least: int):
+    """Counts of a language's phrases of one range, by their words; those with least occurrences or more."""
+
+    def rows(table: pa.Table) -> pa.Table:
+        phrases: list[str] = []
+        counts = []
+        for n, size, body in zip(*(table.column(c).to_pylist() for c in ("n", "size", "body")), strict=True):
+            raw = pa.Codec("zstd").decompress(body, size, asbytes=True)
+            counts.append(np.ascontiguousarray(np.frombuffer(raw[: 4 * n], np.uint8).reshape(4, n).T).view("<u4").ravel().astype(np.int64))
+            phrases += raw[4 * n :].decode().split("\n")
+        found = pa.table({"phrase": pa.array(phrases, pa.string()), "count": np.concatenate(counts)}).group_by("phrase").aggregate([("count", "sum")])
+        found = found.filter(pc.greater_equal(found.column("count_sum"), least))
+        sizes = pc.add(pc.count_substring(found.column("phrase"), " "), pa.scalar(1, pa.int32()))
+        lang = pa.array([table.column("lang")[0].as_py()] * len(found), pa.string())
+        return pa.table({"lang": lang, "phrase": found.column("phrase"), "size": sizes.cast(pa.int32()), "f": found.column("count_sum").cast(pa.int64())})
 
     return rows
 
@@ -214,8 +248,8 @@ def phrase_counts(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataF
     packed = base.mapInArrow(_fingerprints(bits, range_bits), "range long, block long, run long, n int, body binary")
     flags = packed.groupBy("range").applyInArrow(_frequent(least), "range long, block long, run long, n int, bits binary")
     pairs = base.groupBy("block").cogroup(flags.groupBy("block"))
-    cut = pairs.applyInArrow(_words_of(bits), "lang string, phrase string, size int, count long")
-    counts = written(cut.groupBy("lang", "phrase", "size").agg(F.sum("count").alias("f")).where(F.col("f") >= least), "phrases")
+    cut = pairs.applyInArrow(_words_of(bits, range_bits), "lang string, range long, n int, size int, body binary")
+    counts = written(cut.groupBy("lang", "range").applyInArrow(_added(least), "lang string, phrase string, size int, f long"), "phrases")
     remove_scratch(docs.sparkSession, [rows_at])
     return counts, totals
 

@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
 from meridian.llm import collocations as C
@@ -86,10 +87,12 @@ def test_runs_that_share_a_fingerprint_part_again(spark, monkeypatch):
                 part = pa.table({"range": [k], "block": [0], "run": [0], "n": pa.array([at[k + 1] - at[k]], pa.int32()), "body": pa.array([body], pa.binary())})
                 flags.append(C._frequent(least)(part))
             given = pa.table({"row": list(range(len(rows))), "block": [0] * len(rows), "lang": langs, "text": texts})
-            got = Counter()
-            for r in C._words_of(20)(given.take(pa.array(range(len(rows))[::-1])), pa.concat_tables(flags)).to_pylist():
-                got[r["lang"], r["phrase"]] += r["count"]
-            assert {k: c for k, c in got.items() if c >= least} == {k: c for k, c in whole.items() if c >= least}
+            packed = C._words_of(20, 3)(given.take(pa.array(range(len(rows))[::-1])), pa.concat_tables(flags))
+            got = {}
+            for lang, place in {(r["lang"], r["range"]) for r in packed.to_pylist()}:
+                own = packed.filter(pc.and_(pc.equal(packed.column("lang"), lang), pc.equal(packed.column("range"), place)))
+                got |= {(r["lang"], r["phrase"]): r["f"] for r in C._added(least)(own).to_pylist()}
+            assert got == {k: c for k, c in whole.items() if c >= least}
 
 
 def test_blocks_read_in_parts_and_many_ranges(spark, monkeypatch):
