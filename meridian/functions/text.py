@@ -66,7 +66,7 @@ def window_chunks(docs: DataFrame, size: int = 512, stride: int = 448, strategy:
     the first that reaches the end."""
     if not 0 < stride <= size:
         raise ValueError("stride must be positive and no more than size")
-    cut = docs.select("doc_id", pieces(F.col("text")).alias("_p")).where(F.size("_p") > 0)
+    cut = docs.where(F.length("text") > 0).select("doc_id", pieces(F.col("text")).alias("_p"))  # a text that isn't empty has pieces
     last = F.greatest(F.lit(0), F.ceil((F.size("_p") - size) / stride)).cast("int")
 
     # each chunk's pieces are taken from the array once, and the strides before a chunk are summed
@@ -76,7 +76,8 @@ def window_chunks(docs: DataFrame, size: int = 512, stride: int = 448, strategy:
         made = lambda at: F.transform(numbers, lambda c: F.struct(c.alias("chunk_no"), F.get(at, c).alias("char_start"), F.least(F.lit(size), F.size(p) - c * stride).alias("n_tokens"), F.array_join(F.slice(p, c * stride + 1, size), "").alias("text")))
         return _let(_before(strides), made)
 
-    rows = cut.select("doc_id", F.inline(chunks(F.col("_p"))))
+    # outer, here and below: a filter against empty arrays would be pushed down and cut the text again
+    rows = cut.select("doc_id", F.inline_outer(chunks(F.col("_p"))))
     return rows.select("doc_id", F.lit(strategy).alias("strategy"), "chunk_no", "char_start", (F.col("char_start") + F.length("text")).alias("char_end"), "n_tokens", "text")
 
 
@@ -92,7 +93,7 @@ def sentences(text: Column) -> Column:
 
 def sentence_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, sentence_no, start, end, sentence): end excludes white space after the sentence."""
-    rows = docs.select("doc_id", F.posexplode(sentences(F.col("text"))).alias("sentence_no", "_s"))
+    rows = docs.select("doc_id", F.posexplode_outer(sentences(F.coalesce("text", F.lit("")))).alias("sentence_no", "_s"))
     before = Window.partitionBy("doc_id").orderBy("sentence_no").rowsBetween(Window.unboundedPreceding, -1)
     start = F.coalesce(F.sum(F.length("_s")).over(before), F.lit(0))
     return rows.withColumn("start", start).select("doc_id", "sentence_no", "start", (F.col("start") + F.length(F.regexp_replace("_s", r"\s+$", ""))).alias("end"), F.regexp_replace("_s", r"\s+$", "").alias("sentence"))
@@ -131,7 +132,7 @@ def sentence_chunks(docs: DataFrame, budget: int = 512, strategy: str = "semanti
         made = lambda ends: F.transform(ranges, lambda r, k: F.struct(k.alias("chunk_no"), F.get(ends, k).alias("char_start"), _total(F.slice(n, r["first"] + 1, r["end"] - r["first"])).alias("n_tokens"), body(r).alias("text")))
         return _let(_ends(steps), made)
 
-    rows = cut.select("doc_id", F.inline(chunks(F.col("_s"), F.col("_n"), F.col("_r"))))
+    rows = cut.select("doc_id", F.inline_outer(chunks(F.col("_s"), F.col("_n"), F.col("_r"))))
     return rows.select("doc_id", F.lit(strategy).alias("strategy"), "chunk_no", "char_start", (F.col("char_start") + F.length("text")).alias("char_end"), "n_tokens", "text")
 
 

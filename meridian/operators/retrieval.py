@@ -3,36 +3,48 @@ batch run in one job; query tables are small next to the corpus."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.ml.feature import BucketedRandomProjectionLSH
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import holds_all, search_tokens
 
 K1, B, EPSILON, RRF_K = 1.5, 0.75, 0.25, 60
 
 
+#: Postings are stored by a hash of their token in so many parts, and a search reads only the parts that it asks.
+BUCKETS = 64
+
+
+def _bucket(token: Column) -> Column:
+    return F.pmod(F.xxhash64(token), F.lit(BUCKETS)).cast("int")
+
+
 @dataclass
 class Bm25Index:
-    postings: DataFrame  # id, token, tf, length
+    postings: DataFrame  # id, token, tf, length, head (one of each id's rows), bucket
     terms: DataFrame  # token, df, idf
     average: DataFrame  # one row: n, avgdl
 
     @classmethod
     def build(cls, chunks: DataFrame, path: str, id_: str = "chunk_id", text: str = "text") -> Bm25Index:
         """The stored index of chunks: texts are read once, for the postings, all else comes from those."""
-        postings_of(chunks, id_, text).write.mode("overwrite").parquet(f"{path}/postings")
+        _write_postings(postings_of(chunks, id_, text), path)
         made = _index(chunks.sparkSession.read.parquet(f"{path}/postings"))
         for name in ("average", "terms"):
             getattr(made, name).write.mode("overwrite").parquet(f"{path}/{name}")
         return cls.load(chunks.sparkSession, path)
 
     def save(self, path: str) -> None:
-        for name in ("postings", "terms", "average"):
+        _write_postings(self.postings, path)
+        for name in ("terms", "average"):
             getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
 
     @classmethod
@@ -40,15 +52,33 @@ class Bm25Index:
         return cls(*[spark.read.parquet(f"{path}/{name}") for name in ("postings", "terms", "average")])
 
 
+def _write_postings(postings: DataFrame, path: str) -> None:
+    """Few files for each bucket, in the order of the tokens; a bucket with a frequent token has more."""
+    postings.hint("rebalance", F.col("bucket")).sortWithinPartitions("bucket", "token").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+
+
+def token_counts(tokens: Column) -> Column:
+    """(token, tf) of an array's distinct tokens, counted inside the row as lengths of runs in the sorted array."""
+    let = lambda value, then: F.transform(F.array(value), then)[0]
+
+    def runs(s: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+        return let(starts, lambda p: F.transform(p, lambda i, k: F.struct(F.get(s, i).alias("token"), (F.coalesce(F.get(p, k + 1), F.size(s)) - i).cast("long").alias("tf"), (k == 0).alias("head"))))
+
+    return F.when(F.size(tokens) > 0, let(F.array_sort(tokens), runs))
+
+
 def postings_of(chunks: DataFrame, id_: str = "chunk_id", text: str = "text") -> DataFrame:
-    """(id, token, length, tf). An empty chunk holds one sentinel token, so every chunk counts."""
+    """(id, token, tf, length, head, bucket). An empty chunk holds one sentinel token, so every chunk counts.
+    Tokens are counted inside the row, so what is shuffled later is a row for each different token of a chunk."""
     tokens = search_tokens(F.coalesce(text, F.lit("")))
-    rows = chunks.select(F.col(id_).alias("id"), F.when(F.size(tokens) > 0, tokens).otherwise(F.array(F.lit("__empty__"))).alias("t"))
-    return rows.select("id", F.size("t").alias("length"), F.explode("t").alias("token")).groupBy("id", "token", "length").agg(F.count(F.lit(1)).alias("tf"))
+    rows = chunks.select(F.col(id_).alias("id"), F.transform(F.array(tokens), lambda t: F.when(F.size(t) > 0, t).otherwise(F.array(F.lit("__empty__"))))[0].alias("t"))
+    # outer, as a filter against empty arrays would be pushed below and cut the text again
+    return rows.select("id", F.size("t").alias("length"), F.inline_outer(token_counts(F.col("t")))).select("id", "token", "tf", "length", "head", _bucket(F.col("token")).alias("bucket"))
 
 
 def _index(postings: DataFrame) -> Bm25Index:
-    average = postings.groupBy("id").agg(F.max("length").alias("length")).agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("avgdl"))
+    average = postings.where("head").agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("avgdl"))
     df = postings.groupBy("token").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(average))  # one row
     raw = df.withColumn("raw", F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     mean = raw.agg(F.avg("raw").alias("mean"))
@@ -75,9 +105,10 @@ def bm25_search(index: Bm25Index, queries: DataFrame, k: int = 50) -> DataFrame:
     """(query_id, id, score, rank): the k best chunks of each query, ties by id. Where fewer than k share
     a token with it, chunks of score 0 follow in the order of their ids; a query without tokens has none."""
     asked = queries.select("query_id", F.explode(search_tokens(F.col("text"))).alias("token")).groupBy("query_id", "token").agg(F.count(F.lit(1)).alias("times"))
-    held = index.postings.join(asked.join(index.terms, "token"), "token").crossJoin(F.broadcast(index.average))  # one row
+    buckets = [r[0] for r in asked.select(_bucket(F.col("token")).alias("b")).distinct().collect()]  # BUCKETS at most
+    held = index.postings.where(F.col("bucket").isin(buckets)).join(asked.join(index.terms, "token"), "token").crossJoin(F.broadcast(index.average))  # one row
     part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("avgdl")))
-    others = index.postings.select("id").distinct().orderBy("id").limit(k).agg(F.collect_list("id").alias("ids"))  # k ids in one row
+    others = index.postings.where("head").select("id").orderBy("id").limit(k).agg(F.collect_list("id").alias("ids"))  # k ids in one row
     rest = asked.select("query_id").distinct().crossJoin(F.broadcast(others)).select("query_id", F.explode("ids").alias("id"), F.lit(0.0).alias("part"))
     found = held.select("query_id", "id", part.alias("part")).unionByName(rest).groupBy("query_id", "id").agg(F.round(F.sum("part"), DIGITS).alias("score"))
     return top(found, k)
@@ -110,6 +141,43 @@ def cached_embeddings(rows: DataFrame, cache: DataFrame, embedder: str, encode:
     return own.join(rows.select("id"), "id", "left_semi").select("embedder", "id", "embedding").unionByName(new)
 
 
+@dataclass
+class EmbeddingCache:
+    """A stored cache of embeddings that grows by batches, partitioned by embedder and a hash of the id.
+
+    A batch is written aside and then renamed into place, so a run that breaks off leaves nothing that is read,
+    and a run again encodes what is still lacking. One writer at a time."""
+
+    path: str
+    buckets: int = 16
+
+    def _rows(self, spark: SparkSession, schema: T.StructType) -> DataFrame:
+        batches, fs = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/batches"), self._fs(spark)
+        found = [f.getPath().toString() for f in fs.listStatus(batches)] if fs.exists(batches) else []
+        parts = [spark.read.option("basePath", p).schema(schema).parquet(p) for p in found]
+        return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schema)
+
+    def _fs(self, spark: SparkSession):
+        return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def encode(self, rows: DataFrame, embedder: str, encode: Callable[[Column], Column]) -> DataFrame:
+        """(embedder, id, embedding) of the rows (id, text); those that the cache lacks are encoded and appended.
+        Of rows with one id, one is encoded; rows without an id have no embedding."""
+        spark, ids = rows.sparkSession, rows.where("id IS NOT NULL").select("id").distinct()
+        schema = T.StructType([rows.schema["id"], T.StructField("embedding", T.ArrayType(T.DoubleType())), T.StructField("embedder", T.StringType()), T.StructField("bucket", T.IntegerType())])
+        have = self._rows(spark, schema).where(F.col("embedder") == embedder).select("id")
+        lacking = rows.where("id IS NOT NULL").join(have, "id", "left_anti").dropDuplicates(["id"])
+        if not lacking.isEmpty():
+            batch = uuid.uuid4().hex
+            made = lacking.select("id", encode(F.col("text")).cast("array<double>").alias("embedding"), F.lit(embedder).alias("embedder"), F.pmod(F.xxhash64("id"), F.lit(self.buckets)).cast("int").alias("bucket"))
+            made.hint("rebalance", F.col("bucket")).write.partitionBy("embedder", "bucket").parquet(f"{self.path}/_staged/{batch}")
+            jvm, fs = spark.sparkContext._jvm, self._fs(spark)
+            fs.mkdirs(jvm.org.apache.hadoop.fs.Path(f"{self.path}/batches"))
+            fs.rename(jvm.org.apache.hadoop.fs.Path(f"{self.path}/_staged/{batch}"), jvm.org.apache.hadoop.fs.Path(f"{self.path}/batches/{batch}"))
+        held = self._rows(spark, schema).where(F.col("embedder") == embedder)
+        return held.join(ids, "id", "left_semi").select("embedder", "id", "embedding")
+
+
 def cosine_search(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, id, score, rank), exact. vectors (id, embedding), queries (query_id, embedding).
 

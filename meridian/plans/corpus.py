@@ -175,10 +175,10 @@ def rt04_hashed_embedding(spark, sf_dir):
 
 @_query("SELECT 'hash' AS embedder, doc_id AS id, doc_id % 2 = 0 AS cached FROM documents")
 def rt05_cached_embeddings(spark, sf_dir):
-    """RT-05, JN-05: a cache of half the documents; only the others are encoded."""
-    rows = documents(spark, sf_dir).withColumnRenamed("doc_id", "id")
-    cache = rows.where("id % 2 = 0").select(F.lit("hash").alias("embedder"), "id", F.array(F.lit(1.0)).alias("embedding"))
-    made = R.cached_embeddings(rows, cache, "hash", R.hashed_embedding)
+    """RT-05, JN-05: a stored cache that half of the documents are in; only the others are encoded and appended."""
+    rows, cache = documents(spark, sf_dir).withColumnRenamed("doc_id", "id"), R.EmbeddingCache(scratch(spark, "embeddings"))
+    cache.encode(rows.where("id % 2 = 0"), "hash", lambda text: F.array(F.lit(1.0)))
+    made = cache.encode(rows, "hash", R.hashed_embedding)
     return made.select("embedder", "id", (F.size("embedding") == 1).alias("cached"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -11,7 +11,7 @@ from ..sources import files as S
 from ..streaming import drift as SD
 from ..streaming import status as SS
 from .cases import DECISIONS, decisions
-from .corpus import PAGES
+from .corpus import MARKER, PAGES
 from .tables import load, scratch
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -38,12 +38,40 @@ def src09_report_sink(spark, sf_dir):
 
 @_query("SELECT o_orderpriority AS source, count(*) AS n, sum(o_orderkey)::BIGINT AS total FROM orders GROUP BY 1")
 def src05_partitioned_sink(spark, sf_dir):
-    """SRC-04, 05, 07, 08: written by partition, read back by suffix."""
+    """SRC-04, 05: written by partition, read back by suffix."""
     path = scratch(spark, "table") + ".parquet"
     S.write_table(load(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderpriority").alias("source")), path, ["source"])
     return S.read_any(spark, path).groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("o_orderkey").alias("total"))
 
 
+@_query("SELECT item_id, md5(text) AS digest FROM benchmark ORDER BY item_id LIMIT 25")
+def src06_first_questions(spark, sf_dir):
+    """SRC-06: the first lines of several files, in the order of the files; a limit is the feature."""
+    path = scratch(spark, "questions")
+    S.write_ordered(load(spark, sf_dir, "benchmark").select("item_id", "text"), path, ["item_id"])
+    schema = load(spark, sf_dir, "benchmark").select("item_id", "text").schema
+    return S.read_questions(spark, path, schema, {}, limit=25).select("item_id", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+@_query(PAGES + "SELECT doc_id, page_no::INT AS page_no, page_no::INT AS nth, md5(text) AS digest, char_offset FROM o")
+def src07_page_table(spark, sf_dir):
+    """SRC-07: saved in order, read back; nth is a page's place among the lines of its document."""
+    path = scratch(spark, "pages")
+    S.save_pages(T.pages(load(spark, sf_dir, "documents").select("doc_id", "text"), MARKER), path)
+    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("place"))
+    return S.load_pages(spark, path).select("doc_id", "page_no", nth.alias("nth"), F.md5(F.col("text").cast("binary")).alias("digest"), "char_offset")
+
+
+@_query(r"""WITH t AS (SELECT doc_id, regexp_extract_all(text, '\S+\s*|\s+') AS p FROM documents), w AS (SELECT doc_id, p, unnest(range(0, 1 + greatest(0, ceil((len(p) - 128) / 96.0)::INT))) AS c FROM t WHERE len(p) > 0)
+SELECT 'small' AS strategy, doc_id, c::INT AS chunk_no, (c + 1)::INT AS nth, least(128, len(p) - c * 96)::INT AS n_tokens, md5(array_to_string(p[c * 96 + 1:c * 96 + 128], '')) AS digest FROM w""")
+def src08_chunk_table(spark, sf_dir):
+    """SRC-08: chunks of two strategies saved in folders, one strategy read back in order."""
+    path, docs = scratch(spark, "chunks"), load(spark, sf_dir, "documents").select("doc_id", "text")
+    S.save_chunks(T.window_chunks(docs).unionByName(T.window_chunks(docs, 128, 96, "small")), path)
+    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("place"))
+    return S.load_chunks(spark, path, "small").select("strategy", "doc_id", "chunk_no", nth.alias("nth"), "n_tokens", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
 @_query(PAGES + r""", w AS (SELECT doc_id, p, unnest(range(0, 1 + greatest(0, ceil((len(p) - 512) / 448.0)::INT))) AS c FROM (SELECT doc_id, regexp_extract_all(text, '\S+\s*|\s+') AS p FROM documents) WHERE len(p) > 0),
 t AS (SELECT doc_id, c, array_to_string(p[c * 448 + 1:c * 448 + 512], '') AS text FROM w)
 SELECT 'document' AS kind, doc_id::VARCHAR AS key, count(*) AS n, sum(length(text))::BIGINT AS n_chars, sha256(string_agg(md5(text), '' ORDER BY page_no)) AS sha256 FROM o GROUP BY doc_id

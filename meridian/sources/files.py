@@ -47,15 +47,60 @@ def write_table(df: DataFrame, path: str, by: list[str] | None = None) -> None:
     (writer.partitionBy(*by) if by else writer).parquet(path)
 
 
+def read_ordered(spark: SparkSession, path: str, schema: T.StructType, where: Column | None = None) -> DataFrame:
+    """JSON lines with their place (file, block, row) among the files' lines: orderBy("place") has the lines of each file in
+    their order, and files by name. Large files are read in blocks, by many tasks; within a block rows are numbered as read."""
+    found = spark.read.schema(schema).json(path)
+    found = found if where is None else found.where(where)  # before rows are numbered, so that folders can be left out
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    return found.select("*", place.alias("place"))
+
+
+def write_ordered(df: DataFrame, path: str, order: list[str], by: list[str] | None = None) -> None:
+    """JSON lines in files whose names and lines are in the order of the columns: rows are dealt out by ranges of them,
+    so a document of very many rows goes to several files; by names columns that become folders."""
+    placed = df.repartitionByRange(*(by or []), *order).sortWithinPartitions(*(by or []), *order)
+    writer = placed.write.mode("overwrite").option("ignoreNullFields", False)
+    (writer.partitionBy(*by) if by else writer).json(path)
+
+
+PAGE_SCHEMA = "doc_id long, page_no int, text string, char_offset long"
+CHUNK_SCHEMA = "doc_id long, chunk_no int, char_start int, char_end int, n_tokens int, text string, strategy string"
+
+
+def save_pages(page_rows: DataFrame, path: str) -> None:
+    """The page table, in the order of documents and pages."""
+    write_ordered(page_rows.select("doc_id", "page_no", "text", "char_offset"), path, ["doc_id", "page_no"])
+
+
+def load_pages(spark: SparkSession, path: str) -> DataFrame:
+    """The page table with place, by which it is in the order in which it was saved."""
+    return read_ordered(spark, path, T.StructType.fromDDL(PAGE_SCHEMA))
+
+
+def save_chunks(chunk_rows: DataFrame, path: str) -> None:
+    """Chunk tables in a folder for each strategy, in the order of documents and chunks."""
+    columns = [f.name for f in T.StructType.fromDDL(CHUNK_SCHEMA).fields]
+    write_ordered(chunk_rows.select(*columns), path, ["doc_id", "chunk_no"], ["strategy"])
+
+
+def load_chunks(spark: SparkSession, path: str, strategy: str | None = None) -> DataFrame:
+    """The chunks of one strategy, or of all, with place; only asked folders are read."""
+    return read_ordered(spark, path, T.StructType.fromDDL(CHUNK_SCHEMA), F.col("strategy") == strategy if strategy else None)
+
+
 def read_questions(spark: SparkSession, path: str, schema: T.StructType, defaults: dict, skip_full_corpus: bool = False, skip_fixture: bool = False, tag: str | None = None, ids: str = "expected_doc_ids", limit: int | None = None) -> DataFrame:
     """JSON lines with defaults for absent fields. skip_fixture drops rows all of whose document ids
     begin with fixture_; rows without ids stay. limit: the first rows that the filters leave, in the
     order of the files."""
-    out = spark.read.schema(schema).json(path)
     if limit is not None:
-        kept = read_questions(spark, path, schema, defaults, skip_full_corpus, skip_fixture, tag, ids)
-        return kept.orderBy(F.monotonically_increasing_id()).limit(limit)
-    out = out.where(reduce(lambda a, b: a | b, [F.col(c).isNotNull() for c in out.columns])).withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in defaults.items()})
+        kept = _questions(read_ordered(spark, path, schema), schema, defaults, skip_full_corpus, skip_fixture, tag, ids)
+        return kept.orderBy("place").limit(limit).drop("place")
+    return _questions(spark.read.schema(schema).json(path), schema, defaults, skip_full_corpus, skip_fixture, tag, ids)
+
+
+def _questions(out: DataFrame, schema: T.StructType, defaults: dict, skip_full_corpus: bool, skip_fixture: bool, tag: str | None, ids: str) -> DataFrame:
+    out = out.where(reduce(lambda a, b: a | b, [F.col(c).isNotNull() for c in schema.names])).withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in defaults.items()})
     if skip_full_corpus:
         out = out.where("NOT coalesce(requires_full_corpus, false)")
     if skip_fixture:
