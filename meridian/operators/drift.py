@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .metrics import matched, ordered_sums
-from .quantiles import exact_quantiles
+from .quantiles import FINISH_ROWS, exact_quantiles
 from .steps import stored
 
 FLOOR = 1e-6
@@ -26,15 +26,19 @@ def melt_levels(df: DataFrame, features: list[str], keys: list[str] | None = Non
     return df.select(*keys, *[F.col(f).cast("string").alias(f) for f in there]).unpivot(keys, there, "feature", "level")
 
 
-def value_counts(df: DataFrame, numeric: list[str], categorical: list[str], keys: list[str]) -> DataFrame:
-    """(keys, kind, feature, value, level, weight): how often each value and level occurs, nulls too, in one pass
-    over df; kind is numeric or categorical. Absent features are skipped, NaN counts as null."""
+def _cells(df: DataFrame, numeric: list[str], categorical: list[str], keys: list[str]) -> DataFrame:
+    """(keys, kind, feature, value, level), numbers and levels in one pass over df; kind is numeric or categorical.
+    Absent features are skipped, NaN becomes null."""
     cell = lambda kind, f, v, l: F.struct(F.lit(kind).alias("kind"), F.lit(f).alias("feature"), v.cast("double").alias("value"), l.cast("string").alias("level"))
     none = F.lit(None)
     cells = [cell("numeric", f, F.nanvl(F.col(f).cast("double"), none.cast("double")), none) for f in numeric if f in df.columns]
     cells += [cell("categorical", f, none, F.col(f)) for f in categorical if f in df.columns]
-    long = df.select(*keys, F.inline(F.array(*cells))) if cells else df.limit(0).select(*keys, F.inline(F.array(cell("numeric", "", none, none))))
-    return long.groupBy(*keys, "kind", "feature", "value", "level").agg(F.count(F.lit(1)).alias("weight"))
+    return df.select(*keys, F.inline(F.array(*cells))) if cells else df.limit(0).select(*keys, F.inline(F.array(cell("numeric", "", none, none))))
+
+
+def value_counts(df: DataFrame, numeric: list[str], categorical: list[str], keys: list[str]) -> DataFrame:
+    """(keys, kind, feature, value, level, weight): how often each value and level occurs, nulls too."""
+    return _cells(df, numeric, categorical, keys).groupBy(*keys, "kind", "feature", "value", "level").agg(F.count(F.lit(1)).alias("weight"))
 
 
 def _weight(long: DataFrame) -> Column:
@@ -46,11 +50,12 @@ def bin_of(value: Column, edges: Column) -> Column:
     return F.when(value.isNotNull(), F.size(F.filter(edges, lambda e: e <= value)))
 
 
-def numeric_edges(long: DataFrame, keys: list[str], n_bins: int = 10, exact: bool = True) -> DataFrame:
+def numeric_edges(long: DataFrame, keys: list[str], n_bins: int = 10, exact: bool = True, small: bool = False) -> DataFrame:
     """(keys, feature, edges, n, n_missing): the bin edges between -inf and +inf, n values and n nulls; a row
     counts weight times, if there is such a column.
 
-    exact interpolates between the ranks that selection finds; without it a sketch of bounded size answers in one pass."""
+    exact interpolates between the ranks that selection finds (small as for exact_quantiles); without it a sketch of
+    bounded size answers in one pass."""
     on, w, there = [*keys, "feature"], _weight(long), F.col("value").isNotNull()
     points = [i / n_bins for i in range(1, n_bins)]
     sums = [F.sum(F.when(there, w).otherwise(0)).alias("n"), F.sum(F.when(there, 0).otherwise(w)).alias("n_missing")]
@@ -58,7 +63,7 @@ def numeric_edges(long: DataFrame, keys: list[str], n_bins: int = 10, exact: boo
     found = long.groupBy(*on).agg(*sums, *sketch)
     if exact:
         weighted = "weight" if "weight" in long.columns else None
-        found = matched(found, exact_quantiles(long, on, "value", points, weighted).drop("n"), on)
+        found = matched(found, exact_quantiles(long, on, "value", points, weighted, small=small).drop("n"), on)
     edges = F.coalesce(F.array_sort(F.array_distinct("q")), F.array().cast("array<double>"))
     return found.select(*on, edges.alias("edges"), "n", "n_missing")
 
@@ -72,9 +77,9 @@ def bin_counts(long: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
     return every.join(held, [*on, "bin"], "left").withColumn("cnt", F.coalesce("cnt", F.lit(0)))
 
 
-def numeric_reference(long: DataFrame, keys: list[str], n_bins: int = 10, exact: bool = True) -> DataFrame:
+def numeric_reference(long: DataFrame, keys: list[str], n_bins: int = 10, exact: bool = True, small: bool = False) -> DataFrame:
     """(keys, feature, edges, counts, n, n_missing): what is stored for later comparisons."""
-    edges = numeric_edges(long, keys, n_bins, exact)
+    edges = stored(numeric_edges(long, keys, n_bins, exact, small), "edges").rows  # small, and asked three times
     counts = bin_counts(long, edges, keys).groupBy(*keys, "feature").agg(F.transform(F.array_sort(F.collect_list(F.struct("bin", "cnt"))), lambda s: s["cnt"]).alias("counts"))
     return edges.join(counts, [*keys, "feature"])
 
@@ -120,8 +125,7 @@ def ks_weighted(reference: DataFrame, current: DataFrame, keys: list[str]) -> Da
     points = both.where("value IS NOT NULL").groupBy(*on, "value").agg(F.sum("r").alias("r"), F.sum("c").alias("c"))
     gap = F.abs(F.try_divide("upto_r", "all_r") - F.try_divide("upto_c", "all_c"))
     found = ordered_sums(points, on, "value", ["r", "c"]).withColumn("gap", gap).groupBy(*on).agg(F.coalesce(F.max("gap"), F.lit(0.0)).alias("ks"), F.sum("r").alias("n_ref"), F.sum("c").alias("n_cur"))
-    p = F.when((F.col("n_ref") == 0) | (F.col("n_cur") == 0), 1.0).otherwise(kolmogorov_p(F.col("ks"), F.col("n_ref").cast("double"), F.col("n_cur").cast("double")))
-    return found.withColumn("ks_p", p)
+    return found.withColumn("ks_p", _ks_p())
 
 
 def ks_two_sample(reference: DataFrame, current: DataFrame, keys: list[str]) -> DataFrame:
@@ -132,14 +136,18 @@ def ks_two_sample(reference: DataFrame, current: DataFrame, keys: list[str]) ->
     return ks_weighted(counts.where("side = 0"), counts.where("side = 1"), keys)
 
 
-def midpoints(reference: DataFrame, keys: list[str]) -> DataFrame:
-    """A binned reference as weighted values: bin middles, the open bins a span beyond their edge."""
+def _middles() -> Column:
+    """The middles of the bins between inner edges, the open bins' a span beyond their edge."""
     inner = F.col("edges")
     span = F.greatest(F.element_at(inner, -1) - inner[0], F.lit(1.0))
     edges = F.concat(F.array(inner[0] - span), inner, F.array(F.element_at(inner, -1) + span))
-    usable = reference.where(F.size("edges") > 0)
-    cells = F.transform("counts", lambda n, i: F.struct(((F.get(edges, i) + F.get(edges, i + 1)) / 2).alias("value"), n.alias("weight")))
-    return usable.select(*keys, "feature", F.inline(cells))
+    return F.transform(F.sequence(F.lit(0), F.size(inner)), lambda i: (F.get(edges, i) + F.get(edges, i + 1)) / 2)
+
+
+def midpoints(reference: DataFrame, keys: list[str]) -> DataFrame:
+    """A binned reference as weighted values at the middles of its bins."""
+    cells = F.transform("counts", lambda n, i: F.struct(F.get(_middles(), i).alias("value"), n.alias("weight")))
+    return reference.where(F.size("edges") > 0).select(*keys, "feature", F.inline(cells))
 
 
 def reference_counts(reference: DataFrame, keys: list[str]) -> DataFrame:
@@ -151,24 +159,75 @@ def drift_report(reference: DataFrame, current: DataFrame, numeric: list[str], c
     as for numeric_edges. Both tables are read once, for the counts of their values."""
     keys = keys or []
     was = stored(value_counts(reference, numeric, categorical, keys), "counts").rows
-    bins = numeric_reference(was.where("kind = 'numeric'"), keys, n_bins, exact)
+    bins = stored(numeric_reference(was.where("kind = 'numeric'"), keys, n_bins, exact, was.count() <= FINISH_ROWS), "bins").rows  # small, and asked four times
     return report_against(bins, level_counts(was.where("kind = 'categorical'"), keys), current, numeric, categorical, keys)
 
 
 def report_against(reference: DataFrame, levels: DataFrame, current: DataFrame, numeric: list[str], categorical: list[str], keys: list[str]) -> DataFrame:
-    """drift_report from stored references (see numeric_reference and level_counts); current is read once."""
+    """drift_report from stored references (see numeric_reference and level_counts).
+
+    current is read once, and only counts of the cells that bins and their middles cut come of it: a binned
+    reference's steps lie at the middles, so the two-sample statistic needs no value of current in order."""
     on = [*keys, "feature"]
-    counts = stored(value_counts(current, numeric, categorical, keys), "counts").rows
-    missing = counts.groupBy(*on, "kind").agg(F.sum(F.when(F.col("value").isNotNull() | F.col("level").isNotNull(), 0).otherwise(F.col("weight"))).alias("n_missing"))
-    now, now_levels = counts.where("kind = 'numeric'"), counts.where("kind = 'categorical'")
-    ks = ks_weighted(midpoints(reference, keys), now, keys).select(*on, "ks", "ks_p")
-    one = psi(reference_counts(reference, keys), bin_counts(now, reference, keys), keys, "bin").join(missing.where("kind = 'numeric'"), on).join(ks, on, "left")
-    two = psi(levels, level_counts(now_levels, keys), keys, "level").join(missing.where("kind = 'categorical'"), on)
+    counts = stored(_cell_counts(_cells(current, numeric, categorical, keys), reference, keys), "cells").rows
+    empty = F.col("bin").isNull() & F.col("level").isNull()
+    missing = counts.groupBy(*on, "kind").agg(F.sum(F.when(empty, F.col("weight")).otherwise(0)).alias("n_missing"))
+    now = reference.select(*on, F.explode(F.sequence(F.lit(0), F.size("edges"))).alias("bin")).join(counts.groupBy(*on, "bin").agg(F.sum("weight").alias("cnt")), [*on, "bin"], "left").fillna(0, ["cnt"])
+    now_levels = counts.where("level IS NOT NULL").groupBy(*on, "level").agg(F.sum("weight").alias("cnt"))
+    one = psi(reference_counts(reference, keys), now, keys, "bin").join(missing.where("kind = 'numeric'"), on).join(_ks_of_cells(reference, counts, keys), on, "left")
+    two = psi(levels, now_levels, keys, "level").join(missing.where("kind = 'categorical'"), on)
     two = two.withColumns({"ks": F.lit(None).cast("double"), "ks_p": F.lit(None).cast("double")})
     both = one.unionByName(two).withColumn("severity", severity(F.col("psi")))
     return both.select(*keys, "feature", "kind", "psi", "severity", "n_ref", "n_cur", "n_missing", "ks", "ks_p")
 
 
+#: So many cuts are compared one by one in generated code; more are looked through as an array.
+MOST_COMPARED = 80
+
+
+def _cell_counts(long: DataFrame, reference: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, kind, feature, level, bin, below, upto, weight): below and upto are how many middles of the
+    reference's bins are less than a value, and at most equal to it.
+
+    Rows are counted by how many cuts, edges and middles in one order, lie below them; the counts, which are few, are
+    then told apart."""
+    on, value = [*keys, "feature"], F.col("value")
+    cuts = reference.select(*on, "edges", F.when(F.size("edges") > 0, _middles()).otherwise(F.array().cast("array<double>")).alias("middles"))
+    cuts = cuts.withColumn("cuts", F.array_sort(F.array_distinct(F.concat("edges", "middles"))))
+    most = cuts.agg(F.max(F.size("cuts"))).first()[0] or 0
+
+    if most > MOST_COMPARED:
+        upto = F.size(F.filter("cuts", lambda c: c <= value))
+    else:
+        upto = sum((F.when(F.get("cuts", F.lit(i)) <= value, 1).otherwise(0) for i in range(most)), F.lit(0))
+    placed = long.join(cuts.select(*on, "cuts"), on, "left").withColumn("upto", F.when(value.isNotNull(), upto))
+    placed = placed.withColumn("below", F.col("upto") - F.when(F.get("cuts", F.col("upto") - 1) == value, 1).otherwise(0))
+    found = placed.groupBy(*keys, "kind", "feature", "level", "upto", "below").agg(F.count(F.lit(1)).alias("weight"))
+    held = lambda of, n: F.size(F.array_intersect(of, F.slice("cuts", F.lit(1), F.col(n))))
+    of = {"bin": held("edges", "upto"), "below": held("middles", "below"), "upto": held("middles", "upto")}
+    told = found.join(cuts, on, "left").select(*keys, "kind", "feature", "level", *[F.when(F.col("upto").isNotNull() & (F.col("kind") == "numeric"), c).alias(n) for n, c in of.items()], "weight")
+    return told.groupBy(*keys, "kind", "feature", "level", "bin", "below", "upto").agg(F.sum("weight").alias("weight"))
+
+
+def _ks_of_cells(reference: DataFrame, counts: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, feature, ks, ks_p) of a binned reference, its weights at the middles, against counted cells."""
+    on = [*keys, "feature"]
+    steps = reference.where(F.size("edges") > 0).select(*on, F.posexplode("counts").alias("j", "r"))
+    before = Window.partitionBy(*on).orderBy("j")
+    steps = steps.withColumns({"upto_r": F.sum("r").over(before), "n_ref": F.sum("r").over(Window.partitionBy(*on))})
+    held = steps.join(counts.where("bin IS NOT NULL").select(*on, "below", "upto", "weight"), on, "left")
+    within = lambda c: F.sum(F.when(F.col(c) <= F.col("j"), F.col("weight")).otherwise(0))
+    at = held.groupBy(*on, "j", "r", "upto_r", "n_ref").agg(within("below").alias("c_at"), within("upto").alias("c_before"), F.coalesce(F.sum("weight"), F.lit(0)).alias("n_cur"))
+    share = lambda r, c: F.abs(F.try_divide(r, "n_ref") - F.try_divide(c, "n_cur"))
+    gap = F.greatest(share(F.col("upto_r"), F.col("c_at")), share(F.col("upto_r") - F.col("r"), F.col("c_before")))
+    found = at.groupBy(*on).agg(F.coalesce(F.max(gap), F.lit(0.0)).alias("ks"), F.max("n_ref").alias("n_ref"), F.max("n_cur").alias("n_cur"))
+    return found.select(*on, "ks", _ks_p().alias("ks_p"))
+
+
+def _ks_p() -> Column:
+    return F.when((F.col("n_ref") == 0) | (F.col("n_cur") == 0), 1.0).otherwise(kolmogorov_p(F.col("ks"), F.col("n_ref").cast("double"), F.col("n_cur").cast("double")))
+
+
 def reference_bundle(rows: DataFrame, predictions: DataFrame, numeric: list[str], categorical: list[str], fold: str = "fold", model: str = "model", n_bins: int = 10) -> dict[str, DataFrame]:
     """What is stored for all folds: bins of numbers, counts of levels, and bins and mean of each model's p."""
     p = melt(predictions, ["p"], [fold, model])
