@@ -4,6 +4,7 @@ each anchor to the bounds of an address, number, account or secret and validate
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -23,12 +24,22 @@ ALNUM = DIGIT | frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOCAL, LABEL = ALNUM | frozenset("._%+-"), ALNUM | frozenset("-")
 PHONE = DIGIT | frozenset(" ().-")
 SCHEME = ALNUM | frozenset("+.-")
-CUES = ("account number", "account no", "acct", "Account number", "Account no", "Account Number", "ACCOUNT NUMBER")
+CUES = ("account number", "account no", "acct", "Account number", "Account no", "Account Number", "ACCOUNT NUMBER", "SSN", "social security number", "Social Security number", "Social Security Number")
 
-#: A value that is assigned to a name ending in one of these (in lower, upper or title case) is a secret
-#: if it has SECRET_CHARS or more characters, a digit among them.
+#: A value that is assigned to a name whose last word is one of these (in lower, upper or title case) is a secret
+#: if it has SECRET_CHARS or more characters, a digit among them, and a part of as many letters and digits, mixed; what
+#: is assigned to one of PLAIN_CUES may also be plain digits or words and digits, unless they look like a date.
 SECRET_CUES = ("token", "secret", "password", "passwd", "passphrase", "pwd", "key", "credential", "credentials")
+PLAIN_CUES = ("password", "passwd", "passphrase", "pwd")
 SECRET, SECRET_CHARS = ALNUM | frozenset("+/_=~.-"), 8
+PART, DATE = re.compile(r"[A-Za-z0-9]+"), re.compile(r"[0-9]{2,4}(?:[./-][0-9]{1,4}){1,2}")
+#: Secrets with a beginning of their own: bearer tokens, signed tokens of three parts, chat tokens, private keys.
+MARKED = {
+    "Bearer ": re.compile(r"[A-Za-z0-9+/_=~.-]{16,}"),
+    "eyJ": re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    "xox": re.compile(r"xox[abeprs]-[A-Za-z0-9-]{10,}"),
+    "-----BEGIN ": re.compile(r"-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY-----[^-]*-----END [A-Z0-9 ]{0,40}PRIVATE KEY-----"),
+}
 #: Beginnings of issued keys, and how many letters or digits follow.
 ISSUED = {"AKIA": 16, "ASIA": 16, "ghp_": 36, "gho_": 36, "ghs_": 36, "ghu_": 36}
 
@@ -53,6 +64,8 @@ def _anchors() -> ahocorasick.Automaton:
     for cue in SECRET_CUES:
         for form in {cue, cue.upper(), cue.title()}:
             found.add_word(form, ("secret", len(form)))
+    for head in MARKED:
+        found.add_word(head, ("marked", len(head)))
     for head in ISSUED:
         found.add_word(head, ("issued", len(head)))
     found.make_automaton()
@@ -169,26 +182,50 @@ def _account(text: str, at: int, free: int) -> tuple[Span | None, int]:
     return (("account", start, end), end) if start - at <= 12 and 6 <= digits <= 17 else (None, free)
 
 
-def _secret(text: str, at: int, free: int, dead: int) -> tuple[Span | None, int, int]:
+def _named(text: str, at: int) -> bool:
+    """Whether a word begins at a place: after no letter or digit, or as a capital after a small letter or digit."""
+    before = text[at - 1] if at else " "
+    return not before.isalnum() or (text[at].isupper() and not text[at + 1].isupper() and (before.islower() or before in DIGIT))
+
+
+def _shaped(value: str, plain: bool) -> bool:
+    """Whether a value with a digit looks like a secret: see SECRET_CUES."""
+    mixed = any(len(p) >= SECRET_CHARS and not p.isdigit() and not p.isalpha() for p in PART.findall(value))
+    return mixed or (plain and not DATE.fullmatch(value))
+
+
+def _secret(text: str, cue: int, at: int, free: int, dead: int) -> tuple[Span | None, int, int]:
     """The value of an assignment: name, perhaps a quote, = or : among at most four blanks, perhaps a quote.
 
-    Also where the next secret may begin, and up to where the run of a rejected value reaches, as
-    its later parts would be rejected too."""
+    Also where the next secret may begin, and up to where the run of a rejected value reaches: what is
+    assigned within it is not looked at again."""
     here = at + 1 if text[at : at + 1] in ("'", '"') else at
     sign = _run(text, here, frozenset(" \t"))
     start = _run(text, sign + 1, frozenset(" \t"))
-    if sign - here > 4 or start - sign > 5 or text[sign : sign + 1] not in ("=", ":"):
+    if sign - here > 4 or start - sign > 5 or text[sign : sign + 1] not in ("=", ":") or not _named(text, cue):
         return None, free, dead
     start += text[start : start + 1] in ("'", '"')
     if start < max(free, dead):
         return None, free, dead
     stop = _run(text, start, SECRET)
     end = _back(text, stop, frozenset("."), start)
-    if end - start < SECRET_CHARS or DIGIT.isdisjoint(text[start:end]):
+    value = text[start:end]
+    if len(value) < SECRET_CHARS or DIGIT.isdisjoint(value) or not _shaped(value, text[cue:at].lower() in PLAIN_CUES):
         return None, free, stop
     return ("secret", start, end), end, dead
 
 
+def _marked(text: str, at: int, head: str, free: int) -> tuple[Span | None, int]:
+    start = at + len(head) if head == "Bearer " else at
+    if start < free or (head != "-----BEGIN " and at and (text[at - 1].isalnum() or text[at - 1] in "-_.")):
+        return None, free
+    found = MARKED[head].match(text, start)
+    if not found or (head == "Bearer " and DIGIT.isdisjoint(found[0])):
+        return None, free
+    end = _back(text, found.end(), frozenset("."), start)
+    return ("secret", start, end), end
+
+
 def _issued(text: str, at: int, free: int) -> tuple[Span | None, int]:
     end = _run(text, at + 4, ALNUM)
     if at < free or (at and text[at - 1] in ALNUM) or end - at - 4 != ISSUED[text[at : at + 4]]:
@@ -207,9 +244,11 @@ def find_spans(text: str | None) -> list[Span]:
     out: list[Span] = []
     for last, (kind, size) in _anchors().iter(text):
         at = last + 1 - size
-        if kind in ("secret", "issued"):
+        if kind in ("secret", "issued", "marked"):
             if kind == "secret":
-                span, free[kind], dead = _secret(text, last + 1, free[kind], dead)
+                span, free[kind], dead = _secret(text, at, last + 1, free[kind], dead)
+            elif kind == "marked":
+                span, free["secret"] = _marked(text, at, text[at : last + 1], free["secret"])
             else:
                 span, free["secret"] = _issued(text, at, free["secret"])
             out += [span] if span else []
