@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .steps import stored
+
 Metric = Callable[[DataFrame, list[str]], DataFrame]
 
 
@@ -176,23 +178,64 @@ def bootstrap_ci(rows: DataFrame, keys: list[str], metric: Metric, n_resamples:
     return out.select(*keys, "point", F.when(enough, F.col("e")[0]).alias("lower"), F.when(enough, F.col("e")[1]).alias("upper"), F.coalesce("n_valid", F.lit(0)).alias("n_valid"))
 
 
-def resampled_counts(rows: DataFrame, keys: list[str], n_resamples: int, seed: int) -> DataFrame:
-    """Score counts (keys, b, p, pos, neg) of n_resamples Poisson resamples of the rows: each row is in a
-    resample 0, 1, 2... times. Counts of equal scores are drawn at once, from a generator that is seeded by
-    the group and score, so neither rows nor partitions matter, and rows are never multiplied."""
-
-    def drawn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            draws = [np.random.default_rng((seed, h & 0xFFFFFFFFFFFFFFFF)) for h in batch["_h"]]
-            for name in ("pos", "neg"):
-                batch[name] = [r.poisson(n, n_resamples) for r, n in zip(draws, batch[name], strict=True)]
-            yield batch.drop(columns="_h")
-
-    counts = score_counts(rows, keys).select(*keys, "p", F.col("pos").cast("long").alias("pos"), F.col("neg").cast("long").alias("neg"))
-    marked = counts.withColumn("_h", F.xxhash64(*keys, "p"))
-    schema = T.StructType([*[f for f in counts.schema.fields if f.name not in ("pos", "neg")], *[T.StructField(n, T.ArrayType(T.LongType())) for n in ("pos", "neg")]])
-    made = marked.mapInPandas(drawn, schema)
-    return made.select(*keys, "p", F.posexplode(F.arrays_zip("pos", "neg")).alias("b", "s")).select(*keys, "b", "p", "s.pos", "s.neg").where("pos + neg > 0")
+#: Scores of a group that one task draws for, in their order, and resamples that it holds at a time.
+BLOCK_SCORES, RESAMPLES_HELD = 2048, 250
+
+
+def _draws(block: pd.DataFrame, n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """How often each score's positives and negatives are in each of n Poisson resamples: each row is in a
+    resample 0, 1, 2... times, and those of one score are drawn at once, from a generator seeded by group and score."""
+    pos, neg = np.empty((len(block), n), np.int64), np.empty((len(block), n), np.int64)
+    for i, (h, a, b) in enumerate(zip(block["_h"], block["pos"], block["neg"], strict=True)):
+        draw = np.random.default_rng((seed, h & 0xFFFFFFFFFFFFFFFF))
+        pos[i], neg[i] = draw.poisson(a, n), draw.poisson(b, n)
+    return pos, neg
+
+
+def resampled_sums(rows: DataFrame, keys: list[str], n_resamples: int, seed: int, specificities: tuple[float, ...]) -> DataFrame:
+    """(keys, b, n_pos, n_neg, area, precision, error, sens_<k>): what the rank metrics of each resample b are made of.
+
+    Scores in their order are cut into blocks of BLOCK_SCORES. A block's draws stay in its task as arrays: it gives its
+    sums once, so that each block learns what lies before it, and then its parts of the metrics. So neither rows nor
+    distinct scores are multiplied by resamples, only blocks are; no task holds a group."""
+    counts = score_counts(rows, keys).select(*keys, "p", F.col("pos").cast("long").alias("pos"), F.col("neg").cast("long").alias("neg"), F.lit(1).alias("one"))
+    block = F.floor((F.col("upto_one") - 1) / BLOCK_SCORES).cast("long")
+    scores = stored(ordered_sums(counts, keys, "p", ["one"]).select(*keys, "p", "pos", "neg", block.alias("_block"), F.xxhash64(*keys, "p").alias("_h")), "scores").rows
+    named, on = [f for f in scores.schema.fields if f.name in keys], [*keys, "_block"]
+    whole = [T.StructField("_block", T.LongType()), *[T.StructField(c, T.ArrayType(T.LongType())) for c in ("pos", "neg")]]
+
+    def sums(part: pd.DataFrame) -> pd.DataFrame:
+        pos, neg = _draws(part, n_resamples, seed)
+        return part[on].head(1).assign(pos=[pos.sum(0)], neg=[neg.sum(0)])
+
+    totals = scores.groupBy(*on).applyInPandas(sums, T.StructType([*named, *whole]))
+    each = totals.select(*on, F.posexplode(F.arrays_zip("pos", "neg")).alias("b", "s")).select(*on, "b", "s.pos", "s.neg")
+    group = Window.partitionBy(*keys, "b")
+    before = group.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    each = each.withColumns({f"before_{c}": F.coalesce(F.sum(c).over(before), F.lit(0)) for c in ("pos", "neg")} | {f"all_{c}": F.sum(c).over(group) for c in ("pos", "neg")})
+    names = ["area", "precision", "error", *[f"sens_{k}" for k in range(len(specificities))]]
+
+    def parts(part: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        part, known = part.sort_values("p"), known.sort_values("b")
+        pos, neg = _draws(part, n_resamples, seed)
+        p, out = part["p"].to_numpy()[:, None], {n: np.zeros(n_resamples) for n in names}
+        for i in range(0, n_resamples, RESAMPLES_HELD):
+            at = slice(i, i + RESAMPLES_HELD)
+            a, b = pos[:, at], neg[:, at]
+            n_pos, n_neg = known["all_pos"].to_numpy()[at], known["all_neg"].to_numpy()[at]
+            upto_pos, upto_neg = known["before_pos"].to_numpy()[at] + a.cumsum(0), known["before_neg"].to_numpy()[at] + b.cumsum(0)
+            tp, fp = n_pos - upto_pos + a, n_neg - upto_neg + b
+            out["area"][at] = (a * (upto_neg - b + b / 2)).sum(0)
+            out["precision"][at] = (a / np.maximum(n_pos, 1) * tp / np.maximum(tp + fp, 1)).sum(0)
+            out["error"][at] = (a * (1 - p) ** 2 + b * p**2).sum(0)
+            for k, s in enumerate(specificities):
+                out[f"sens_{k}"][at] = np.where(1 - fp / np.maximum(n_neg, 1) >= s, tp / np.maximum(n_pos, 1), 0.0).max(0)
+        return known[[*keys, "b", "all_pos", "all_neg"]].assign(**out)
+
+    kinds = [T.StructField("b", T.IntegerType()), *[T.StructField(c, T.LongType()) for c in ("all_pos", "all_neg")], *[T.StructField(c, T.DoubleType()) for c in names]]
+    made = scores.groupBy(*on).cogroup(each.drop("pos", "neg").groupBy(*on)).applyInPandas(parts, T.StructType([*named, *kinds]))
+    found = [F.max("all_pos").alias("n_pos"), F.max("all_neg").alias("n_neg"), *[F.sum(c).alias(c) for c in names[:3]], *[F.max(c).alias(c) for c in names[3:]]]
+    return made.groupBy(*keys, "b").agg(*found)
 
 
 def _curve_of(counts: DataFrame, keys: list[str]) -> DataFrame:
@@ -209,7 +252,10 @@ def headline_intervals(rows: DataFrame, keys: list[str], n_resamples: int = 2000
     metrics = {"auroc": _area(), "auprc": _precision(), "brier": brier_} | {f"sens_at_{int(100 * s)}": _sensitivity(s) for s in specificities}
     names = list(metrics)
     points = curve(rows, keys).groupBy(*keys).agg(*[m.cast("double").alias(k) for k, m in metrics.items()]).unpivot(keys, names, "metric", "point")
-    drawn = _curve_of(resampled_counts(rows, keys, n_resamples, seed), [*keys, "b"]).groupBy(*keys, "b").agg(*[m.cast("double").alias(k) for k, m in metrics.items()])
+    both, sums = (F.col("n_pos") > 0) & (F.col("n_neg") > 0), resampled_sums(rows, keys, n_resamples, seed, specificities)
+    made = {"auroc": F.when(both, F.col("area") / (F.col("n_pos") * F.col("n_neg"))), "auprc": F.when(both, F.col("precision")), "brier": F.try_divide("error", F.col("n_pos") + F.col("n_neg"))}
+    made |= {f"sens_at_{int(100 * s)}": F.when(both, F.col(f"sens_{k}")) for k, s in enumerate(specificities)}
+    drawn = sums.select(*keys, "b", *[c.alias(n) for n, c in made.items()])
     ends = drawn.unpivot([*keys, "b"], names, "metric", "value").where("value IS NOT NULL").groupBy(*keys, "metric").agg(F.percentile("value", F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2))).alias("e"), F.count("value").alias("n_valid"))
     enough = F.col("n_valid") * 2 >= n_resamples
     out = matched(points, ends, [*keys, "metric"])

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from meridian.operators import drift as D
 from meridian.operators import features as FE
+from meridian.operators import metrics as M
 from meridian.operators import models as ML
 from meridian.operators import quantiles as Q
 from meridian.operators import recipes as R
@@ -165,3 +166,38 @@ def test_tuning_in_time(spark):
     assert len(best.avgMetrics) == 1  # the first are tried whatever the time
     grid = ML.tune_lasso(rows, "fold", 3, (0.1, 10.0), stages=stages, maxIter=5)
     assert len(grid.avgMetrics) == 2 and max(grid.avgMetrics) > 0.6
+
+
+def test_interval_sums_equal_plain_resamples(spark, monkeypatch):
+    draw, n = np.random.default_rng(5), 60
+    rows = [(draw.choice(["a", "b"]) if k % 9 else None, int(draw.random() < 0.4), float(draw.random() if k % 3 else round(draw.random(), 1))) for k in range(400)] + [("one", 1, 0.3), ("one", 1, 0.7)]
+    df = spark.createDataFrame([(str(g) if g is not None else None, y, p) for g, y, p in rows], "g string, y int, p double")
+    monkeypatch.setattr(M, "BLOCK_SCORES", 16)
+    monkeypatch.setattr(M, "RESAMPLES_HELD", 25)
+    got = {(r.g, r.b): r for r in M.resampled_sums(df, ["g"], n, 7, (0.85, 0.9)).collect()}
+    counts = M.score_counts(df, ["g"]).withColumn("h", F.xxhash64("g", "p")).collect()
+    assert len(got) == n * 4
+    for group in ("a", "b", None, "one"):
+        own = sorted((r for r in counts if r.g == group), key=lambda r: r.p)
+        p, made = np.array([r.p for r in own]), []
+        for r in own:
+            rng = np.random.default_rng((7, r.h & 0xFFFFFFFFFFFFFFFF))
+            made.append((rng.poisson(r.pos, n), rng.poisson(r.neg, n)))
+        pos, neg = (np.array([m[k] for m in made]) for k in (0, 1))
+        for b in (0, 24, 25, n - 1):
+            x, y, r = pos[:, b], neg[:, b], got[group, b]
+            tp, fp = x[::-1].cumsum()[::-1], y[::-1].cumsum()[::-1]
+            assert (r.n_pos, r.n_neg) == (x.sum(), y.sum())
+            assert math.isclose(r.area, sum(a * (y[:i].sum() + y[i] / 2) for i, a in enumerate(x)), abs_tol=1e-9)
+            assert math.isclose(r.precision, sum(a / max(1, x.sum()) * t / max(1, t + f) for a, t, f in zip(x, tp, fp, strict=True)), abs_tol=1e-9)
+            assert math.isclose(r.error, float((x * (1 - p) ** 2 + y * p**2).sum()), abs_tol=1e-9)
+            assert math.isclose(r.sens_1, max([t / max(1, x.sum()) for t, f in zip(tp, fp, strict=True) if 1 - f / max(1, y.sum()) >= 0.9], default=0.0), abs_tol=1e-12)
+
+
+def test_intervals_of_continuous_scores_multiply_no_rows(spark):
+    df = spark.range(6000).select(F.lit("g").alias("g"), (F.rand(3) < F.rand(4)).cast("int").alias("y"), F.rand(4).alias("p"))
+    made = M.resampled_sums(df, ["g"], 200, 1, (0.9,))
+    assert made.count() == 200
+    blocks = math.ceil(6000 / M.BLOCK_SCORES)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "posexplode" in plan and blocks * 200 < 6000  # what is exploded is blocks by resamples
