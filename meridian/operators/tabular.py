@@ -120,6 +120,63 @@ def validate(df: DataFrame, rules: dict[str, Column]) -> tuple[DataFrame, DataFr
     return judged.where(F.size("violations") == 0).drop("violations"), judged.where(F.size("violations") > 0)
 
 
+_KINDS = {"string": T.StringType, "number": T.NumericType, "integer": T.NumericType, "boolean": T.BooleanType, "array": T.ArrayType, "object": T.StructType}
+
+
+def schema_violations(value: Column, schema: dict, kind: T.DataType, path: Column | str = "$") -> Column:
+    """The violations ("path: rule") of a value against a JSON schema, compiled to one array expression.
+
+    Rules: type, enum, const, pattern, minimum, maximum, minLength, maxLength, minItems, maxItems, uniqueItems, items,
+    properties and required, at any depth; array paths have places from 0. A null is an absent value: it violates only
+    where its name is required, and inside an array unless its type may be null. Other keys of the schema are an error."""
+    known = {"type", "enum", "const", "pattern", "minimum", "maximum", "minLength", "maxLength", "minItems", "maxItems", "uniqueItems", "items", "properties", "required", "title", "description", "$schema"}
+    if unknown := set(schema) - known:
+        raise ValueError(f"unknown rules {sorted(unknown)}")
+    path = F.lit(path) if isinstance(path, str) else path
+    there, none = value.isNotNull(), F.array().cast("array<string>")
+    said = lambda rule, broken: F.when(there & broken, F.array(F.concat(path, F.lit(f": {rule}")))).otherwise(none)
+    types = [schema["type"]] if isinstance(schema.get("type"), str) else list(schema.get("type", []))
+    plain = [t for t in types if t != "null"]
+    if plain and not any(isinstance(kind, _KINDS[t]) for t in plain):
+        return said("type", F.lit(True))
+    out = []
+    if plain == ["integer"]:
+        out.append(said("type", value.cast("double") != F.floor(value.cast("double"))))
+    if "enum" in schema:
+        out.append(said("enum", ~value.isin([v for v in schema["enum"] if v is not None])))
+    if "const" in schema:
+        out.append(said("const", value != F.lit(schema["const"])))
+    if "pattern" in schema:
+        out.append(said("pattern", ~value.rlike(schema["pattern"])))
+    bounds = {"minimum": lambda v, n: v < n, "maximum": lambda v, n: v > n, "minLength": lambda v, n: F.length(v) < n, "maxLength": lambda v, n: F.length(v) > n, "minItems": lambda v, n: F.size(v) < n, "maxItems": lambda v, n: F.size(v) > n}
+    out += [said(rule, broken(value, schema[rule])) for rule, broken in bounds.items() if rule in schema]
+    if schema.get("uniqueItems"):
+        out.append(said("uniqueItems", F.size(F.array_distinct(value)) < F.size(value)))
+    if "items" in schema and isinstance(kind, T.ArrayType):
+        inner, of = schema["items"], kind.elementType
+        may_be_null = "null" in ([inner["type"]] if isinstance(inner.get("type"), str) else inner.get("type", ["null"]))
+
+        def item(x: Column, i: Column) -> Column:
+            at = F.concat(path, F.lit("["), i.cast("string"), F.lit("]"))
+            found = schema_violations(x, inner, of, at)
+            return found if may_be_null else F.when(x.isNull(), F.array(F.concat(at, F.lit(": type")))).otherwise(found)
+
+        out.append(F.when(there, F.flatten(F.transform(value, item))).otherwise(none))
+    if isinstance(kind, T.StructType):
+        fields = {f.name: f.dataType for f in kind.fields}
+        for name in schema.get("required", []):
+            lacking = value[name].isNull() if name in fields else F.lit(True)
+            out.append(F.when(there & lacking, F.array(F.concat(path, F.lit(f".{name}: required")))).otherwise(none))
+        out += [schema_violations(value[name], inner, fields[name], F.concat(path, F.lit(f".{name}"))) for name, inner in schema.get("properties", {}).items() if name in fields]
+    return F.concat(*out) if out else none
+
+
+def validate_schema(df: DataFrame, schema: dict) -> tuple[DataFrame, DataFrame]:
+    """(valid rows, bad rows with violations) of rows as objects of a JSON schema; see schema_violations."""
+    judged = df.withColumn("violations", schema_violations(F.struct(*[F.col(f"`{c}`") for c in df.columns]), schema, df.schema))
+    return judged.where(F.size("violations") == 0).drop("violations"), judged.where(F.size("violations") > 0)
+
+
 def risk_terms() -> dict[str, Column]:
     """The weights of the additive demonstration score."""
     c = F.col

@@ -87,6 +87,41 @@ def prj10_flags(spark, sf_dir):
     return made.groupBy("age_band", "flags").agg(F.count(F.lit(1)).alias("n"))
 
 
+#: A talk as an object: every kind of rule, at three depths.
+TALK = {
+    "type": "object", "required": ["talk", "turns", "owner"],
+    "properties": {
+        "talk": {"type": "string", "pattern": "^t-[0-9]+$"},
+        "turns": {
+            "type": "array", "minItems": 2, "maxItems": 5,
+            "items": {"type": "object", "required": ["role"], "properties": {"turn": {"type": "integer", "minimum": 0, "maximum": 3}, "role": {"enum": ["user", "assistant"]}, "text": {"type": "string", "minLength": 20, "maxLength": 400}}},
+        },
+    },
+}
+
+
+@_query(r"""WITH c AS (SELECT conv_id, turn, CASE WHEN (conv_id + turn) % 7 = 0 THEN NULL WHEN (conv_id + turn) % 11 = 0 THEN 'bot' ELSE role END AS role, text FROM conversations),
+t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) - 1 AS i, count(*) OVER (PARTITION BY conv_id) AS n FROM c),
+p AS (SELECT *, '$.turns[' || i || ']' AS place FROM t), d AS (SELECT conv_id, any_value(n) AS n FROM t GROUP BY 1)
+SELECT conv_id, '$.owner: required' AS violation FROM d
+UNION ALL SELECT conv_id, '$.talk: pattern' FROM d WHERE conv_id % 5 = 0
+UNION ALL SELECT conv_id, '$.turns: minItems' FROM d WHERE n < 2
+UNION ALL SELECT conv_id, '$.turns: maxItems' FROM d WHERE n > 5
+UNION ALL SELECT conv_id, place || '.role: required' FROM p WHERE role IS NULL
+UNION ALL SELECT conv_id, place || '.role: enum' FROM p WHERE role NOT IN ('user', 'assistant')
+UNION ALL SELECT conv_id, place || '.turn: maximum' FROM p WHERE turn > 3
+UNION ALL SELECT conv_id, place || '.text: minLength' FROM p WHERE length(text) < 20
+UNION ALL SELECT conv_id, place || '.text: maxLength' FROM p WHERE length(text) > 400""")
+def prj11_schema(spark, sf_dir):
+    """PRJ-11: talks as nested objects, against a schema; a row for each violation."""
+    c = load(spark, sf_dir, "conversations")
+    mark = (F.col("conv_id") + F.col("turn")).cast("long")
+    role = F.when(mark % 7 == 0, F.lit(None)).when(mark % 11 == 0, "bot").otherwise(F.col("role"))
+    turns = F.transform(F.array_sort(F.collect_list(F.struct("turn", "text", role.alias("role")))), lambda s: F.struct(s["turn"].alias("turn"), s["role"].alias("role"), s["text"].alias("text")))
+    talks = c.groupBy("conv_id").agg(turns.alias("turns")).withColumn("talk", F.concat(F.when(F.col("conv_id") % 5 == 0, "x-").otherwise("t-"), F.col("conv_id").cast("string")))
+    return P.validate_schema(talks, TALK)[1].select("conv_id", F.explode("violations").alias("violation"))
+
+
 @_query(f"""WITH {RAW}, {RECODED}, v AS (SELECT list_filter([CASE WHEN NOT coalesce(Age BETWEEN 18 AND 120, FALSE) THEN 'age' END, CASE WHEN NOT coalesce(Sex IN ('M', 'F'), FALSE) THEN 'sex' END,
 CASE WHEN NOT coalesce(RestingBP BETWEEN 60 AND 260, FALSE) THEN 'resting_bp' END, CASE WHEN NOT coalesce(MaxHR BETWEEN 50 AND 240, FALSE) THEN 'max_hr' END], lambda x: x IS NOT NULL) AS bad FROM h)
 SELECT array_to_string(bad, ',') AS violations, count(*) AS n FROM v GROUP BY ALL""")

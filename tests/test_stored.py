@@ -4,11 +4,13 @@ import json
 import os
 import random
 
+import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from meridian.functions import text as X
 from meridian.operators import retrieval as R
+from meridian.operators import tabular as P
 from meridian.sources import files as S
 
 QUESTION = T.StructType([T.StructField("id", T.StringType()), *[T.StructField(n, T.ArrayType(T.StringType())) for n in ("tags", "expected_doc_ids")]])
@@ -101,3 +103,44 @@ def test_the_cache_encodes_only_what_it_lacks(spark, tmp_path):
     assert lost > 0
     again = cache.encode(rows, "e", encode)
     assert again.count() == 50 and again.select("id").distinct().count() == 50
+
+
+def test_every_rule_of_a_schema_names_its_path(spark):
+    rows = [
+        (1, "a-1", 2.0, True, [1, 2], ("x", [("k", None)])),
+        (2, "b", 2.5, False, [1, 1, 5], ("longer", [("k", 3), None])),
+        (3, None, None, None, None, None),
+        (4, "a-4", 11.0, True, [], ("", [])),
+    ]
+    df = spark.createDataFrame(rows, "id int, code string, n double, flag boolean, list array<int>, nest struct<name:string,parts:array<struct<key:string,v:int>>>")
+    schema = {
+        "type": "object", "required": ["code", "absent"],
+        "properties": {
+            "id": {"type": "string"}, "code": {"type": ["string", "null"], "pattern": "^a-"}, "n": {"type": "integer", "maximum": 10}, "flag": {"const": True},
+            "list": {"type": "array", "minItems": 1, "maxItems": 2, "uniqueItems": True, "items": {"enum": [1, 2]}},
+            "nest": {"type": "object", "properties": {"name": {"minLength": 1, "maxLength": 3}, "parts": {"items": {"type": "object", "required": ["v"], "properties": {"v": {"minimum": 4}}}}}},
+        },
+    }
+    good, bad = P.validate_schema(df, schema)
+    got = {r.id: set(r.violations) for r in bad.collect()}
+    every = {"$.absent: required", "$.id: type"}
+    assert good.count() == 0 and good.columns == df.columns
+    assert got[1] == every | {"$.nest.parts[0].v: required"}
+    assert got[2] == every | {"$.code: pattern", "$.n: type", "$.flag: const", "$.list: maxItems", "$.list: uniqueItems", "$.list[2]: enum", "$.nest.name: maxLength", "$.nest.parts[0].v: minimum", "$.nest.parts[1]: type"}
+    assert got[3] == every | {"$.code: required"}
+    assert got[4] == every | {"$.n: maximum", "$.list: minItems", "$.nest.name: minLength"}
+    fine, _ = P.validate_schema(df, {"properties": {"code": {"pattern": "^a-"}}})
+    assert {r.id for r in fine.collect()} == {1, 3, 4}
+    with pytest.raises(ValueError, match="anyOf"):
+        P.validate_schema(df, {"anyOf": []})
+
+
+def test_tables_with_headers_and_differences_of_columns(spark, tmp_path):
+    (tmp_path / "t.csv").write_text("a,b\n1,x\n2,\n")
+    schema = T.StructType([T.StructField("a", T.IntegerType()), T.StructField("b", T.StringType())])
+    got = S.read_with_header(spark, str(tmp_path / "t.csv"), schema, "here")
+    assert [tuple(r) for r in got.collect()] == [(1, "x", "here"), (2, None, "here")]
+    assert [tuple(r) for r in S.read_any(spark, str(tmp_path / "t.csv"), schema).collect()] == [(1, "x"), (2, None)]
+    with pytest.raises(ValueError, match="no reader"):
+        S.read_any(spark, str(tmp_path / "t.txt"))
+    assert P.schema_diff(got, ["a", "c"]) == {"missing": ["c"], "extra": ["b", "source"]}
