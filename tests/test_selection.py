@@ -68,13 +68,13 @@ def test_report_reads_each_side_once(spark, monkeypatch):
     rows = [(float(i % 97), "xyz"[i % 3], "a" if i % 4 else None) for i in range(2000)]
     df = spark.createDataFrame(rows, "x double, c string, d string")
     reads = []
-    kept = D.value_counts
-    monkeypatch.setattr(D, "value_counts", lambda *a: reads.append(1) or kept(*a))
+    kept = D._cells
+    monkeypatch.setattr(D, "_cells", lambda *a: reads.append(1) or kept(*a))
     made = D.drift_report(df.where("x < 80"), df.where("x > 10"), ["x", "absent"], ["c", "d"])
     got = {r.feature: r for r in made.collect()}
     assert len(reads) == 2 and got.keys() == {"x", "c", "d"}
     plan = made._jdf.queryExecution().optimizedPlan().toString()
-    assert "LogicalRDD" not in plan  # counts only, the tables of this test are gone from the plan
+    assert "LogicalRDD" not in plan and "LocalRelation" not in plan  # counts only, the tables of this test are gone from the plan
     assert got["d"].n_missing == sum(r[2] is None and r[0] > 10 for r in rows) and got["x"].n_cur == sum(r[0] > 10 for r in rows)
 
 
@@ -201,3 +201,22 @@ def test_intervals_of_continuous_scores_multiply_no_rows(spark):
     blocks = math.ceil(6000 / M.BLOCK_SCORES)
     plan = made._jdf.queryExecution().optimizedPlan().toString()
     assert "posexplode" in plan and blocks * 200 < 6000  # what is exploded is blocks by resamples
+
+
+def test_the_statistic_of_cells_equals_that_of_ordered_values(spark):
+    draw = random.Random(9)
+    was = spark.createDataFrame([(f, float(round(draw.gauss(0, 1), 1)) if draw.random() < 0.9 else None) for f in "abc" for _ in range(300)] + [("flat", 1.0)] * 20 + [("none", None)], "feature string, value double")
+    now = spark.createDataFrame([(f, float(round(draw.gauss(0.3, 1.2), 1)) if draw.random() < 0.9 else None) for f in "abc" for _ in range(200)] + [("flat", 1.0), ("flat", 0.5), ("none", 2.0)], "feature string, value double")
+    stored = D.numeric_reference(was, [])
+    want = {r.feature: (r.ks, r.ks_p) for r in D.ks_weighted(D.midpoints(stored, []), now.withColumn("weight", F.lit(1)), []).collect() if r.feature != "none"}
+    long = now.select(F.lit("numeric").alias("kind"), "feature", "value", F.lit(None).cast("string").alias("level"))
+    for most in (80, 3):  # compared one by one, and looked through
+        D.MOST_COMPARED, kept = most, D.MOST_COMPARED
+        try:
+            cells = D._cell_counts(long, stored, [])
+        finally:
+            D.MOST_COMPARED = kept
+        assert {r.feature: (r.ks, r.ks_p) for r in D._ks_of_cells(stored, cells, []).collect()} == want
+        bins = {(r.feature, r.bin): r.cnt for r in D.bin_counts(now, stored, []).collect() if r.cnt}
+        held = {(r.feature, r.bin): r.w for r in cells.where("bin IS NOT NULL").groupBy("feature", "bin").agg(F.sum("weight").alias("w")).collect()}
+        assert held == bins
