@@ -220,3 +220,14 @@ def test_the_statistic_of_cells_equals_that_of_ordered_values(spark):
         bins = {(r.feature, r.bin): r.cnt for r in D.bin_counts(now, stored, []).collect() if r.cnt}
         held = {(r.feature, r.bin): r.w for r in cells.where("bin IS NOT NULL").groupBy("feature", "bin").agg(F.sum("weight").alias("w")).collect()}
         assert held == bins
+
+
+def test_draws_of_resamples_are_not_broadcast(spark):
+    rows = spark.createDataFrame([(i % 2, (i * 37) % 500, float(i % 7)) for i in range(500)], "g int, row_id long, v double")
+    placed = {(r.g, r.row_id): (r._i, r._n) for r in M.numbered(rows, ["g"], "row_id").collect()}
+    for g in (0, 1):
+        own = sorted(r for k, r in placed if k == g)
+        assert [placed[g, r] for r in own] == [(i, len(own)) for i in range(len(own))]
+    drawn = M.resampled(rows, ["g"], 100, 7)
+    assert "Broadcast" not in drawn._jdf.queryExecution().executedPlan().toString()
+    assert drawn.count() == 100 * 500
