@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -185,6 +188,18 @@ def search_tokens(text: Column) -> Column:
     return F.filter(found, lambda t: ((F.length(t) >= 2) | t.rlike("^[0-9]+$")) & ~t.isin(*STOPWORDS))
 
 
+# a single letter is no token; in UTF-8, bytes of other than ASCII characters match nothing
+_TOKEN, _LEFT_OUT = re.compile(rb"[a-z0-9]{2,}%?|[a-z0-9]%|[0-9]"), [w.encode() for w in STOPWORDS]
+
+
+def counted_tokens(text: str) -> Counter[bytes]:
+    """How often each of the search_tokens of one text is there, inside a task."""
+    held = Counter(_TOKEN.findall(text.encode("utf-8", "surrogatepass").lower()))
+    for w in _LEFT_OUT:
+        held.pop(w, None)
+    return held
+
+
 def collapse(text: Column) -> Column:
     return F.lower(F.regexp_replace(text, r"\s+", " "))
 
