@@ -191,3 +191,14 @@ def test_cleaning_is_idempotent_and_guards_columns(spark):
     assert once.collect() == P.clean(once, "chol", ["bp"], ["sex"], ["chol", "bp"]).collect()
     with pytest.raises(KeyError):
         P.clean(df, "chol", ["nope"], [], [])
+
+
+def test_parts_side_by_side_are_summed_as_long_ones(spark):
+    rows = spark.createDataFrame([(1, "a", 1.0, None, 4.0), (1, "a", 0.5, None, 2.0), (2, "b", 3.0, 7.0, None), (2, None, 1.0, 1.0, 1.0)], "row_id int, s string, x_rcs1 double, x_rcs2 double, y double")
+    names, keys = ["x_rcs1", "x_rcs2", "y"], ["row_id", "s"]
+    parts, mapping = X.linear_parts(F.array(*names), [2.0, 3.0, -1.0], names), X.raw_names(names, ["x", "y"])
+    long = X.summed_back(rows.select(*keys, F.inline(parts)), spark.createDataFrame(list(mapping.items()), "basis string, feature string"), keys)
+    wide = X.summed_rows(rows, parts, names, mapping, keys)
+    tell = lambda d: sorted(map(str, d.select(*keys, "feature", "value").collect()))
+    assert tell(wide) == tell(long)
+    assert wide._jdf.queryExecution().optimizedPlan().toString().count("Generate") == 1
