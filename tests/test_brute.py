@@ -229,3 +229,17 @@ def test_forest_imputation_beats_the_mean(spark):
     got = FE.forest_impute(df, ["x", "z"], F.lit(True), rounds=2, trees=5).where("id % 6 = 0").collect()
     assert sum(abs(r.z - (2 * (r.id % 10) + 1)) for r in got) / len(got) < 1.5  # the mean is off by 5
     df.unpersist()
+
+
+def test_first_places_need_no_order_of_all_rows(spark):
+    rows = spark.createDataFrame([(i, i % 3 if i % 7 else None) for i in range(700)], "id long, k int").cache()
+    limits = {"none": F.lit(0), "some": F.bround(F.col("_total") * 0.1), "most": F.col("_total") - 1, "all": F.col("_total") + 5}
+    made = SP.among_first(rows, ["k"], "id", 5, limits)
+    assert "Window" not in made._jdf.queryExecution().optimizedPlan().toString()  # the rows themselves are not put in order
+    want = {r.id: (r.place, r.total) for r in SP.placed(rows, ["k"], "id", 5, "place", "total").collect()}
+    got = made.collect()
+    assert len(got) == 700
+    for r in got:
+        place, total = want[r.id]
+        assert (r["none"], r["some"], r["most"], r["all"]) == (False, place <= round(total * 0.1), place < total, True)
+    rows.unpersist()
