@@ -50,7 +50,31 @@ def _reduced(key: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, source, term, cnt, docs) of blocks of collapsed texts."""
+    """(lang, source, term, cnt, docs) of collapsed texts, summed over as many blocks as give MOST_EXPANDED rows at
+    most and in order, as neighbours alike take less room in a shuffle."""
+    pending: list[pa.RecordBatch] = []
+    waiting = 0
+    for batch in _block_counts(batches):
+        pending.append(batch)
+        waiting += batch.num_rows
+        if waiting >= MOST_EXPANDED:
+            pending = _summed(pending)
+            waiting = sum(b.num_rows for b in pending)
+            if 2 * waiting > MOST_EXPANDED:
+                yield from pending
+                pending, waiting = [], 0
+    if pending:
+        yield from _summed(pending)
+
+
+def _summed(batches: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
+    table = pa.Table.from_batches(batches).group_by(["lang", "term", "source"], use_threads=False).aggregate([("cnt", "sum"), ("docs", "sum")])
+    table = table.select(["lang", "source", "term", "cnt_sum", "docs_sum"]).rename_columns(["lang", "source", "term", "cnt", "docs"])
+    return table.sort_by([("lang", "ascending"), ("term", "ascending"), ("source", "ascending")]).to_batches(max_chunksize=100_000)
+
+
+def _block_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, source, term, cnt, docs) of each block of texts."""
     for batch in batches:
         for block in blocks(batch, "text", BLOCK_BYTES):
             raw, offsets = _bytes_of(block.column("text"))
@@ -92,12 +116,14 @@ def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def kept_terms(texts: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
     """(lang, source, term, cnt, all_cnt, head): occurrences of the terms that least_docs documents of the language
-    have, in the source and in the language; head is 1 in one row of each term. texts as from collapsed."""
-    rows = texts.mapInArrow(_term_counts, "lang string, source string, term string, cnt long, docs long")
+    have, in the source and in the language; head is 1 in one row of each term. texts as from collapsed.
+
+    Counts are dealt out by term once: its sums by source and over all sources are made where it lies."""
+    rows = texts.mapInArrow(_term_counts, "lang string, source string, term string, cnt long, docs long").repartition("lang", "term")
     counts = rows.groupBy("lang", "term", "source").agg(F.sum("cnt").alias("cnt"), F.sum("docs").alias("docs"))
-    counts = written(counts, "terms")
-    whole = counts.groupBy("lang", "term").agg(F.sum("cnt").alias("all_cnt"), F.sum("docs").alias("all_docs"), F.min("source").alias("least")).where(F.col("all_docs") >= least_docs)
-    return counts.join(whole, ["lang", "term"]).select("lang", "source", "term", "cnt", "all_cnt", (F.col("source") == F.col("least")).cast("long").alias("head"))
+    whole = Window.partitionBy("lang", "term")
+    counts = counts.withColumns({"all_cnt": F.sum("cnt").over(whole), "all_docs": F.sum("docs").over(whole), "least": F.min("source").over(whole)}).where(F.col("all_docs") >= least_docs)
+    return counts.select("lang", "source", "term", "cnt", "all_cnt", (F.col("source") == F.col("least")).cast("long").alias("head"))
 
 
 def share(count: Column, total: Column) -> Column:

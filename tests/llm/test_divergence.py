@@ -88,3 +88,18 @@ def test_one_very_long_text_and_empty_tables(spark):
     assert _got(spark, rows) == brute(rows)
     assert _got(spark, []) == set()
     assert _got(spark, [(None, None, None)]) == set() and _got(spark, [(None, None, None), (None, "a", None)]) == {("", "", "pair", "a", 0, 1), ("", "a", "pair", "", 0, 1)}
+
+
+def test_counts_are_dealt_out_by_term_once(spark):
+    texts = D.collapsed(spark.createDataFrame([(*r, 1, "t") for r in _rows(4, 40)], SCHEMA)).localCheckpoint()
+    plan = D.kept_terms(texts)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1, plan
+
+
+def test_counts_of_blocks_are_summed_in_a_task():
+    import pyarrow as pa
+
+    held = pa.array([[{"source": "a", "m": 1}]] * 3, pa.list_(pa.struct([("source", pa.string()), ("m", pa.int64())])))
+    batch = pa.record_batch([pa.array(["en"] * 3), pa.array(["b a", "a", "a c"]), held], names=["lang", "text", "held"])
+    got = [tuple(r.values()) for b in D._term_counts(iter([batch, batch])) for r in b.to_pylist()]
+    assert got == [("en", "a", "a", 6, 6), ("en", "a", "b", 2, 2), ("en", "a", "c", 2, 2)]
