@@ -231,3 +231,28 @@ def test_draws_of_resamples_are_not_broadcast(spark):
     drawn = M.resampled(rows, ["g"], 100, 7)
     assert "Broadcast" not in drawn._jdf.queryExecution().executedPlan().toString()
     assert drawn.count() == 100 * 500
+
+
+def test_equal_rows_are_fitted_once(spark, tmp_path):
+    rows = _rows(spark).withColumn("split", F.expr("CASE row_id % 5 WHEN 0 THEN 'test' WHEN 1 THEN 'calib' ELSE 'train' END")).withColumn("fold", F.lit("f"))
+    rows = rows.withColumns({"x": F.round(F.col("x")), "z": F.lit(1)}).withColumn("x", F.coalesce("x", F.lit(0.0)))
+    seen = []
+
+    class Watched(LogisticRegression):
+        def _fit(self, dataset):
+            seen.append(dataset.groupBy("features", "label").count().agg(F.max("count")).first()[0])
+            return super()._fit(dataset)
+
+    stages = R.recipe_stages("scaled_forest", ["x"], rounds=1, trees=2)[1:]
+    run = lambda model, at, kind: sorted(map(tuple, ML.run_cells(rows, ["f"], stages, {"m": model}, "y", f"{tmp_path}/{at}", calibration={"m": kind}).select("row_id", "y", "p").collect()))
+    one_by_one = ML.LogisticRegression(maxIter=30)
+    for kind in ("sigmoid", "isotonic"):
+        found = run(Watched(maxIter=30), f"counted-{kind}", kind)
+        own = rows.where("split = 'train'").withColumn("label", F.col("y").cast("double"))
+        prepared = R.Pipeline(stages=list(stages)).fit(own)
+        model = one_by_one.fit(prepared.transform(own))
+        made = lambda s: ML.scored(model, prepared.transform(rows.where(f"split = '{s}'"))).select("row_id", "y", "p")  # noqa: B023, E731
+        want = sorted(map(tuple, ML.calibrated(kind, made("calib"), made("test")).select("row_id", "y", "p").collect()))
+        assert [r[:2] for r in found] == [r[:2] for r in want] and np.allclose([r[2] for r in found], [r[2] for r in want], atol=1e-6)
+    assert seen == [1, 1]
+    assert not ML.weighted(ML.GBTClassifier(subsamplingRate=0.5)) and not ML.weighted(ML.GBTClassifier(minInstancesPerNode=3)) and ML.weighted(ML.GBTClassifier())
