@@ -256,3 +256,15 @@ def test_equal_rows_are_fitted_once(spark, tmp_path):
         assert [r[:2] for r in found] == [r[:2] for r in want] and np.allclose([r[2] for r in found], [r[2] for r in want], atol=1e-6)
     assert seen == [1, 1]
     assert not ML.weighted(ML.GBTClassifier(subsamplingRate=0.5)) and not ML.weighted(ML.GBTClassifier(minInstancesPerNode=3)) and ML.weighted(ML.GBTClassifier())
+
+
+def test_samples_of_several_forced_tables_are_those_of_each(spark):
+    from meridian.operators import splits as S
+
+    rows = spark.range(400).selectExpr("id AS row_id", "CAST(id % 4 = 0 AS INT) AS y").withColumn("draw", S.drawn("row_id"))
+    forced = {k: spark.createDataFrame([(i,) for i in ids], "row_id long") for k, ids in {"a": [1, 4, 399], "b": [8, 9], "none": []}.items()}
+    for most in (20, 1000):
+        found = S.capped_samples(rows, "y", "row_id", most, forced, draw="draw")
+        for k, t in forced.items():
+            got = sorted(r.row_id for r in found[k].collect())
+            assert got == sorted(r.row_id for r in S.capped_sample(rows, "y", "row_id", most, t).collect()), k
