@@ -331,6 +331,14 @@ def test_license_scan_ignores_other_columns_and_long_texts(spark):
     assert got == {1: (1, "mit"), 2: (0, None), 3: (0, None)}
 
 
+def test_license_background_is_every_line(spark):
+    """More lines than any bound on samples: each distinct one counts once, in the fit or in the cut."""
+    texts = [(i, f"line {i} of rivers and hills\nline {i} of any software\nthe same line") for i in range(6_000)]
+    plain = licenses.plain_lines(spark.createDataFrame(texts + texts[:50], "doc_id long, text string")).collect()
+    assert sum(r.n for r in plain) == 12_001 and len(plain) < 20
+    assert 0.5 < sum(r.n for r in plain if r.fitted) / 12_001 < 0.7
+
+
 def test_license_hints_lose_no_notice():
     for family, texts in licenses.TEMPLATES.items():
         for text in texts:
