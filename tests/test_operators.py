@@ -4,6 +4,7 @@ import math
 import random
 
 import pytest
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from meridian.functions import text as T
@@ -185,6 +186,21 @@ def test_shapley_sums_to_the_difference(spark):
     assert got == {(1, "a"): 2, (1, "b"): 2, (2, "a"): 0, (2, "b"): 5}
 
 
+def test_background_and_importance_hold_every_row(spark):
+    """More rows than the former sample of 5,000: 500 that lie far off have a mean of their own, with all of their rows."""
+    rows = spark.range(20_000).select(F.col("id").alias("row_id"), F.array(F.when(F.col("id") < 500, 1000.0 + F.col("id")).otherwise(F.col("id") / 20_000), F.lit(1.0)).alias("features"))
+    far = max(X.background(rows, 2))
+    assert far == pytest.approx([1249.5, 1.0], abs=1e-9)
+    one, two = (sorted(X.background(x, 3)) for x in (rows.repartition(7), rows.coalesce(1)))
+    assert sum(one, []) == pytest.approx(sum(two, []), abs=1e-9)
+    twice = X.alike(rows.unionByName(rows.where("row_id < 100")))
+    assert twice.count() == 20_000 and twice.agg(F.sum("weight")).first()[0] == 20_100
+    parts = X.shapley(twice, lambda t: t.withColumn("p", F.element_at(vector_to_array("features"), 1)), [[0.0, 1.0]], ["a", "b"])
+    got = {r.feature: r.importance for r in X.importance(parts.withColumn("cell", F.lit(1)), ["cell"], weight="weight").collect()}
+    want = sum((1000 + i) * (2 if i < 100 else 1) for i in range(500)) + sum(i / 20_000 for i in range(500, 20_000))
+    assert got["a"] == pytest.approx(want / 20_100) and got["b"] == 0
+
+
 def test_cleaning_is_idempotent_and_guards_columns(spark):
     df = spark.createDataFrame([(0, None, "x")], "chol int, bp double, sex string")
     once = P.clean(df, "chol", ["bp"], ["sex"], ["chol", "bp"])
