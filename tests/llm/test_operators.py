@@ -324,6 +324,24 @@ def test_license_families_in_held_out_wordings(spark):
     assert all(got[i] is None for i in range(len(notices), len(rows)))
 
 
+def test_license_classifier_decides_wordings_without_a_template(spark):
+    """None of these holds a template. Without the model all that name a family would be notices, without these scores none."""
+    held = [("mit", "Distributed under the terms of the MIT license."), ("mit", "This project is MIT licensed."), ("bsd", "BSD-licensed, see COPYING."), ("gpl", "You may use it under the GPLv3 license."), ("lgpl", "The library comes with an LGPL licence."), ("cc-by-nc", "Images have a CC BY-NC licence, not for sale"), ("epl", "Its license is the EPL"), ("gpl", "The code is licensed under the GNU\nGeneral Public\nLicense")]
+    other = ["Er fuhr mit dem Wagen ohne license.", "At MIT the students need no driving license to ride a bicycle on the campus", "An eclipse was seen by the driver without a license", "Wir lebten mit der license."]
+    plain = [f"plain words number {i} about rivers and {i * 7} hills at the lake" for i in range(60)] + [f"Sie kamen mit dem Zug {i} und gingen mit uns" for i in range(60)]
+    docs = spark.createDataFrame(list(enumerate([t for _, t in held] + other + plain)), "doc_id long, text string")
+    found = licenses.candidates(licenses.runs_of(docs))
+    assert found.where(F.col("overlap") >= licenses.CONFIRM).count() == 0
+    assert {r.doc_id for r in found.where("named").select("doc_id").collect()} == set(range(len(held) + len(other)))
+    got = {r.doc_id: r.families for r in licenses.scan_documents(docs).collect()}
+    assert [got[i] for i in range(len(held))] == [f for f, _ in held]
+    assert all(got[i] is None for i in range(len(held), len(got)))
+
+
+def test_license_names_need_a_hint():
+    assert set(licenses.LICENCE) <= set(licenses.HINTS) and set(licenses.NAMED) == set(licenses.SHORT) == set(licenses.TEMPLATES)
+
+
 def test_license_scan_ignores_other_columns_and_long_texts(spark):
     rows = [(1, "word " * 200_000 + "\nReleased under the MIT License.", "x", 0.5, "y"), (2, "\n".join(["a line of license words"] * 30_000), "x", 0.5, "y"), (3, None, None, None, None)]
     frame = spark.createDataFrame(rows, "doc_id long, text string, family string, probability double, _grams string")
