@@ -2,6 +2,7 @@
 
 import random
 import re
+import textwrap
 from collections import Counter
 
 import duckdb
@@ -338,6 +339,20 @@ def test_license_classifier_decides_wordings_without_a_template(spark):
     assert all(got[i] is None for i in range(len(held), len(got)))
 
 
+def test_license_notices_in_narrow_lines(spark):
+    """Wrapped over more than six lines, with a comment mark each; a notice of six lines of any length; runs end at blank lines."""
+    wrap = lambda family, width, mark: "\n".join(mark + x for x in textwrap.wrap(licenses.TEMPLATES[family][0], width))
+    isc, zlib = wrap("isc", 24, "# "), wrap("zlib", 16, "// ")
+    assert isc.count("\n") > 6 and zlib.count("\n") > 8
+    long = "\n".join(f"{' '.join(f'w{i}x{j}' for j in range(40))} {x}" for i, x in enumerate(wrap("isc", 46, "").split("\n")))
+    docs = [(1, f"Words before.\n{isc}\nWords after."), (2, zlib), (3, isc.replace("\n", "\n\n")), (4, f"{isc}\n\n{zlib}\n{isc}"), (5, "\n".join(["word"] * 90) + "\n" + wrap("mit", 8, ""))]
+    docs += [(i, f"plain words number {i} about rivers and {i * 7} hills") for i in range(10, 60)]
+    got = {r.doc_id: (r.n_notices, r.families) for r in licenses.scan_documents(spark.createDataFrame(docs, "doc_id long, text string")).where("doc_id < 10").collect()}
+    assert got == {1: (1, "isc"), 2: (1, "zlib"), 3: (0, None), 4: (3, "isc,zlib"), 5: (1, "mit")}
+    runs = licenses.runs_of(spark.createDataFrame([(1, long)], "doc_id long, text string"))
+    assert runs.agg(F.max(F.col("stop") - F.col("start"))).first()[0] == min(5, long.count("\n"))
+
+
 def test_license_names_need_a_hint():
     assert set(licenses.LICENCE) <= set(licenses.HINTS) and set(licenses.NAMED) == set(licenses.SHORT) == set(licenses.TEMPLATES)
 
